@@ -27,8 +27,8 @@ cand AS (SELECT a.cell_id, a.site, a.r, a.c, b.cell_id AS to_id, b.r AS rr, b.c
   FROM v a CROSS JOIN d JOIN v b ON b.site = a.site AND b.r = a.r + d.dr AND b.c = a.c + d.dc WHERE b.z < a.z),
 recv AS (SELECT cell_id, site, r, c, to_id, rr, rc FROM cand WHERE k = 1)"""
 FLOW = RECEIVER + """,
-walk AS (SELECT cell_id AS src, cell_id AS at FROM cells UNION ALL SELECT w.src, recv.to_id FROM walk w JOIN recv ON recv.cell_id = w.at),
-acc AS (SELECT at AS cell_id, CAST(COUNT(*) AS DOUBLE) AS acc FROM walk GROUP BY at)"""
+walk AS (SELECT cell_id AS src, cell_id AS spot FROM cells UNION ALL SELECT w.src, recv.to_id FROM walk w JOIN recv ON recv.cell_id = w.spot),
+acc AS (SELECT spot AS cell_id, CAST(COUNT(*) AS DOUBLE) AS acc FROM walk GROUP BY spot)"""
 
 
 def _valid(v):
@@ -151,16 +151,18 @@ def _(v):
     return out.select("cell_id", rnd("scarp").alias("scarp"), rnd("release").alias("release"))
 
 
-# Components by flooding each mask cell's smallest reachable code.
+# Regions by flooding from every cell without a mask cell above or to the left.
 REGIONS = """mask AS (SELECT site, r, c, CAST(r AS BIGINT) * 2147483648 + c AS code FROM cells WHERE {test}),
-reach AS (SELECT site, r, c, code FROM mask UNION
-  SELECT b.site, b.r, b.c, a.code FROM reach a JOIN mask b ON a.site = b.site AND ABS(a.r - b.r) + ABS(a.c - b.c) = 1 WHERE a.code < b.code OR TRUE),
+heads AS (SELECT a.* FROM mask a WHERE NOT EXISTS (SELECT 1 FROM mask b WHERE b.site = a.site AND b.code IN (a.code - 1, a.code - 2147483648))),
+reach AS (SELECT site, r, c, code FROM heads UNION
+  SELECT b.site, b.r, b.c, a.code FROM reach a JOIN mask b ON a.site = b.site AND b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1
+   AND ABS(a.r - b.r) + ABS(a.c - b.c) = 1),
 lab AS (SELECT site, r, c, MIN(code) AS label FROM reach GROUP BY site, r, c),
 big AS (SELECT site, label, COUNT(*) AS size FROM lab GROUP BY site, label),
 kept AS (SELECT site, label, size, MAX(size) OVER (PARTITION BY site) AS top FROM big)"""
 
 
-@query("t13_connected_components", "WITH RECURSIVE " + REGIONS.format(test="z > 38").replace(" WHERE a.code < b.code OR TRUE", "") + """
+@query("t13_connected_components", "WITH RECURSIVE " + REGIONS.format(test="z > 38") + """
 SELECT lab.site, r, c, label, size FROM lab JOIN kept USING (site, label) WHERE size >= 8 OR top < 8""")
 def _(v):
     return C.connected_components(v.cells.filter("z > 38")).select("site", "r", "c", "label", "size")

@@ -76,11 +76,12 @@ def align_bilinear(
     )
     # Half a cell before the first row or column the base cell is 0 with weight 0.
     base_x, base_y = F.floor(fx), F.floor(fy)
+    before_x, before_y = (fx > -1) & (fx < 0), (fy > -1) & (fy < 0)
     at = (
-        target.withColumn("_sc", F.when(base_x == -1, F.lit(0)).otherwise(base_x).cast("int"))
-        .withColumn("_sr", F.when(base_y == -1, F.lit(0)).otherwise(base_y).cast("int"))
-        .withColumn("_wx", F.when(base_x == -1, F.lit(0.0)).otherwise(fx - base_x))
-        .withColumn("_wy", F.when(base_y == -1, F.lit(0.0)).otherwise(fy - base_y))
+        target.withColumn("_sc", F.when(before_x, F.lit(0)).otherwise(base_x).cast("int"))
+        .withColumn("_sr", F.when(before_y, F.lit(0)).otherwise(base_y).cast("int"))
+        .withColumn("_wx", F.when(before_x, F.lit(0.0)).otherwise(fx - base_x))
+        .withColumn("_wy", F.when(before_y, F.lit(0.0)).otherwise(fy - base_y))
     )
     joined = at.join(packed, ["site", "_sr", "_sc"], "left")
     wx, wy = F.col("_wx"), F.col("_wy")
