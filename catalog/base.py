@@ -34,7 +34,8 @@ def _expand_rounding(sql: str) -> str:
         while depth:
             depth += {"(": 1, ")": -1}.get(sql[i], 0)
             i += 1
-        scale = 10 ** int(m.group(1) or 6)
+        digits = int(m.group(1) or 6)
+        scale = 10**digits
         inner = sql[m.end() : i - 1]
         sql = f"{sql[: m.start()]}(FLOOR(CAST({inner} AS DOUBLE) * {scale}e0 + 0.5e0) / {scale}e0){sql[i:]}"
 

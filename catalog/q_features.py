@@ -1 +1,201 @@
-"""Queries."""
+"""Queries of feature preparation, learners and metrics."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from catalog.base import query, rnd
+from terravane.operators import features as X
+from terravane.operators import metrics as E
+from terravane.operators import models as M
+from terravane.operators import risk as R
+from terravane.operators.sampling import FEATURES
+
+HOT = ", ".join(f"CAST(landcover = {k} AS INT)::DOUBLE AS landcover_{k}" for k in X.LANDCOVER_CLASSES)
+
+
+@query("h1_one_hot", f"SELECT cell_id, {HOT} FROM stack")
+def _(v):
+    return X.one_hot(v.stack.select("cell_id", "landcover"))
+
+
+@query("h2_log1p_clip", """SELECT cell_id, RND(LN(1 + GREATEST(twi, 0))) AS twi, RND(LN(1 + GREATEST(rusle_soil_loss, 0))) AS rusle_soil_loss,
+ RND(LN(1 + avaflow_depth)) AS avaflow_depth FROM stack""")
+def _(v):
+    cols = ["twi", "rusle_soil_loss", "avaflow_depth"]
+    return X.log1p_clip(v.stack.select("cell_id", *cols)).select("cell_id", *[rnd(c).alias(c) for c in cols])
+
+
+@query("h3_impute_inf_median", """WITH f AS (SELECT cell_id, elevation, CASE WHEN ISFINITE(dist_to_stream) THEN dist_to_stream END AS d FROM stack)
+SELECT cell_id, RND(COALESCE(elevation, (SELECT QUANTILE_CONT(elevation, 0.5) FROM f))) AS elevation,
+ RND(COALESCE(d, (SELECT QUANTILE_CONT(d, 0.5) FROM f))) AS dist_to_stream FROM f""")
+def _(v):
+    cols = ["elevation", "dist_to_stream"]
+    return X.impute_inf_median(v.stack.select("cell_id", *cols), cols).select("cell_id", *[rnd(c).alias(c) for c in cols])
+
+
+@query("h4_standard_scale", """SELECT cell_id, RND((twi - (SELECT AVG(twi) FROM stack)) / (SELECT STDDEV_POP(twi) FROM stack)) AS twi,
+ RND(r_factor - (SELECT AVG(r_factor) FROM stack)) AS r_factor FROM stack""")
+def _(v):
+    return X.standard_scale(v.stack.select("cell_id", "twi", "r_factor"), ["twi", "r_factor"]).select(
+        "cell_id", rnd("twi").alias("twi"), rnd("r_factor").alias("r_factor"))
+
+
+@query("h5_split_features", "SELECT elevation, slope, landcover FROM stack WHERE elevation IS NOT NULL AND slope IS NOT NULL")
+def _(v):
+    t = v.stack.filter("elevation IS NOT NULL AND slope IS NOT NULL").select("site", F.col("r").alias("row"), F.col("c").alias("col"), "label", "elevation", "slope", "landcover")
+    return t.select(*X.split_features(t))
+
+
+BLOCK_SQL = """bl AS (SELECT cell_id, site, r, c, label, LEAST(4, CAST(FLOOR((r - (SELECT MIN(r) FROM stack)) / CAST((SELECT MAX(r) - MIN(r) FROM stack) AS DOUBLE) * 5) AS INT)) * 5
+ + LEAST(4, CAST(FLOOR((c - (SELECT MIN(c) FROM stack)) / CAST((SELECT MAX(c) - MIN(c) FROM stack) AS DOUBLE) * 5) AS INT)) AS block FROM stack)"""
+
+
+@query("h6_spatial_blocks", f"WITH {BLOCK_SQL} SELECT cell_id, block FROM bl")
+def _(v):
+    return X.spatial_blocks(v.stack, row="r", col="c").select("cell_id", "block")
+
+
+@query("h7_group_folds")
+def _(v):
+    f = X.group_folds(X.spatial_blocks(v.stack, row="r", col="c"), 5)
+    return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("block").alias("blocks"))
+
+
+@query("h8_class_weight", """SELECT CAST(SUM(label) AS BIGINT) AS n_pos, COUNT(*) FILTER (label = 0) AS n_neg, RND(COUNT(*) FILTER (label = 0) / CAST(SUM(label) AS DOUBLE)) AS pos_weight,
+ RND(COUNT(*) / (2e0 * SUM(label))) AS balanced_pos, RND(COUNT(*) / (2e0 * COUNT(*) FILTER (label = 0))) AS balanced_neg FROM stack""")
+def _(v):
+    w = X.class_weights(v.stack)
+    return w.select("n_pos", "n_neg", *[rnd(c).alias(c) for c in ("pos_weight", "balanced_pos", "balanced_neg")])
+
+
+# ---- learners: small ensembles over all cells -----------------------------------
+SMALL_FOREST = {"numTrees": 10, "maxDepth": 5}
+SMALL_BOOSTING = {"maxIter": 5, "maxDepth": 3}
+
+
+def _ready(v):
+    ready, fitted = M.prepare(v.stack)
+    return ready, X.model_features(), fitted
+
+
+@query("h9_random_forest")
+def _(v):
+    ready, names, _ = _ready(v)
+    model = M.random_forest(names, **SMALL_FOREST).fit(X.with_class_weight(ready))
+    return M.probability(model, ready).select("cell_id", "label", "p")
+
+
+@query("h10_gradient_boosting")
+def _(v):
+    ready, names, _ = _ready(v)
+    model = M.gradient_boosting(names, **SMALL_BOOSTING).fit(X.with_class_weight(ready, "positive"))
+    return M.probability(model, ready).select("cell_id", "label", "p")
+
+
+@query("h11_cross_validate")
+def _(v):
+    ready, names, _ = _ready(v)
+    folds = X.group_folds(X.spatial_blocks(ready, row="r", col="c"), 3)
+    out = M.cross_validate(folds, lambda: M.random_forest(names, numTrees=5, maxDepth=4), 3)
+    return E.fold_metrics(out, y="label")
+
+
+METRICS = """cm AS (SELECT fold, COUNT(*) FILTER (y = 0 AND p < 0.5) AS tn, COUNT(*) FILTER (y = 0 AND p >= 0.5) AS fp,
+  COUNT(*) FILTER (y = 1 AND p < 0.5) AS fn, COUNT(*) FILTER (y = 1 AND p >= 0.5) AS tp FROM scored WHERE p >= 0 GROUP BY fold),
+pr AS (SELECT *, COALESCE(tp / NULLIF(tp + fp, 0), 0) AS pre, COALESCE(tp / NULLIF(tp + fn, 0), 0) AS rec FROM cm)"""
+
+
+@query("h12_binary_metrics", f"""WITH {METRICS} SELECT fold, RND((tp + tn) / (tp + tn + fp + fn)) AS accuracy, RND(pre) AS precision, RND(rec) AS recall,
+ RND(COALESCE(2 * pre * rec / NULLIF(pre + rec, 0), 0)) AS f1, tp + tn + fp + fn AS n_test FROM pr""")
+def _(v):
+    m = E.binary_metrics(v.scored.filter("p >= 0"), ["fold"])
+    return m.select("fold", *[rnd(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")], "n_test")
+
+
+ROC = """sc AS (SELECT fold, p, COUNT(*) FILTER (y = 1) AS a, COUNT(*) FILTER (y = 0) AS b FROM scored WHERE p >= 0 GROUP BY fold, p),
+rc AS (SELECT fold, p, a, b, SUM(a) OVER u AS ca, SUM(b) OVER u AS cb, SUM(a) OVER w AS ta, SUM(b) OVER w AS tb FROM sc
+  WINDOW u AS (PARTITION BY fold ORDER BY p DESC), w AS (PARTITION BY fold))"""
+
+
+@query("h13_auc", f"WITH {ROC} SELECT fold, RND(SUM(a * (tb - cb + b / 2e0)) / MAX(ta * tb)) AS auc FROM rc GROUP BY fold")
+def _(v):
+    return E.auc(v.scored.filter("p >= 0"), ["fold"]).select("fold", rnd("auc").alias("auc"))
+
+
+@query("h14_roc_points", f"WITH {ROC} SELECT fold, p AS threshold, RND(cb / tb) AS fpr, RND(ca / ta) AS tpr FROM rc")
+def _(v):
+    return E.roc_points(v.scored.filter("p >= 0"), ["fold"]).select("fold", "threshold", rnd("fpr").alias("fpr"), rnd("tpr").alias("tpr"))
+
+
+@query("h15_confusion_matrix", f"WITH {METRICS} SELECT fold, tn, fp, fn, tp FROM cm")
+def _(v):
+    return E.confusion_matrix(v.scored.filter("p >= 0"), ["fold"])
+
+
+def _two_models(v):
+    s = v.scored.filter("p >= 0")
+    return s.withColumn("model", F.lit("a")).unionByName(s.withColumn("p", 1 - F.col("p")).withColumn("model", F.lit("b")))
+
+
+@query("h16_cv_summary", """WITH t AS (SELECT 'a' AS model, fold, y, p FROM scored WHERE p >= 0 UNION ALL SELECT 'b', fold, y, 1 - p FROM scored WHERE p >= 0),
+sc AS (SELECT model, fold, p, COUNT(*) FILTER (y = 1) AS a, COUNT(*) FILTER (y = 0) AS b FROM t GROUP BY ALL),
+rc AS (SELECT *, SUM(b) OVER (PARTITION BY model, fold ORDER BY p DESC) AS cb, SUM(a) OVER (PARTITION BY model, fold) AS ta, SUM(b) OVER (PARTITION BY model, fold) AS tb FROM sc),
+au AS (SELECT model, fold, SUM(a * (tb - cb + b / 2e0)) / MAX(ta * tb) AS auc FROM rc GROUP BY ALL),
+su AS (SELECT model, AVG(auc) AS m, STDDEV_POP(auc) AS s FROM au GROUP BY model)
+SELECT model, RND(m) AS mean_auc, RND(s) AS std_auc, (SELECT ARG_MAX(model, m) FROM su) AS best FROM su""")
+def _(v):
+    from terravane.operators.joins import attach_single
+
+    folds = E.auc(_two_models(v), ["model", "fold"])
+    s = E.cv_summary(folds)
+    return attach_single(s, E.best_model(s)).select("model", rnd("mean_auc").alias("mean_auc"), rnd("std_auc").alias("std_auc"), "best")
+
+
+@query("h17_feature_importance")
+def _(v):
+    ready, names, _ = _ready(v)
+    model = M.random_forest(names, **SMALL_FOREST).fit(X.with_class_weight(ready))
+    return M.feature_importance(model, names, v.spark)
+
+
+@query("h18_score_cells")
+def _(v):
+    ready, names, fitted = _ready(v)
+    model = M.random_forest(names, **SMALL_FOREST).fit(X.with_class_weight(ready))
+    return M.score_cells(model, v.stack, names, FEATURES, fitted)
+
+
+@query("h19_transfer_score")
+def _(v):
+    train = v.stack.filter("site % 2 = 0")
+    ready, fitted = M.prepare(train)
+    names = X.model_features()
+    model = M.random_forest(names, **SMALL_FOREST).fit(X.with_class_weight(ready))
+    path = tempfile.mkdtemp(prefix="terravane-model-")
+    M.save_model(model, fitted, path)
+    loaded, stored = M.load_model(v.spark, path)
+    return M.score_cells(loaded, v.stack, names, FEATURES, stored)
+
+
+@query("h20_probability_summary", "SELECT site, MIN(p) AS p_min, MAX(p) AS p_max, RND(AVG(p)) AS p_mean FROM scored WHERE p <> -9999 GROUP BY site")
+def _(v):
+    return R.probability_summary(v.scored).select("site", "p_min", "p_max", rnd("p_mean").alias("p_mean"))
+
+
+CLASSES = """qc AS (SELECT site, QUANTILE_CONT(p, [0.2, 0.4, 0.6, 0.8]) AS q FROM scored WHERE p > 0 GROUP BY site),
+kl AS (SELECT cell_id, site, CASE WHEN p < 0 THEN 0 ELSE 1 + CAST(p > q[1] AS INT) + CAST(p > q[2] AS INT) + CAST(p > q[3] AS INT) + CAST(p > q[4] AS INT) END AS risk_class
+  FROM scored JOIN qc USING (site))"""
+
+
+@query("h21_quantile_classes", f"WITH {CLASSES} SELECT cell_id, risk_class FROM kl")
+def _(v):
+    return R.quantile_classes(v.scored).select("cell_id", "risk_class")
+
+
+@query("h22_class_histogram", f"""WITH {CLASSES} SELECT site, risk_class, COUNT(*) AS cells, CASE risk_class WHEN 1 THEN 'Very Low' WHEN 2 THEN 'Low' WHEN 3 THEN 'Moderate'
+ WHEN 4 THEN 'High' WHEN 5 THEN 'Very High' ELSE 'No data' END AS class_name FROM kl GROUP BY site, risk_class""")
+def _(v):
+    return R.class_histogram(R.quantile_classes(v.scored))

@@ -109,12 +109,13 @@ def _(v):
     return I.morph_open(m, "mask").select("cell_id", "mask")
 
 
-@query("c10_focal_median", f"""WITH k AS (SELECT cell_id, scl, {KEYED}, vh FROM obs)
+@query("c10_focal_median", f"""WITH k AS (SELECT cell_id, scl, {KEYED}, MAX(vh) AS vh FROM obs GROUP BY ALL)
 SELECT a.cell_id, a.scl, RND(QUANTILE_CONT(b.vh, 0.5)) AS vh FROM k a JOIN k b ON a.site = b.site AND a.scl = b.scl
  AND b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1
  AND POWER((a.r - b.r) * 30, 2) + POWER((a.c - b.c) * 30, 2) <= 2500 GROUP BY a.cell_id, a.scl""")
 def _(v):
-    return I.focal_median(_keyed(v.obs), "vh", 50.0, 30.0, 30.0, by=("site", "scl")).select("cell_id", "scl", rnd("vh").alias("vh"))
+    one = v.obs.groupBy("cell_id", "scl").agg(F.max("vh").alias("vh"))
+    return I.focal_median(_keyed(one), "vh", 50.0, 30.0, 30.0, by=("site", "scl")).select("cell_id", "scl", rnd("vh").alias("vh"))
 
 
 HIST = f"""{DIFF}, s AS (SELECT {SITE} AS site, FLOOR(diff * 1000 + 0.5) / 1000 AS x FROM d WHERE diff IS NOT NULL),
