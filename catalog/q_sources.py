@@ -1 +1,183 @@
-"""Queries."""
+"""Queries of sources and sinks: data of the views is written in the format and
+read back."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from catalog.base import query
+from catalog.views import Views
+from terravane.sources import feeds as SF
+from terravane.sources import grids as SG
+from terravane.sources import tables as ST
+from terravane.operators.sampling import FEATURES
+
+
+def scratch(kind: str) -> str:
+    return tempfile.mkdtemp(prefix=f"terravane-{kind}-")
+
+
+def _write_ascii(cells, name: str, value: str, path: str) -> None:
+    """One ASCII grid per ``name``: a folder ``name=<...>.asc`` with one ordered file."""
+    v = F.coalesce(F.col(value).cast("string"), F.lit("-9999"))
+    lines = cells.groupBy(name, "r").agg(F.array_sort(F.collect_list(F.struct("c", v.alias("t")))).alias("a")).select(
+        F.col(name).alias("name"), F.col("r").alias("k"), F.concat_ws(" ", F.transform("a", lambda s: s["t"])).alias("value"))
+    head = ["ncols 50", "nrows 30", "xllcenter 100.0", "yllcenter 200.0", "cellsize 10.0", "NODATA_value -9999"]
+    tops = cells.select(F.col(name).alias("name")).distinct().select(
+        "name", F.posexplode(F.array(*[F.lit(h) for h in head])).alias("k", "value")).withColumn("k", F.col("k") - 6)
+    lines.unionByName(tops).repartition("name").sortWithinPartitions("name", "k").select("name", "value").write.mode(
+        "overwrite").partitionBy("name").text(path)
+
+
+@query("s1_read_ascii_grid", """SELECT site, r, c, 100e0 + c * 10 AS x, 200e0 + (29 - r) * 10 AS y, CASE WHEN z <> 0 THEN z END AS value FROM cells""")
+def _(v: Views):
+    path = scratch("asc")
+    cells = v.cells.withColumn("name", F.concat(F.lit("run_"), F.col("site"), F.lit("_elev.asc"))).withColumn("z", F.when(F.col("z") != 0, F.col("z")))
+    _write_ascii(cells, "name", "z", path)
+    got = SG.read_ascii_grid(v.spark, f"{path}/name=*")
+    return got.select(F.regexp_extract("file_path", r"run_([0-9]+)_", 1).cast("int").alias("site"), "r", "c", "x", "y", "value")
+
+
+@query("s2_site_registry", """SELECT LOWER(n_name) AS site, 76 + n_nationkey * 0.1e0 AS west, 'flood' AS category FROM nation WHERE n_nationkey % 4 = 1""")
+def _(v):
+    path = scratch("registry")
+    k = F.col("n_nationkey")
+    cat = F.when(k % 4 == 0, "landslide").when(k % 4 == 1, "flood").otherwise("safe")
+    west = F.lit(76.0) + k * F.lit(0.1)
+    v.nation.select(
+        F.lower("n_name").alias("site"),
+        F.struct(west.alias("west"), F.lit(10.0).alias("south"), (west + 0.1).alias("east"), F.lit(10.1).alias("north")).alias("bbox"),
+        cat.alias("category"), F.lit("blank").alias("label_type"),
+        F.struct(F.lit("2018-01-01").alias("start"), F.lit("2018-06-30").alias("end")).alias("pre_event"), F.col("n_name").alias("description"),
+    ).write.mode("overwrite").json(path)
+    return ST.by_category(ST.read_registry(v.spark, path), "FLOOD").select("site", "bbox.west", "category")
+
+
+def _training_csv(v, path):
+    ST.write_training(v.stack.select(F.col("r").alias("row"), F.col("c").alias("col"), "label", "elevation", "slope", F.col("site").cast("string").alias("site")), path)
+    return ST.read_training(v.spark, path)
+
+
+@query("s3_read_training", "SELECT label, COUNT(*) AS n FROM stack GROUP BY label")
+def _(v):
+    return ST.class_counts(_training_csv(v, scratch("training")))
+
+
+@query("s4_read_monthly_stack", """SELECT cell_id, month, prec FROM monthly_rain WHERE cell_id % 50 BETWEEN 10 AND 30 AND FLOOR((cell_id % 1500) / 50) BETWEEN 5 AND 20""")
+def _(v):
+    path = scratch("monthly")
+    k = F.col("cell_id")
+    v.monthly_rain.withColumn("x", (k % 50).cast("double")).withColumn("y", F.floor((k % 1500) / 50).cast("double")).write.mode(
+        "overwrite").partitionBy("month").parquet(path)
+    got = SG.read_monthly_stack(v.spark, {m: f"{path}/month={m}" for m in range(1, 14)}, (10, 5, 30, 20))
+    return got.select("cell_id", "month", "prec")
+
+
+@query("s5_write_read_stack", """SELECT site, r, c, COALESCE(elevation, 0) AS elevation, COALESCE(slope, 0) AS slope, 0e0 AS phi, CAST(landcover AS DOUBLE) AS landcover FROM stack""")
+def _(v):
+    path = scratch("stack")
+    SG.write_stack(v.stack.drop("phi"), path)
+    return SG.read_stack(v.spark, path, FEATURES).select("site", "r", "c", "elevation", "slope", "phi", "landcover")
+
+
+@query("s6_write_training", "SELECT site, r AS row, c AS col, label, elevation FROM (SELECT CAST(site AS VARCHAR) AS site, r, c, label, elevation FROM stack)")
+def _(v):
+    return _training_csv(v, scratch("training")).select("site", "row", "col", "label", "elevation")
+
+
+def dam_bodies(v):
+    """Feed texts of both root shapes, missing and broken ones."""
+    level = F.floor("value").cast("string")
+    one = F.concat(F.lit('{"name":"dam_'), F.col("user_id"), F.lit('","waterLevel":"'), level, F.lit('","redLevel":"120","orangeLevel":"90","blueLevel":"60","district":"IDUKKI","lat":9.5}'))
+    two = F.concat(F.lit('{"damName":"dam_'), F.col("user_id"), F.lit('","red_level":120,"orange_level":90,"blue_level":"60","data":[{"waterLevel":"'), level,
+                   F.lit('","inflow":"'), F.col("event_id") % 7, F.lit('"},{"waterLevel":"0"}]}'))
+    k = F.col("event_id") % 4
+    body = F.when(k == 0, F.concat(F.lit("["), one, F.lit(","), two, F.lit("]"))).when(k == 1, F.concat(F.lit('{"dams":['), two, F.lit("]}"))).when(k == 3, F.lit("service unavailable"))
+    return v.events.select("event_id", body.alias("body"))
+
+
+DAMS = """dm AS (SELECT event_id, 'dam_' || user_id AS name, FLOOR(value) AS level, 'IDUKKI' AS district, '0' AS inflow FROM events WHERE event_id % 4 = 0
+ UNION ALL SELECT event_id, 'dam_' || user_id, FLOOR(value), '', CAST(event_id % 7 AS VARCHAR) FROM events WHERE event_id % 4 < 2)"""
+
+
+@query("s7_read_dam_feed", f"WITH {DAMS} SELECT event_id, name, CAST(CAST(level AS BIGINT) AS VARCHAR) AS level FROM dm")
+def _(v):
+    d = SF.read_dam_feed(dam_bodies(v))
+    return d.select("event_id", F.coalesce("name", "damName").alias("name"), F.coalesce(F.get("data", F.lit(0))["waterLevel"], F.col("waterLevel")).alias("level"))
+
+
+@query("s8_read_alert_rss", """SELECT CAST(FLOOR(event_id / 10) AS BIGINT) AS doc, CAST(event_id % 10 AS INT) AS pos, title, description, '' AS link FROM alert_items""")
+def _(v):
+    item = F.concat(F.lit("<item><title>"), F.col("title"), F.lit("</title><description> "), F.col("description"), F.lit(" </description><pubDate>"),
+                    F.col("published").cast("string"), F.lit("</pubDate></item>"))
+    # A document holds ten items.
+    docs = v.alert_items.withColumn("doc", F.floor(F.col("event_id") / 10)).groupBy("doc").agg(
+        F.array_sort(F.collect_list(F.struct("event_id", item.alias("x")))).alias("a"))
+    body = F.concat(F.lit("<rss><channel><title>feed</title>"), F.concat_ws("", F.transform("a", lambda s: s["x"])), F.lit("</channel></rss>"))
+    return SF.read_alert_rss(docs.select("doc", body.alias("body"))).select("doc", "pos", "title", "description", "link")
+
+
+@query("s9_explode_hourly", "SELECT station, hour AS time, rain_mm_h AS precipitation, weather_code FROM weather_hourly")
+def _(v):
+    rows = F.array_sort(F.collect_list(F.struct("hour", "rain_mm_h", "weather_code")))
+    # A response covers one day: at most 24 hours.
+    r = v.weather_hourly.groupBy("station", F.to_date("hour").alias("day")).agg(rows.alias("a")).select(
+        "station", F.struct(F.transform("a", lambda s: s["hour"]).alias("time"), F.transform("a", lambda s: s["rain_mm_h"]).alias("precipitation"),
+                            F.transform("a", lambda s: s["weather_code"]).alias("weather_code")).alias("hourly"))
+    return SF.explode_hourly(r)
+
+
+def _layers_xyz(v):
+    cells = v.cells.join(v.stack.select("cell_id", "manning_n", "avaflow_depth"), "cell_id").withColumn("x", F.col("c").cast("double")).withColumn("y", F.col("r").cast("double"))
+    pick = lambda e: cells.select("site", "x", "y", e.alias("value"))
+    z, h = F.col("z"), F.col("avaflow_depth")
+    return {"z": pick(z), "h": pick(h), "s": pick(z + h), "r": pick(F.when(F.col("c") == 3, F.lit(65535.0)).otherwise(F.lit(0.25))),
+            "g": pick(F.col("manning_n")), "b": pick(F.lit(0.5))}
+
+
+XYZ = """xz AS (SELECT c.site, CAST(c AS DOUBLE) AS x, CAST(r AS DOUBLE) AS y, RND2(z) AS z, CASE WHEN avaflow_depth <> 0 THEN RND2(avaflow_depth) END AS h, RND2(z + avaflow_depth) AS s,
+ CASE WHEN c <> 3 THEN 0.25e0 END AS r, RND2(manning_n) AS g, 0.5e0 AS b FROM (SELECT site, r, c, cell_id, z FROM cells) c JOIN (SELECT cell_id, manning_n, avaflow_depth FROM stack) USING (cell_id))"""
+
+
+@query("s10_export_xyz", f"WITH {XYZ} SELECT * FROM xz")
+def _(v):
+    return SG.export_xyz(_layers_xyz(v), ("site", "x", "y"))
+
+
+@query("s12_read_step_grids", """SELECT CAST(FLOOR(cell_id / 1500) AS INT) AS site, 'hflow' AS variable, step, CAST(FLOOR((cell_id % 1500) / 50) AS INT) AS r,
+ CAST(cell_id % 50 AS INT) AS c, h AS value FROM steps""")
+def _(v):
+    path = scratch("steps")
+    # Complete grids: every cell of a stored step, NODATA where it has no value.
+    grid = v.cells.select("cell_id", "site", "r", "c").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(7))))
+    full = grid.join(v.steps.select("cell_id", "step", "h"), ["cell_id", "step"], "left")
+    name = F.concat(F.lit("run"), F.col("site"), F.lit("_hflow"), F.lpad(F.col("step").cast("string"), 4, "0"), F.lit(".asc"))
+    _write_ascii(full.withColumn("name", name), "name", "h", path)
+    got = SG.read_ascii_grid(v.spark, f"{path}/name=*").filter("value IS NOT NULL")
+    named = SG.with_step(got)
+    return named.select(F.regexp_extract("file_path", r"run([0-9]+)_", 1).cast("int").alias("site"), "variable", "step", "r", "c", "value")
+
+
+@query("s13_read_xyz_csv", f"WITH {XYZ} SELECT site AS step, x, y, z, h, s, r AS red, g AS green, b AS blue FROM xz")
+def _(v):
+    path = scratch("xyz")
+    out = SG.export_xyz(_layers_xyz(v), ("site", "x", "y"))
+    name = F.concat(F.lit("pv"), F.lpad(F.col("site").cast("string"), 4, "0"))
+    out.withColumn("name", name).drop("site").select("x", "y", "z", "h", "s", "r", "g", "b", "name").write.mode("overwrite").option("header", True).option(
+        "nullValue", "NaN").partitionBy("name").csv(path)
+    return SG.read_xyz(v.spark, f"{path}/name=*")
+
+
+@query("s11_save_load_model")
+def _(v):
+    from terravane.operators import models as M
+    from terravane.operators.features import model_features
+
+    ready, fitted = M.prepare(v.stack)
+    model = M.random_forest(model_features(), weight=None, numTrees=5, maxDepth=4).fit(ready)
+    path = scratch("model")
+    M.save_model(model, fitted, path)
+    loaded, _ = M.load_model(v.spark, path)
+    return M.probability(loaded, ready).select("cell_id", "p")

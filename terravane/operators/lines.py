@@ -11,14 +11,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SEGMENT = 4096
 
 
-def _with_halo(df: DataFrame, axis: str, reach: int, segment: int) -> DataFrame:
+def with_halo(df: DataFrame, axis: str, reach: int, segment: int) -> DataFrame:
+    """Add ``_own`` (segment of the row) and ``_seg`` (a segment that sees it): rows
+    near a border appear once more in the segment beyond it."""
     pos = F.col(axis)
     own = F.floor(pos / F.lit(segment))
     touched = F.array_distinct(
@@ -38,7 +40,7 @@ def neighbours(
     adjacent cells on ``axis`` ('r' or 'c'); NULL where no such cell exists."""
     w = W.partitionBy(*by, _across(axis), "_seg").orderBy(axis)
     item = F.struct(F.col(axis).alias("_pos"), *[F.col(v) for v in values])
-    tagged = _with_halo(df, axis, 1, segment)
+    tagged = with_halo(df, axis, 1, segment)
     prev, nxt = F.lag(item).over(w), F.lead(item).over(w)
     out = tagged.withColumn("_prev", prev).withColumn("_next", nxt).filter("_seg = _own")
     here = F.col(axis)
@@ -49,28 +51,6 @@ def neighbours(
     )
 
 
-def gather(
-    df: DataFrame,
-    axis: str,
-    reach: int,
-    item: Column,
-    name: str,
-    by: Sequence[str] = ("site",),
-    segment: int = SEGMENT,
-) -> DataFrame:
-    """Add array column ``name`` with ``item`` of all cells at most ``reach``
-    positions away on ``axis`` (the cell itself included, gaps tolerated)."""
-    if reach >= segment:
-        raise ValueError("reach must be below the segment length")
-    w = W.partitionBy(*by, _across(axis), "_seg").orderBy(axis).rangeBetween(-reach, reach)
-    return (
-        _with_halo(df, axis, reach, segment)
-        .withColumn(name, F.collect_list(item).over(w))
-        .filter("_seg = _own")
-        .drop("_seg", "_own")
-    )
-
-
 def line_extreme(
     df: DataFrame, axis: str, reach: int, value: str, fn, by: Sequence[str] = ("site",), segment: int = SEGMENT
 ) -> DataFrame:
@@ -78,32 +58,36 @@ def line_extreme(
     most ``reach`` positions away on ``axis``."""
     w = W.partitionBy(*by, _across(axis), "_seg").orderBy(axis).rangeBetween(-reach, reach)
     return (
-        _with_halo(df, axis, reach, segment)
+        with_halo(df, axis, reach, segment)
         .withColumn(value, fn(value).over(w))
         .filter("_seg = _own")
         .drop("_seg", "_own")
     )
 
 
-def block(df: DataFrame, reach: int, values: Sequence[str], name: str = "near", by: Sequence[str] = ("site",)) -> DataFrame:
+def block(df: DataFrame, reach: int, values: Sequence[str], name: str = "near", by: Sequence[str] = ("site",),
+          segment: int = SEGMENT) -> DataFrame:
     """Add array ``name`` of structs ``(dr, dc, values...)``: every existing cell
-    of the square of side ``2 * reach + 1`` around each cell.
+    of the square of side ``2 * reach + 1`` around each cell (gaps tolerated).
 
-    Gathers along rows, then the gathered rows along columns: two shuffles of
-    the table instead of one copy of the table per offset.
+    Each cell is copied to the ``2 * reach + 1`` columns it can be seen from, and
+    one window down each column collects them: one shuffle, no copy per offset pair.
     """
-    row_item = F.struct(F.col("c").alias("c"), *[F.col(v).alias(v) for v in values])
-    rows = gather(df, "c", reach, row_item, "_line", by)
-    full = gather(rows, "r", reach, F.struct(F.col("r").alias("r"), F.col("_line").alias("line")), "_lines", by)
-    flat = F.flatten(
-        F.transform(
-            "_lines",
-            lambda line: F.transform(
-                line["line"],
-                lambda x: F.struct(
-                    (line["r"] - F.col("r")).alias("dr"), (x["c"] - F.col("c")).alias("dc"), *[x[v].alias(v) for v in values]
-                ),
-            ),
-        )
+    if reach >= segment:
+        raise ValueError("reach must be below the segment length")
+    seen = df.withColumn("_dc", F.explode(F.array(*[F.lit(d) for d in range(-reach, reach + 1)]))).withColumn(
+        "_tc", F.col("c") + F.col("_dc")
+    )
+    w = W.partitionBy(*by, "_tc", "_seg").orderBy("r").rangeBetween(-reach, reach)
+    item = F.struct(F.col("r").alias("r"), F.col("c").alias("c"), *[F.col(v).alias(v) for v in values])
+    near = F.transform(
+        "_items",
+        lambda x: F.struct((x["r"] - F.col("r")).alias("dr"), (x["c"] - F.col("c")).alias("dc"), *[x[v].alias(v) for v in values]),
+    )
+    return (
+        with_halo(seen, "r", reach, segment)
+        .withColumn("_items", F.collect_list(item).over(w))
+        .filter("_seg = _own AND _dc = 0")
+        .withColumn(name, near)
+        .drop("_seg", "_own", "_dc", "_tc", "_items")
     )
-    return full.withColumn(name, flat).drop("_line", "_lines")
