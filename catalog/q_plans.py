@@ -1 +1,64 @@
-"""Queries."""
+"""Queries of the end-to-end plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import q_feeds as QF
+from catalog.base import query, rnd
+from catalog.q_physics import DEPTH_SQL, FS_SQL
+from catalog.q_risk import LEVEL_SQL, severity_sql
+from catalog.q_terrain import DX, DY, GRAD
+from terravane.plans import flows
+
+KEY = ["site", "r", "c"]
+
+
+def _layers(v):
+    return v.cells.select("cell_id", *KEY).join(v.layers, "cell_id").drop("cell_id")
+
+
+@query("y1_build_features")
+def _(v):
+    depth = v.stack.select(*KEY, "avaflow_depth", "avaflow_velocity")
+    return flows.build_features(v.cells, _layers(v), DX, DY, depth)
+
+
+@query("y2_physics", f"""WITH {GRAD},
+so AS (SELECT site, DEGREES(ATAN(SQRT(gx*gx + gy*gy))) AS slope, landcover, sand_raw / 10e0 AS sand, silt_raw / 10e0 AS silt, clay_raw / 10e0 AS clay, soc_raw / 10e0 AS soc FROM g JOIN layers USING (cell_id)),
+pa AS (SELECT site, slope, GREATEST(0e0, LEAST(1e0, 0.1317e0 * (2.1e-4 * POWER((100 - clay) * (silt + sand), 1.14e0) * (12 - soc * 1.72e0) - 3.25e0) / 100)) AS k,
+  CASE WHEN clay > 35 THEN 5e0 WHEN silt > 50 THEN 3e0 ELSE 0e0 END AS cohesion, CASE WHEN clay > 35 THEN 25e0 WHEN silt > 50 THEN 30e0 ELSE 35e0 END AS phi, {DEPTH_SQL} AS soil_depth,
+  CASE landcover WHEN 10 THEN 0.01e0 WHEN 20 THEN 0.05e0 WHEN 30 THEN 0.10e0 WHEN 40 THEN 0.30e0 WHEN 50 THEN 0.05e0 WHEN 60 THEN 1e0 WHEN 80 THEN 0e0 WHEN 90 THEN 0e0 WHEN 95 THEN 0.01e0 ELSE 0.10e0 END AS c FROM so),
+fs AS (SELECT *, {FS_SQL.format(w='9.81e0')} AS fs, 3000 * k * LEAST(100e0, POWER(slope / 10, 1.3e0)) * c AS loss FROM pa)
+SELECT site, CAST(SUM(CASE WHEN fs < 1 AND soil_depth > 0 THEN 1 ELSE 0 END) AS BIGINT) AS release_cells, RND4(SUM(CASE WHEN fs < 1 THEN soil_depth ELSE 0 END) * 8280) AS release_volume,
+ RND(MIN(fs)) AS min_fs, RND4(SUM(loss)) AS soil_loss FROM fs GROUP BY site""")
+def _(v):
+    s = flows.physics_summary(flows.physics(v.cells, _layers(v), DX, DY), DX, DY)
+    return s.select("site", "release_cells", rnd("release_volume", 4).alias("release_volume"), rnd("min_fs").alias("min_fs"), rnd("soil_loss", 4).alias("soil_loss"))
+
+
+@query("y3_batch_training")
+def _(v):
+    label = v.stack.select(*KEY, "label")
+    _, folds = flows.batch_training(v.stack, label, 40, folds=3, numTrees=5, maxDepth=4)
+    return folds
+
+
+@query("y4_predict", f"""WITH {QF.RESOLVED}, {QF.PLACE_SITES}, {QF.SITE_SCORE},
+jn AS (SELECT rp.place, ps.site, rp.lat, score, confidence, COALESCE(rainfall_mm_h, 1.5e0) AS rain, c_custkey FROM rp JOIN ps USING (place) JOIN sv USING (site) LEFT JOIN pw USING (place) WHERE matched <> 'unmatched'),
+ac AS (SELECT *, score * {severity_sql('rain')} AS active FROM jn)
+SELECT place, site, REPLACE(LOWER(TRIM(place)), ' ', '_') || '_' || (c_custkey % 3) * 24 || 'h' AS site_name, RND(lat - 0.05e0) AS south, RND1(score) AS terrain_vulnerability, RND1(active) AS active_risk_score,
+ RND1(confidence) AS confidence_score, {LEVEL_SQL.format(x='active')} AS risk_level FROM ac""")
+def _(v):
+    q = QF.place_queries(v).withColumn("hours", (F.col("c_custkey") % 3) * 24)
+    out = flows.predict(q, QF.place_candidates(v), v.scored, QF.place_sites(v), QF.place_weather(v))
+    return out.select("place", "site", "site_name", rnd("south").alias("south"), "terrain_vulnerability", "active_risk_score", "confidence_score", "risk_level")
+
+
+@query("y5_site_run_status", """WITH r AS (SELECT s_suppkey AS site, s_nationkey % 4 <> 0 AS ok, s_suppkey * 37.25e0 AS s FROM supplier),
+m AS (SELECT *, CAST(FLOOR(s / 60) AS BIGINT) AS mi FROM r)
+SELECT site, ok, CASE WHEN s < 60 THEN FORMAT('{:.1f}s', s) WHEN mi < 60 THEN FORMAT('{}m {:.1f}s', mi, s - mi * 60) ELSE FORMAT('{}h {}m {:.0f}s', CAST(FLOOR(mi / 60) AS BIGINT), mi % 60, s - mi * 60) END AS elapsed,
+ (SELECT COUNT(*) FILTER (ok) FROM r) AS successful, (SELECT COUNT(*) FILTER (NOT ok) FROM r) AS failed, (SELECT COUNT(*) FROM r) AS total FROM m""")
+def _(v):
+    runs = v.supplier.select(F.col("s_suppkey").alias("site"), (F.col("s_nationkey") % 4 != 0).alias("ok"), (F.col("s_suppkey") * F.lit(37.25)).alias("seconds"))
+    return flows.run_status(runs)
