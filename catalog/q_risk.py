@@ -15,22 +15,22 @@ def _palette_sql(cls: str, palette: dict) -> str:
     return ", ".join(f"CASE {cls} {cases(i)} ELSE 0 END AS {n}" for i, n in enumerate(names))
 
 
-def _overlay_sql(scale: str) -> str:
+def _overlay_sql(value: str, cut: str) -> str:
+    steps = " + ".join(f"CAST({value} > {cut.format(i=i)} AS INT)" for i in (1, 2, 3, 4))
     return f"""WITH qv AS (SELECT site, QUANTILE_CONT(p, [0.2, 0.4, 0.6, 0.8]) AS q FROM scored WHERE p <> -9999 GROUP BY site),
-k AS (SELECT cell_id, CASE WHEN p = -9999 THEN 0 ELSE 1 + CAST(p * {scale} > q[1] AS INT) + CAST(p * {scale} > q[2] AS INT) + CAST(p * {scale} > q[3] AS INT)
-  + CAST(p * {scale} > q[4] AS INT) END AS risk_class FROM scored JOIN qv USING (site))
+k AS (SELECT cell_id, CASE WHEN p = -9999 THEN 0 ELSE 1 + {steps} END AS risk_class FROM scored JOIN qv USING (site))
 SELECT cell_id, risk_class, {_palette_sql('risk_class', K.RISK_PALETTE)} FROM k"""
 
 
 RGBA = ["red", "green", "blue", "alpha"]
 
 
-@query("r1_relative_overlay", _overlay_sql("1e0"))
+@query("r1_relative_overlay", _overlay_sql("p", "q[{i}]"))
 def _(v):
     return R.relative_overlay(v.scored).select("cell_id", "risk_class", *RGBA)
 
 
-@query("r2_active_overlay", _overlay_sql("0.6e0"))
+@query("r2_active_overlay", _overlay_sql("ROUND(p * 0.6e0, 9)", "ROUND(q[{i}], 9)"))
 def _(v):
     return R.active_overlay(v.scored, 0.6).select("cell_id", "risk_class", *RGBA)
 

@@ -1,7 +1,8 @@
 """Views over the given tables that carry the shapes of hazard data.
 
 The same text runs in Spark SQL and in DuckDB.  1,500 consecutive order keys
-form one site of 30 x 50 cells.
+form one site of 30 x 50 cells.  Values are rounded by FLOOR: the engines' ROUND
+differs in the last digit of exact halves.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ SELECT CAST(FLOOR(o_orderkey / 1500) AS INT) AS site,
        CAST(o_orderkey % 50 AS INT) AS c,
        o_orderkey AS cell_id,
        CASE WHEN o_orderkey % 97 = 0 THEN CAST(0 AS DOUBLE)
-            ELSE ROUND(2.0 * (29 - FLOOR((o_orderkey % 1500) / 50)) + o_totalprice / 20000.0, 2) END AS z
+            ELSE FLOOR((2.0 * (29 - FLOOR((o_orderkey % 1500) / 50)) + o_totalprice / 20000.0) * 100 + 0.5) / 100 END AS z
 FROM orders""",
     "layers": """
 SELECT o_orderkey AS cell_id,
@@ -80,7 +81,7 @@ FROM events e JOIN nation n ON n.n_nationkey = CAST(e.user_id % 25 AS INT)""",
 SELECT o_orderkey AS cell_id, CAST(FLOOR(o_orderkey / 1500) AS INT) AS site,
        CAST(FLOOR((o_orderkey % 1500) / 50) AS INT) AS r, CAST(o_orderkey % 50 AS INT) AS c,
        CASE WHEN o_orderkey % 53 = 0 THEN CAST(-9999 AS DOUBLE)
-            ELSE ROUND(o_totalprice / 500000.0, 3) END AS p,
+            ELSE FLOOR(o_totalprice / 500.0 + 0.5) / 1000 END AS p,
        CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END AS y,
        CAST(o_custkey % 5 AS INT) AS fold
 FROM orders""",
@@ -91,7 +92,7 @@ SELECT CAST(FLOOR(o.o_orderkey / 1500) AS INT) AS site,
        o.o_orderkey AS cell_id,
        CASE WHEN o.o_orderkey % 97 = 0 THEN CAST(0 AS DOUBLE)
             WHEN o.o_orderkey % 101 = 0 THEN CAST(NULL AS DOUBLE)
-            ELSE ROUND(o.o_totalprice / 2000.0, 2) END AS elevation,
+            ELSE FLOOR(o.o_totalprice / 20.0 + 0.5) / 100 END AS elevation,
        CASE WHEN o.o_orderkey % 211 = 0 THEN CAST(NULL AS DOUBLE)
             ELSE CAST((o.o_custkey * 7 + o.o_orderkey) % 450 AS DOUBLE) / 10.0 END AS slope,
        CAST((o.o_orderkey * 37) % 360 AS DOUBLE) AS aspect,
@@ -107,7 +108,7 @@ SELECT CAST(FLOOR(o.o_orderkey / 1500) AS INT) AS site,
        CAST(o.o_custkey % 100 AS DOUBLE) / 100.0 AS c_factor,
        CAST(3000 AS DOUBLE) AS r_factor,
        CAST(10 + o.o_custkey % 40 AS DOUBLE) / 1000.0 AS manning_n,
-       ROUND(o.o_totalprice / 1000.0, 1) AS rusle_soil_loss,
+       FLOOR(o.o_totalprice / 100.0 + 0.5) / 10 AS rusle_soil_loss,
        CASE WHEN o.o_orderkey % 13 = 0 THEN CAST(999 AS DOUBLE)
             ELSE CAST(o.o_orderkey % 300 AS DOUBLE) / 100.0 END AS factor_of_safety,
        CAST(o.o_custkey % 50 AS DOUBLE) / 10.0 AS avaflow_depth,

@@ -50,7 +50,8 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[floa
         .withColumn("_before", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
         .withColumn("_total", F.sum("_bn").over(whole))
     )
-    spot = [F.lit(p) * (F.col("_total") - 1) for p in probs]
+    # Ranks such as 0.1 * 30 are whole numbers; rounding removes the float noise.
+    spot = [F.round(F.lit(p) * (F.col("_total") - 1), 6) for p in probs]
     low = [F.floor(x) for x in spot]
     high = [F.ceil(x) for x in spot]
 
@@ -68,7 +69,8 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[floa
         aggs.append(F.max(F.when(inside(lo, F.col("_start"), F.col("_n")), F.col("_v"))).alias(f"_lo{i}"))
         aggs.append(F.max(F.when(inside(hi, F.col("_start"), F.col("_n")), F.col("_v"))).alias(f"_hi{i}"))
     out = ranked.groupBy(*keys).agg(*aggs)
-    frac = [F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1)) for p in probs]
+    place = [F.round(F.lit(p) * (F.col("n") - 1), 6) for p in probs]
+    frac = [x - F.floor(x) for x in place]
     values = [
         F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * frac[i] for i in range(len(probs))
     ]

@@ -42,7 +42,10 @@ def relative_overlay(df: DataFrame, multiplier: Column | float | None = None, p:
     cuts = quantiles(flat, ["site"], "_p", QUINTILES, "_q").select("site", "_q")
     value = F.col("_p")
     if multiplier is not None:
-        value = _clamp(value * (multiplier if isinstance(multiplier, Column) else F.lit(float(multiplier))))
+        # Products are compared at nine decimals, so that equality with a break holds.
+        scaled = value * (multiplier if isinstance(multiplier, Column) else F.lit(float(multiplier)))
+        value = F.round(_clamp(scaled), 9)
+        cuts = cuts.withColumn("_q", F.transform("_q", lambda q: F.round(q, 9)))
     out = attach(flat, cuts, ["site"], "left").withColumn(
         "risk_class", F.when(F.col("_p").isNotNull(), class_by_breaks(value, F.col("_q"), 4)).otherwise(F.lit(0))
     )
