@@ -84,14 +84,14 @@ def _ready(v):
 @query("h9_random_forest")
 def _(v):
     ready, names, _ = _ready(v)
-    model = M.random_forest(names, **SMALL_FOREST).fit(X.with_class_weight(ready))
+    model = M.fit(M.random_forest(names, **SMALL_FOREST), ready)
     return M.probability(model, ready).select("cell_id", "label", "p")
 
 
 @query("h10_gradient_boosting")
 def _(v):
     ready, names, _ = _ready(v)
-    model = M.gradient_boosting(names, **SMALL_BOOSTING).fit(X.with_class_weight(ready, "positive"))
+    model = M.fit(M.gradient_boosting(names, **SMALL_BOOSTING), ready, "positive")
     return M.probability(model, ready).select("cell_id", "label", "p")
 
 
@@ -157,14 +157,14 @@ def _(v):
 @query("h17_feature_importance")
 def _(v):
     ready, names, _ = _ready(v)
-    model = M.random_forest(names, **SMALL_FOREST).fit(X.with_class_weight(ready))
+    model = M.fit(M.random_forest(names, **SMALL_FOREST), ready)
     return M.feature_importance(model, names, v.spark)
 
 
 @query("h18_score_cells")
 def _(v):
     ready, names, fitted = _ready(v)
-    model = M.random_forest(names, **SMALL_FOREST).fit(X.with_class_weight(ready))
+    model = M.fit(M.random_forest(names, **SMALL_FOREST), ready)
     return M.score_cells(model, v.stack, names, FEATURES, fitted)
 
 
@@ -173,7 +173,7 @@ def _(v):
     train = v.stack.filter("site % 2 = 0")
     ready, fitted = M.prepare(train)
     names = X.model_features()
-    model = M.random_forest(names, **SMALL_FOREST).fit(X.with_class_weight(ready))
+    model = M.fit(M.random_forest(names, **SMALL_FOREST), ready)
     path = tempfile.mkdtemp(prefix="terravane-model-")
     M.save_model(model, fitted, path)
     loaded, stored = M.load_model(v.spark, path)

@@ -176,7 +176,7 @@ def _(v):
     from terravane.operators.features import model_features
 
     ready, fitted = M.prepare(v.stack)
-    model = M.random_forest(model_features(), weight=None, numTrees=5, maxDepth=4).fit(ready)
+    model = M.fit(M.random_forest(model_features(), weight=None, numTrees=5, maxDepth=4), ready, None)
     path = scratch("model")
     M.save_model(model, fitted, path)
     loaded, _ = M.load_model(v.spark, path)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane.operators.joins import attach, attach_single
-from terravane.operators.ranks import medians
+from terravane.operators.ranks import medians, melt
 from terravane.operators.sampling import FEATURES, finite
 
 # Landcover classes of the indicators and the skewed features.
@@ -52,11 +52,18 @@ def impute_inf_median(df: DataFrame, features: Sequence[str], fitted: DataFrame
 
 
 def fit_scaler(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """One row with mean and population deviation (0 counts as 1) per feature."""
-    return df.agg(
-        *[F.avg(f).alias(f"{f}__mean") for f in features],
-        *[F.stddev_pop(f).alias(f"{f}__sd") for f in features],
-    ).withColumns({f"{f}__sd": F.when(F.col(f"{f}__sd") > 0, F.col(f"{f}__sd")).otherwise(F.lit(1.0)) for f in features})
+    """One row with mean and population deviation (0 counts as 1) per feature.
+
+    Aggregated in long form: two aggregates over (feature, value) compile to tight
+    code, two per feature in one wide aggregate do not.
+    """
+    stats = melt(df, [], features).groupBy("k").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+    pick = lambda i, c: F.max(F.when(F.col("k") == i, F.col(c)))
+    wide = stats.agg(
+        *[pick(i, "mean").alias(f"{f}__mean") for i, f in enumerate(features)],
+        *[pick(i, "sd").alias(f"{f}__sd") for i, f in enumerate(features)],
+    )
+    return wide.withColumns({f"{f}__sd": F.when(F.col(f"{f}__sd") > 0, F.col(f"{f}__sd")).otherwise(F.lit(1.0)) for f in features})
 
 
 def standard_scale(df: DataFrame, features: Sequence[str], scaler: DataFrame | None = None) -> DataFrame:

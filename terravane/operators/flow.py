@@ -112,17 +112,17 @@ def flow_accumulation(df: DataFrame, tile: int = TILE) -> DataFrame:
         f"site {site_type}, r int, c int, er int, ec int, leaves boolean, "
         "rr double, rc double, is_exit boolean, w double"
     )
-    rims = settle(cells.groupBy("site", "tr", "tc").applyInPandas(rim, schema))
-    exits = rims.filter("is_exit").select(
-        "site", "r", "c", F.col("rr").cast("int").alias("rr"), F.col("rc").cast("int").alias("rc"), "w"
-    )
-    inflow_schema = "site, rr AS r, rc AS c"
-    if exits.limit(1).count() == 0:
-        inflow = exits.selectExpr(*inflow_schema.split(", "), "w AS inflow")
+    leaving = (F.floor(F.col("rr") / tile) != F.col("tr")) | (F.floor(F.col("rc") / tile) != F.col("tc"))
+    crossing = cells.filter(leaving)
+    if crossing.limit(1).count() == 0:
+        inflow = crossing.select("site", F.col("rr").alias("r"), F.col("rc").alias("c"), F.lit(0.0).alias("inflow"))
     else:
+        rims = settle(cells.groupBy("site", "tr", "tc").applyInPandas(rim, schema))
+        exits = rims.filter("is_exit").select(
+            "site", "r", "c", F.col("rr").cast("int").alias("rr"), F.col("rc").cast("int").alias("rc"), "w"
+        )
         totals = _sum_paths(exits, rims)
-        inflow = totals.groupBy("site", "rr", "rc").agg(F.sum("w").alias("inflow"))
-        inflow = inflow.selectExpr(*inflow_schema.split(", "), "inflow")
+        inflow = totals.groupBy("site", F.col("rr").alias("r"), F.col("rc").alias("c")).agg(F.sum("w").alias("inflow"))
     inflow = inflow.withColumn("tr", F.floor(F.col("r") / tile).cast("int")).withColumn(
         "tc", F.floor(F.col("c") / tile).cast("int")
     )

@@ -46,16 +46,22 @@ def prepare(df: DataFrame, features: Sequence[str] | None = None, medians: DataF
     inputs = list(features) if features else X.model_features()
     out = X.log1p_clip(X.one_hot(df))
     inputs = [f for f in inputs if f in out.columns]
+    # The indicators are never missing, only the other inputs need a median.
+    gaps = [f for f in inputs if not f.startswith("landcover_")]
     if medians is None or refit_medians:
-        medians = settle(X.fit_medians(out, inputs))
-    out = X.impute_inf_median(out, inputs, medians)
+        medians = settle(X.fit_medians(out, gaps))
+    out = X.impute_inf_median(out, gaps, medians)
     if scaler is None:
         scaler = settle(X.fit_scaler(out, inputs))
     return X.standard_scale(out, inputs, scaler), {"medians": medians, "scaler": scaler}
 
 
-def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
-    return pipeline.fit(train)
+def fit(pipeline: Pipeline, train: DataFrame, weigh: str | None = "balanced", label: str = "label") -> PipelineModel:
+    """Train on a materialised table, spread evenly: the learner reads it many times."""
+    columns = [*pipeline.getStages()[0].getInputCols(), label]
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    data = settle(train.select(*columns).repartition(cores))
+    return pipeline.fit(X.with_class_weight(data, weigh, label) if weigh else data)
 
 
 def probability(model: PipelineModel, df: DataFrame, name: str = "p") -> DataFrame:
@@ -78,7 +84,7 @@ def cross_validate(df: DataFrame, build: Callable[[], Pipeline], folds: int, fol
         if classes < 2:
             parts.append(test.withColumn("p", F.lit(0.0)))
             continue
-        model = build().fit(X.with_class_weight(train, weigh, label) if weigh else train)
+        model = fit(build(), train, weigh, label)
         parts.append(probability(model, test))
     out = parts[0]
     for p in parts[1:]:

@@ -77,14 +77,17 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[floa
     return out.select(*(keys if by else []), F.array(*values).alias(name), "n")
 
 
+def melt(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """One row ``(by, k, x)`` per cell and column; ``k`` is the column's position."""
+    xs = F.array(*[F.col(v).cast("double") for v in values])
+    return df.select(*by, F.posexplode(xs).alias("k", "x"))
+
+
 def medians(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Exact medians of several columns per group: one long pass, one row per group."""
     keys = list(by)
-    long = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(v).alias("feature"), F.col(v).cast("double").alias("x")) for v in values
-    ])).alias("_kv")).select(*keys, "_kv.feature", "_kv.x")
-    med = quantiles(long, [*keys, "feature"], "x", [0.5], "m")
-    aggs = [F.max(F.when(F.col("feature") == v, F.col("m")[0])).alias(v) for v in values]
+    med = quantiles(melt(df, keys, values), [*keys, "k"], "x", [0.5], "m")
+    aggs = [F.max(F.when(F.col("k") == i, F.col("m")[0])).alias(v) for i, v in enumerate(values)]
     return med.groupBy(*keys).agg(*aggs) if keys else med.agg(*aggs)
 
 
