@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from terravane.functions.numbers import clip
+
 # ---- fixed values: landcover lookups ---------------------------------------
 C_FACTOR = {10: 0.01, 20: 0.05, 30: 0.10, 40: 0.30, 50: 0.05, 60: 1.00, 80: 0.00, 90: 0.00, 95: 0.01}
 C_FACTOR_DEFAULT = 0.10
@@ -53,7 +55,7 @@ def k_factor(sand: Column, silt: Column, clay: Column, soc: Column) -> Column:
     organic = soc * F.lit(1.72)
     texture = F.lit(2.1e-4) * F.pow(m, F.lit(1.14)) * (F.lit(12.0) - organic)
     k = F.lit(0.1317) * (texture + F.lit(3.25 * (1 - 2) + 2.5 * (3 - 3))) / F.lit(100.0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), k))
+    return clip(k, 0, 1)
 
 
 def cohesion(silt: Column, clay: Column) -> Column:
@@ -99,7 +101,7 @@ def scale_by_rain(r: Column, rain_mm_h) -> Column:
 
 def ls_factor(slope_deg: Column) -> Column:
     ls = F.pow(slope_deg / F.lit(10.0), F.lit(1.3))
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), ls))
+    return clip(ls, 0, 100)
 
 
 def soil_loss(r: Column, k: Column, ls: Column, c: Column, p: float = 1.0) -> Column:
@@ -131,7 +133,7 @@ WET_DEPTH = 0.001
 
 
 def water_depth(stage: Column, bed: Column) -> Column:
-    return F.greatest(F.lit(0.0), stage - bed)
+    return clip(stage - bed, 0)
 
 
 def speed(depth: Column, xmom: Column, ymom: Column) -> Column:
@@ -152,7 +154,7 @@ def flow_alpha(h: Column, minimum: float, reference: float, gamma: float) -> Col
 
 
 def flow_alpha_max(h_max: Column, minimum: float, reference: float, gamma: float) -> Column:
-    return F.least(F.lit(0.35), flow_alpha(h_max, minimum, reference, gamma))
+    return clip(flow_alpha(h_max, minimum, reference, gamma), high=0.35)
 
 
 def blend(colour, alpha: Column, grey: Column, grey_scale: float = 254.9) -> Column:
@@ -167,7 +169,7 @@ def phase_share(h_phase: Column, h: Column, offset: Column | None = None, shift:
     share = F.lit(float(shift)) + h_phase / h
     if offset is not None:
         share = share + offset
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+    return clip(share, 0, 1)
 
 
 def wave_offset(h: Column, bed: Column, h0: Column, bed0: Column, reference: float) -> Column:

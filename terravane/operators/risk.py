@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terravane.functions.numbers import clip
 from terravane.functions.risk import (
     CLASS_NAMES, NODATA, RISK_PALETTE, SILT_PALETTE, class_by_breaks, palette_channel, risk_level, weather_severity,
 )
@@ -25,7 +26,7 @@ def valid(p: Column) -> Column:
 
 
 def _clamp(p: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
+    return clip(p, 0, 1)
 
 
 def _rgba(df: DataFrame, cls: str, palette: dict) -> DataFrame:
@@ -95,7 +96,7 @@ def site_scores(df: DataFrame, p: str = "p") -> DataFrame:
     score = (
         F.col("_p90") * 0.3 + F.col("_max") * 0.2 + F.coalesce("_mean_high", F.lit(0.0)) * 0.3 + F.col("_share") * 0.2
     ) * 100
-    cap = lambda e: F.coalesce(F.least(F.lit(100.0), e), F.lit(0.0))
+    cap = lambda e: F.coalesce(clip(e, high=100), F.lit(0.0))
     return stats.join(p90, "site", "left").select(
         "site", cap(score).alias("score"), cap(F.col("_sure") * 100).alias("confidence")
     )

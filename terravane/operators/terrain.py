@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terravane.functions.numbers import clip
 from terravane.operators.joins import attach
 from terravane.operators.lines import neighbours
 from terravane.operators.ranks import quantiles
@@ -70,13 +71,12 @@ def curvatures(df: DataFrame, dx, dy, value: str = "z") -> DataFrame:
     zx, zy, xx, yy, xy = (F.col(n) for n in ("dzdx", "dzdy", "_xx", "_yy", "_xy"))
     p = zx * zx + zy * zy
     q = p + 1.0
-    lim = F.lit(CURVATURE_LIMIT)
-    clip = lambda e: F.greatest(-lim, F.least(lim, e))
+    lim = CURVATURE_LIMIT
     along = -(zx * zx * xx + zx * zy * xy * 2 + zy * zy * yy) / (p * F.sqrt(q * q * q))
     across = -(zy * zy * xx - zx * zy * xy * 2 + zx * zx * yy) / (p * F.sqrt(p))
     return (
-        g.withColumn("profile_curvature", F.when(p > 1e-10, clip(along)).when(p.isNotNull(), F.lit(0.0)))
-        .withColumn("plan_curvature", F.when(p > 1e-10, clip(across)).when(p.isNotNull(), F.lit(0.0)))
+        g.withColumn("profile_curvature", F.when(p > 1e-10, clip(along, -lim, lim)).when(p.isNotNull(), F.lit(0.0)))
+        .withColumn("plan_curvature", F.when(p > 1e-10, clip(across, -lim, lim)).when(p.isNotNull(), F.lit(0.0)))
         .drop("_xx", "_xy", "_yy")
     )
 
@@ -85,8 +85,8 @@ def twi(acc: Column, slope: Column, dx, dy) -> Column:
     """Topographic wetness index, limited to -5 .. 30."""
     dx, dy = _num(dx), _num(dy)
     area = acc * (dx * dy) / ((dx + dy) / 2.0)
-    steep = F.greatest(F.tan(F.radians(slope)), F.lit(0.001))
-    return F.greatest(F.lit(TWI_RANGE[0]), F.least(F.lit(TWI_RANGE[1]), F.log(area / steep)))
+    steep = clip(F.tan(F.radians(slope)), 0.001)
+    return clip(F.log(area / steep), *TWI_RANGE)
 
 
 def streams(df: DataFrame, acc: str = "acc", top_percent: float = 5.0) -> DataFrame:
@@ -143,7 +143,7 @@ def hillshade(slope: Column, aspect: Column, altitude: float = 30.0, azimuth: fl
     sun = F.radians(F.lit((450.0 - azimuth) % 360.0))
     s, a = F.radians(slope), F.radians(aspect)
     light = F.cos(zenith) * F.cos(s) + F.sin(zenith) * F.sin(s) * F.cos(sun - a)
-    return F.greatest(F.lit(0.0), light * 255.0)
+    return clip(light * 255.0, 0)
 
 
 def grey(shade: Column) -> Column:
@@ -183,5 +183,5 @@ def scarp_surface(df: DataFrame, planes: Sequence[tuple[float, float, float, flo
         bx, by = float(tilt * np.cos(np.radians(dip))), float(tilt * np.sin(np.radians(dip)))
         surfaces.append(F.lit(float(pz)) + (F.col(y) - F.lit(float(py))) * F.lit(by) - (F.col(x) - F.lit(float(px))) * F.lit(bx))
     top = surfaces[0] if len(surfaces) == 1 else F.greatest(*surfaces)
-    scarp = F.when(F.col(perimeter) > 0, F.least(F.col(z), top)).otherwise(F.col(z))
+    scarp = F.when((F.col(perimeter) > 0) & F.col(z).isNotNull(), F.least(F.col(z), top)).otherwise(F.col(z))
     return df.withColumn("scarp", scarp).withColumn("release", F.col(z) - F.col("scarp"))
