@@ -58,7 +58,16 @@ def _(v):
     return X.spatial_blocks(v.stack, row="r", col="c").select("cell_id", "block")
 
 
-@query("h7_group_folds")
+# Greedy assignment as a recursion over the blocks from large to small.
+FOLDS = BLOCK_SQL + """,
+ob AS (SELECT block, COUNT(*) AS n, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, block) AS rn FROM bl GROUP BY block),
+gr AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS l0, CAST(0 AS BIGINT) AS l1, CAST(0 AS BIGINT) AS l2, CAST(0 AS BIGINT) AS l3, CAST(0 AS BIGINT) AS l4, -1 AS f, CAST(0 AS BIGINT) AS n
+ UNION ALL SELECT rn, l0 + CASE f2 WHEN 0 THEN n2 ELSE 0 END, l1 + CASE f2 WHEN 1 THEN n2 ELSE 0 END, l2 + CASE f2 WHEN 2 THEN n2 ELSE 0 END, l3 + CASE f2 WHEN 3 THEN n2 ELSE 0 END,
+  l4 + CASE f2 WHEN 4 THEN n2 ELSE 0 END, f2, n2 FROM (SELECT ob.rn, ob.n AS n2, l0, l1, l2, l3, l4, CASE LEAST(l0, l1, l2, l3, l4) WHEN l0 THEN 0 WHEN l1 THEN 1 WHEN l2 THEN 2 WHEN l3 THEN 3 ELSE 4 END AS f2
+   FROM gr JOIN ob ON ob.rn = gr.i + 1))"""
+
+
+@query("h7_group_folds", f"WITH RECURSIVE {FOLDS} SELECT f AS fold, CAST(SUM(n) AS BIGINT) AS n, COUNT(*) AS blocks FROM gr WHERE f >= 0 GROUP BY f")
 def _(v):
     f = X.group_folds(X.spatial_blocks(v.stack, row="r", col="c"), 5)
     return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("block").alias("blocks"))

@@ -194,18 +194,21 @@ def _run(v, stream):
     return v.spark.read.schema(stream.schema).parquet(f"{out}/table")
 
 
-@query("w19_dam_stream")
+# The stream emits the windows that the watermark (two hours behind) has passed.
+@query("w19_dam_stream", """SELECT dam_id, DATE_TRUNC('hour', ts) AS window_start, MAX(ts) AS last_ts, ARG_MAX(level, ts) AS level,
+ CASE WHEN ARG_MAX(level, ts) >= 120 THEN 'RED' WHEN ARG_MAX(level, ts) >= 90 THEN 'ORANGE' WHEN ARG_MAX(level, ts) >= 60 THEN 'BLUE' ELSE 'NORMAL' END AS alert
+FROM dam_readings GROUP BY dam_id, DATE_TRUNC('hour', ts) HAVING DATE_TRUNC('hour', MAX(ts)) + INTERVAL 3 HOURS <= (SELECT MAX(ts) FROM dam_readings)""")
 def _(v):
     r = _stream(v).select(F.col("user_id").alias("dam_id"), "ts", F.col("value").alias("level"), F.lit(120.0).alias("red"), F.lit(90.0).alias("orange"), F.lit(60.0).alias("blue"))
     return _run(v, ST.dam_states(r))
 
 
-@query("w19_alert_stream")
+@query("w19_alert_stream", f"WITH {REGIONAL}, ev AS (SELECT DISTINCT CASE event_type WHEN 'error' THEN 'Very heavy rain' WHEN 'purchase' THEN 'Heavy rain' ELSE 'Light rain' END || ' zone ' || user_id % 20 AS description FROM events WHERE 'NATION_' || user_id % 25 IN ('NATION_2', 'NATION_3') OR CONTAINS('NATION_' || user_id % 25, 'NATION_1')) SELECT description, {SEVERITY} AS severity FROM ev")
 def _(v):
     text = F.when(F.col("event_type") == "error", "Very heavy rain").when(F.col("event_type") == "purchase", "Heavy rain").otherwise("Light rain")
     items = _stream(v).select("event_id", F.col("ts").alias("published"), F.concat(F.lit("NATION_"), F.col("user_id") % 25).alias("title"),
                               F.concat(text, F.lit(" zone "), F.col("user_id") % 20).alias("description"))
-    return _run(v, ST.alert_stream(items, districts=AREA[0], state=AREA[1]))
+    return _run(v, ST.alert_stream(items, districts=AREA[0], state=AREA[1])).select("description", "severity")
 
 
 SITE_SCORE = """sv AS (SELECT site, LEAST(100e0, 100 * (0.3e0 * QUANTILE_CONT(p, 0.9) + 0.2e0 * MAX(p) + 0.3e0 * COALESCE(AVG(p) FILTER (p > 0.5), 0) + 0.2e0 * AVG(CASE WHEN p > 0.5 THEN 1e0 ELSE 0e0 END))) AS score,

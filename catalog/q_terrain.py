@@ -51,17 +51,19 @@ def _(v):
     return T.slope_aspect(v.cells, DX, DY).select("cell_id", rnd("slope", 4).alias("slope"), rnd("aspect", 4).alias("aspect"))
 
 
-@query("t3_curvatures", f"""WITH {GRAD},
-n AS (SELECT *, LAG(gx) OVER x AS xw, LEAD(gx) OVER x AS xe, LAG(gx) OVER y AS xn, LEAD(gx) OVER y AS xs, LAG(gy) OVER y AS yn, LEAD(gy) OVER y AS ys
+CURVE = """
+nn AS (SELECT *, LAG(gx) OVER x AS xw, LEAD(gx) OVER x AS xe, LAG(gx) OVER y AS xn, LEAD(gx) OVER y AS xs, LAG(gy) OVER y AS yn, LEAD(gy) OVER y AS ys
   FROM g WINDOW x AS (PARTITION BY site, r ORDER BY c), y AS (PARTITION BY site, c ORDER BY r)),
 h AS (SELECT cell_id, gx, gy, gx*gx + gy*gy AS p,
   CASE WHEN xw IS NOT NULL AND xe IS NOT NULL THEN (xe - xw) / 180e0 WHEN xe IS NOT NULL THEN (xe - gx) / 90e0 ELSE (gx - xw) / 90e0 END AS xx,
   CASE WHEN xn IS NOT NULL AND xs IS NOT NULL THEN (xs - xn) / 184e0 WHEN xs IS NOT NULL THEN (xs - gx) / 92e0 ELSE (gx - xn) / 92e0 END AS xy,
-  CASE WHEN yn IS NOT NULL AND ys IS NOT NULL THEN (ys - yn) / 184e0 WHEN ys IS NOT NULL THEN (ys - gy) / 92e0 ELSE (gy - yn) / 92e0 END AS yy FROM n)
-SELECT cell_id,
-  RND(CASE WHEN p > 1e-10 THEN GREATEST(-10e0, LEAST(10e0, -(gx*gx*xx + 2*gx*gy*xy + gy*gy*yy) / (p * SQRT((p+1)*(p+1)*(p+1))))) ELSE 0 END) AS profile_curvature,
-  RND(CASE WHEN p > 1e-10 THEN GREATEST(-10e0, LEAST(10e0, -(gy*gy*xx - 2*gx*gy*xy + gx*gx*yy) / (p * SQRT(p)))) ELSE 0 END) AS plan_curvature
-FROM h""")
+  CASE WHEN yn IS NOT NULL AND ys IS NOT NULL THEN (ys - yn) / 184e0 WHEN ys IS NOT NULL THEN (ys - gy) / 92e0 ELSE (gy - yn) / 92e0 END AS yy FROM nn),
+cv AS (SELECT cell_id,
+  CASE WHEN p > 1e-10 THEN GREATEST(-10e0, LEAST(10e0, -(gx*gx*xx + 2*gx*gy*xy + gy*gy*yy) / (p * SQRT((p+1)*(p+1)*(p+1))))) ELSE 0 END AS profile_curvature,
+  CASE WHEN p > 1e-10 THEN GREATEST(-10e0, LEAST(10e0, -(gy*gy*xx - 2*gx*gy*xy + gx*gx*yy) / (p * SQRT(p)))) ELSE 0 END AS plan_curvature FROM h)"""
+
+
+@query("t3_curvatures", f"WITH {GRAD}, {CURVE} SELECT cell_id, RND(profile_curvature) AS profile_curvature, RND(plan_curvature) AS plan_curvature FROM cv")
 def _(v):
     return T.curvatures(v.cells, DX, DY).select(
         "cell_id", rnd("profile_curvature").alias("profile_curvature"), rnd("plan_curvature").alias("plan_curvature"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terravane.operators.joins import attach
 from terravane.operators.lines import block, neighbours
+from terravane.operators.ranks import group_medians
 
 # Fixed values
 CLOUD_BITS = (10, 11)
@@ -67,8 +68,8 @@ def normalized_difference(a: Column, b: Column) -> Column:
 
 
 def median_composite(df: DataFrame, bands: Sequence[str], by: Sequence[str] = ("site", "r", "c")) -> DataFrame:
-    """Per-cell median over scenes (a cell has at most one value per scene)."""
-    return df.groupBy(*by).agg(*[F.median(b).alias(b) for b in bands])
+    """Per-cell median over scenes; cells with very many scenes are split off."""
+    return group_medians(df, by, {b: F.col(b) for b in bands})
 
 
 def index_composite(df: DataFrame, a: str, b: str, name: str, by: Sequence[str], order: str = "index_first") -> DataFrame:
@@ -89,9 +90,8 @@ def windowed_change(df: DataFrame, value: str, split, by: Sequence[str], name: s
     """Median before minus median from ``split`` on, in one aggregation (the
     pre- and post-event composites share one scan and one shuffle)."""
     before = F.col("acquired") < F.lit(split)
-    return df.groupBy(*by).agg(
-        (F.median(F.when(before, F.col(value))) - F.median(F.when(~before, F.col(value)))).alias(name)
-    )
+    both = group_medians(df, by, {"_pre": F.when(before, F.col(value)), "_post": F.when(~before, F.col(value))})
+    return both.select(*by, (F.col("_pre") - F.col("_post")).alias(name))
 
 
 def above(value: Column, threshold) -> Column:

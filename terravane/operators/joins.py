@@ -11,6 +11,8 @@ from terravane.session import settle
 
 # A side is broadcast only after counting at most this many rows (~10 MB).
 BROADCAST_ROWS = 100_000
+# Keys with more rows than this are joined with salt.
+HOT_ROWS = 1_000_000
 SALTS = 64
 
 
@@ -23,21 +25,35 @@ def salted_join(
     """
     keys = list(on)
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    copies = small.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Shuffle join with the hot keys of ``big`` apart: rows of keys above
+    :data:`HOT_ROWS` are salted, all others joined as they are."""
+    keys = list(on)
+    hot = settle(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > HOT_ROWS).select(*keys))
+    found = hot.limit(BROADCAST_ROWS + 1).count()
+    if found == 0:
+        return big.join(small, keys, how)
+    hot = F.broadcast(hot) if found <= BROADCAST_ROWS else hot
+    cold = big.join(hot, keys, "left_anti").join(small, keys, how)
+    warm = salted_join(big.join(hot, keys, "left_semi"), small.join(hot, keys, "left_semi"), keys, how)
+    return cold.unionByName(warm)
+
+
 def attach(big: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join per-group statistics onto every row of a large table.
 
     ``stats`` has one row per group.  It is materialised once and counted: up to
     :data:`BROADCAST_ROWS` it is broadcast, so ``big`` is not shuffled and a hot
-    group costs nothing; beyond that the join is salted.
+    group costs nothing; beyond that hot keys are split off and salted.
     """
     stats = settle(stats)
     if stats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(stats), list(on), how)
-    return salted_join(big, stats, on, how)
+    return skew_join(big, stats, on, how)
 
 
 def attach_single(big: DataFrame, one_row: DataFrame) -> DataFrame:

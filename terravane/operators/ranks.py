@@ -15,9 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terravane.operators.joins import BROADCAST_ROWS
+from terravane.session import settle
+
 # Buckets per natural-log unit; a bucket spans about 0.1 % of a value.
 DETAIL = 1024
 _SCALE = float(2**20)
+# Rows from which a group counts as hot.
+HOT_GROUP = 100_000
 
 
 def order_bucket(value: Column, detail: int = DETAIL) -> Column:
@@ -91,6 +96,24 @@ def medians(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFram
     return med.groupBy(*keys).agg(*aggs) if keys else med.agg(*aggs)
 
 
+def group_medians(df: DataFrame, by: Sequence[str], values: dict[str, Column], hot_rows: int = HOT_GROUP) -> DataFrame:
+    """Medians per small group (a cell's scenes) by the built-in aggregate, which
+    keeps a group's values in one task; groups above ``hot_rows`` rows are split
+    off and ranked by :func:`quantiles`."""
+    keys, names = list(by), list(values)
+    src = df.select(*keys, *[e.cast("double").alias(n) for n, e in values.items()])
+    hot = settle(src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > hot_rows).select(*keys))
+    plain = [F.median(n).alias(n) for n in names]
+    found = hot.limit(BROADCAST_ROWS + 1).count()
+    if found == 0:
+        return src.groupBy(*keys).agg(*plain)
+    hot = F.broadcast(hot) if found <= BROADCAST_ROWS else hot
+    cold = src.join(hot, keys, "left_anti").groupBy(*keys).agg(*plain)
+    # A group without any value keeps its row.
+    ranked = hot.join(medians(src.join(hot, keys, "left_semi"), keys, names), keys, "left")
+    return cold.unionByName(ranked.select(*keys, *names))
+
+
 def running_sums(
     df: DataFrame, by: Sequence[str], order: str, sums: dict[str, Column], descending: bool = True
 ) -> DataFrame:

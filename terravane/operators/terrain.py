@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from terravane.functions.numbers import clip
 from terravane.operators.joins import attach
-from terravane.operators.lines import neighbours
+from terravane.operators.lines import SEGMENT, neighbours
 from terravane.operators.ranks import quantiles
+from terravane.session import settle
 
 CURVATURE_LIMIT = 10.0
 TWI_RANGE = (-5.0, 30.0)
@@ -96,21 +97,42 @@ def streams(df: DataFrame, acc: str = "acc", top_percent: float = 5.0) -> DataFr
     return attach(df, cut, ["site"], "left").withColumn("stream", F.coalesce(F.col(acc) >= F.col("stream_threshold"), F.lit(False)))
 
 
-def dist_to_stream(df: DataFrame, dx: float, dy: float, stream: str = "stream", cells_per_task: int = 1 << 18) -> DataFrame:
-    """Add exact Euclidean distance ``dist`` to the nearest stream cell.
+def _nearest_in_column(df: DataFrame, stream: str, tall: bool, segment: int) -> DataFrame:
+    """``(site, r, c, _up, _down)``: rows of the nearest stream cells of the same
+    column at or above and at or below each cell.
 
-    The transform is separable: first the nearest stream of the same column (two
-    running windows down a column), then the minimum along each row.  The row step
-    runs on blocks of whole rows of at most about ``cells_per_task`` cells.
+    Columns taller than a segment are scanned by segment; the last and first hit of
+    every segment (one row each) carry over to the segments below and above.
     """
-    down = W.partitionBy("site", "c").orderBy("r").rowsBetween(W.unboundedPreceding, 0)
-    up = W.partitionBy("site", "c").orderBy(F.col("r").desc()).rowsBetween(W.unboundedPreceding, 0)
     hit = F.when(F.col(stream), F.col("r"))
-    gap = df.select("site", "r", "c", hit.alias("_hit"))
-    gap = gap.withColumn("_up", F.max("_hit").over(down)).withColumn("_down", F.min("_hit").over(up))
+    cells = df.select("site", "r", "c", hit.alias("_hit"), F.floor(F.col("r") / segment).alias("_s"))
+    line = ["site", "c", "_s"]
+    down = W.partitionBy(*line).orderBy("r").rowsBetween(W.unboundedPreceding, 0)
+    up = W.partitionBy(*line).orderBy(F.col("r").desc()).rowsBetween(W.unboundedPreceding, 0)
+    near = cells.withColumn("_up", F.max("_hit").over(down)).withColumn("_down", F.min("_hit").over(up))
+    if not tall:
+        return near.drop("_hit", "_s")
+    ends = cells.groupBy(*line).agg(F.max("_hit").alias("_last"), F.min("_hit").alias("_first"))
+    over = W.partitionBy("site", "c").orderBy("_s")
+    ends = ends.withColumn("_above", F.max("_last").over(over.rowsBetween(W.unboundedPreceding, -1))).withColumn(
+        "_below", F.min("_first").over(over.rowsBetween(1, W.unboundedFollowing)))
+    return near.join(ends.drop("_last", "_first"), line).select(
+        "site", "r", "c", F.coalesce("_up", "_above").alias("_up"), F.coalesce("_down", "_below").alias("_down"))
+
+
+def dist_to_stream(df: DataFrame, dx: float, dy: float, stream: str = "stream", cells_per_task: int = 1 << 18,
+                   segment: int = SEGMENT) -> DataFrame:
+    """Add exact Euclidean distance ``dist`` to the nearest stream cell.
+
+    The transform is separable: first the nearest stream of the same column (running
+    windows down a column), then the minimum along each row.  The row step runs on
+    blocks of whole rows of at most about ``cells_per_task`` cells.
+    """
+    shape = settle(df.groupBy("site").agg((F.max("c") + 1).alias("_width"), F.max("r").alias("_height")))
+    tall = shape.filter(F.col("_height") >= segment).limit(1).count() > 0
+    gap = _nearest_in_column(df, stream, tall, segment)
     gap = gap.withColumn("v", F.least(F.col("r") - F.col("_up"), F.col("_down") - F.col("r")) * F.lit(float(dy)))
-    width = df.groupBy("site").agg((F.max("c") + 1).alias("_width"))
-    rows = attach(gap.select("site", "r", "c", "v"), width, ["site"])
+    rows = attach(gap.select("site", "r", "c", "v"), shape.drop("_height"), ["site"])
     rows = rows.withColumn(
         "_block", F.floor(F.col("r") / F.greatest(F.lit(1), F.floor(F.lit(cells_per_task) / F.col("_width"))))
     )

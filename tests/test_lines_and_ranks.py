@@ -59,6 +59,22 @@ def test_attach_beyond_the_broadcast_bound(spark, monkeypatch):
     want = sorted(map(tuple, joins.attach(big, stats, ["site"]).collect()))
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, joins.attach(big, stats, ["site"]).collect())) == want
+    for hot_rows in (100, 300):  # some keys hot, with and without a broadcast of the hot keys
+        monkeypatch.setattr(joins, "HOT_ROWS", hot_rows)
+        assert sorted(map(tuple, joins.attach(big, stats, ["site"]).collect())) == want
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 3)
+    assert sorted(map(tuple, joins.attach(big, stats, ["site"], "left").collect())) == want
+
+
+def test_medians_of_hot_cells(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"cell": np.where(rng.random(900) < 0.6, 7, rng.integers(0, 50, 900)), "a": rng.normal(size=900), "b": rng.integers(0, 9, 900)})
+    got = ranks.group_medians(spark.createDataFrame(pdf), ["cell"], {"a": F.col("a"), "b": F.when(F.col("cell") != 7, F.col("b"))}, hot_rows=100).toPandas()
+    want = pdf.groupby("cell").median()
+    assert len(got) == len(want)
+    for row in got.itertuples():
+        assert row.a == pytest.approx(want.loc[row.cell].a)
+        assert np.isnan(row.b) if row.cell == 7 else row.b == want.loc[row.cell].b
 
 
 def test_top_n_of_a_hot_group(spark):

@@ -73,8 +73,8 @@ def test_distance_transform(spark, grid):
     s = rng.random((9, 12)) > 0.9
     s[0, 0] = True
     df = grid(s.astype(float), name="f").withColumn("stream", F.col("f") > 0)
-    for per_task in (12, 1 << 18):
-        got = as_array(terrain.dist_to_stream(df, 3.0, 2.0, cells_per_task=per_task), "dist", s.shape)
+    for per_task, segment in ((12, 4), (1 << 18, 4096)):
+        got = as_array(terrain.dist_to_stream(df, 3.0, 2.0, cells_per_task=per_task, segment=segment), "dist", s.shape)
         at = np.argwhere(s)
         want = [[min(np.hypot((r - a) * 2.0, (c - b) * 3.0) for a, b in at) for c in range(12)] for r in range(9)]
         np.testing.assert_allclose(got, want)
