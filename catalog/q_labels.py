@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from catalog.base import query, rnd
 from terravane.operators import labels as L
 from terravane.operators import sampling as S
+from terravane.operators.joins import attach
+from terravane.session import settle
 
 SEED, N = 42, 40
 
@@ -126,8 +128,6 @@ def _(v):
 
 @query("m3_digitize", f"WITH {STRATA} SELECT cell_id, CAST(bin AS INT) AS bin FROM nb")
 def _(v):
-    from terravane.operators.joins import attach
-
     c = attach(_candidates(v), S.quantile_edges(_positives(v)), ["site"])
     return c.select("cell_id", S.digitize(F.col("slope"), F.col("edges")).alias("bin"))
 
@@ -138,7 +138,7 @@ def _(v):
 
 
 def _sample(v):
-    cand = _candidates(v)
+    cand = settle(_candidates(v))
     part = S.stratified_sample(cand, _positives(v), N, SEED)
     return S.top_up(part, cand, N, SEED)
 

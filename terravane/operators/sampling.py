@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terravane.operators.joins import attach, top_n
 from terravane.operators.ranks import medians, quantiles
+from terravane.session import settle
 
 # Ordered feature bands of the stack (fixed values: the models' contract).
 FEATURES = [
@@ -48,8 +49,12 @@ def digitize(value: Column, edges: Column) -> Column:
 
 def stratified_sample(candidates: DataFrame, positives: DataFrame, n: int, seed: int, value: str = "slope") -> DataFrame:
     """Negatives in the slope proportions of the positives: ``int(share * n)`` per
-    bin as far as the bin has cells.  ``n`` is cut to the site's candidates."""
-    edges = quantile_edges(positives, value)
+    bin as far as the bin has cells.  ``n`` is cut to the site's candidates.
+
+    Both inputs are read several times and are therefore settled first.
+    """
+    positives, candidates = settle(positives), settle(candidates)
+    edges = settle(quantile_edges(positives, value))
     counts = (
         attach(positives.select("site", value), edges, ["site"])
         .groupBy("site", digitize(F.col(value), F.col("edges")).alias("bin")).agg(F.count(F.lit(1)).alias("_k"))
@@ -68,6 +73,7 @@ def stratified_sample(candidates: DataFrame, positives: DataFrame, n: int, seed:
 def top_up(sampled: DataFrame, candidates: DataFrame, n: int, seed: int) -> DataFrame:
     """Fill each site's sample up to ``n`` (or all candidates) from the rest."""
     key = ["site", "r", "c"]
+    sampled, candidates = settle(sampled), settle(candidates)
     rest = candidates.join(sampled.select(*key), key, "left_anti")
     got = sampled.groupBy("site").agg(F.count(F.lit(1)).alias("_got"))
     extra = top_n(rest.withColumn("_draw", draw(seed)), ["site"], ["_draw"], n)

@@ -50,7 +50,12 @@ def checkpoint_root(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from the files.
 
-    Cuts the lineage of iterative operators; the files outlive executors.
+    Cuts the lineage of iterative operators; the files outlive executors.  A table
+    that is settled already is returned as it is.
     """
+    if getattr(df, "_settled", False):
+        return df
     checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    out._settled = True
+    return out
