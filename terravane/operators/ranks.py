@@ -46,6 +46,9 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[floa
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_b", order_bucket(F.col("_v")))
+        # States what the join below implies, so that both its sides have one plan
+        # up to the shuffle and Spark computes the counts once.
+        .filter(F.col("_b").isNotNull())
     )
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
@@ -127,6 +130,7 @@ def running_sums(
         .groupBy(*keys, order)
         .agg(*[F.sum(e).alias(k) for k, e in sums.items()])
         .withColumn("_b", order_bucket(F.col(order).cast("double")) * F.lit(int(sign)))
+        .filter(F.col("_b").isNotNull())
     )
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     hist = per_value.groupBy(*keys, "_b").agg(*[F.sum(k).alias(f"_t_{k}") for k in sums])
