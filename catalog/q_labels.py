@@ -99,7 +99,7 @@ ok AS (SELECT s.site, s.r, s.c, s.cell_id, s.slope, s.label, bf.buffer, MD5('42|
   WHERE landcover <> 80 AND elevation IS NOT NULL AND elevation <> 0 AND slope IS NOT NULL),
 pos AS (SELECT * FROM ok WHERE label = 1),
 neg AS (SELECT * FROM ok WHERE label = 0 AND buffer = 0 AND site IN (SELECT site FROM stack WHERE label = 1)),
-ed AS (SELECT site, LIST_CONCAT([-999e0], LIST_CONCAT(QUANTILE_CONT(slope, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]), [999e0])) AS e FROM pos GROUP BY site)"""
+ed AS (SELECT site, LIST_CONCAT([-999e0], LIST_CONCAT(LIST_TRANSFORM(QUANTILE_CONT(slope, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]), lambda x: ROUND(x, 9)), [999e0])) AS e FROM pos GROUP BY site)"""
 STRATA = POOL + """,
 pb AS (SELECT site, LEN(LIST_FILTER(e, lambda x: x <= slope)) - 1 AS bin, COUNT(*) AS k FROM pos JOIN ed USING (site) GROUP BY ALL),
 pt AS (SELECT site, SUM(k) AS total FROM pb GROUP BY site),

@@ -38,7 +38,8 @@ def sample_n(df: DataFrame, n: int, seed: int, by: Sequence[str] = ("site",)) ->
 def quantile_edges(positives: DataFrame, value: str = "slope", strata: int = STRATA) -> DataFrame:
     """Per site ``edges``: quantiles of the positives with open ends."""
     q = quantiles(positives, ["site"], value, [i / strata for i in range(strata + 1)], "_q")
-    inner = F.slice("_q", 2, strata - 1)
+    # Nine decimals, so that a value equal to an interpolated edge falls above it.
+    inner = F.transform(F.slice("_q", 2, strata - 1), lambda e: F.round(e, 9))
     return q.select("site", F.concat(F.array(F.lit(OPEN_LOW)), inner, F.array(F.lit(OPEN_HIGH))).alias("edges"))
 
 
