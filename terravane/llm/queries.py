@@ -108,3 +108,25 @@ def packed(alerts: DataFrame) -> DataFrame:
 @query("op7_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(alerts(spark, sf_dir))
+
+
+# ---- op10 -----------------------------------------------------------------------
+def as_labels(labels: DataFrame, part: int, parts: int, mark: str) -> DataFrame:
+    """Labels to learn from: all but the held-out rows."""
+    from terravane.llm.texts import held_out
+
+    return labels.filter(~held_out(F.col("doc_id"), parts, part)).select(F.col("doc_id").alias("alert_id"), mark)
+
+
+def toxicity(alerts: DataFrame, labels: DataFrame) -> DataFrame:
+    from terravane.llm.toxicity import score_toxicity
+
+    return score_toxicity(alerts, as_labels(labels, 2, 4, "toxic"), restored=False)
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terravane.llm.texts import held_out
+
+    scored = toxicity(alerts(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return scored.select(F.col("alert_id").alias("doc_id"), held_out(F.col("alert_id"), 4, 2).alias("held_out"), "score", "predicted")
