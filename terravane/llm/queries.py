@@ -130,3 +130,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scored = toxicity(alerts(spark, sf_dir), table(spark, sf_dir, "labels"))
     return scored.select(F.col("alert_id").alias("doc_id"), held_out(F.col("alert_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
+# ---- op5 ------------------------------------------------------------------------
+@query("op5_jaccard_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terravane.llm.near_copies import near_copies
+
+    return near_copies(alerts(spark, sf_dir)).withColumnRenamed("alert_id", "doc_id")
