@@ -138,3 +138,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terravane.llm.near_copies import near_copies
 
     return near_copies(alerts(spark, sf_dir)).withColumnRenamed("alert_id", "doc_id")
+
+
+# ---- op9 ------------------------------------------------------------------------
+@query("op9_pii")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terravane.llm.pii import KINDS, private_spans, spelled
+
+    found = private_spans(alerts(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+    number = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [number(k) for k in KINDS]
+    return found.select(
+        F.col("alert_id").alias("doc_id"), *counts, F.sha2(spelled(base).cast("binary"), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))

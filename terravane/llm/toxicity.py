@@ -267,7 +267,7 @@ def train(alerts: DataFrame, labels: DataFrame, model, rows: int = TRAINING_ROWS
     def rowed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(model, chosen, 100_000)
         for frame in frames:
-            yield pd.DataFrame({"toxic": frame["toxic"], "ids": [sorted(reader(t)) for t in frame["description"]]})
+            yield pd.DataFrame({"toxic": frame["toxic"], "ids": pd.Series([sorted(reader(t)) for t in frame["description"]], dtype=object)})
 
     data = chosen_rows.mapInPandas(rowed, "toxic int, ids array<int>").toPandas()  # at most ``rows`` short lists
     y = data["toxic"].to_numpy(float)
