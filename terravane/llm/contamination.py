@@ -10,6 +10,8 @@ from terravane.llm.texts import KEY, row_key, stage, text_of, word_count, words
 WINDOW = 13
 # Up to this many distinct windows (about 60 MB of words) the probe side is broadcast, beyond it shuffled.
 BROADCAST_WINDOWS = 200_000
+# Up to this many keys of rejected alerts (16 MB) are broadcast.
+BROADCAST_KEYS = 1_000_000
 
 
 def probe_windows(probes: DataFrame, window: int = WINDOW, probe_id: str = "probe_id", description: str = "description") -> DataFrame:
@@ -53,6 +55,20 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda a: a["n"])
 
 
+def contaminated(share: int = 20) -> Column:
+    """At least one word in ``share`` is hit."""
+    return (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
+
+
+def keep_uncontaminated(alerts: DataFrame, probes: DataFrame, alert_id: str = "alert_id", text: str = "description") -> DataFrame:
+    """The alerts that are not contaminated, all columns as they are; only the keys of the others are joined back."""
+    hits = probe_hits(alerts.select(F.col(alert_id).alias("alert_id"), F.col(text).alias("description")), probes)
+    bad = stage(hits.filter(contaminated()).select(*row_key("alert_id", "description")).distinct(), "contaminated")
+    few = bad.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    k1, k2 = row_key(alert_id, text)
+    return alerts.join(F.broadcast(bad) if few else bad, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left_anti")
+
+
 def probe_hits(
     alerts: DataFrame, probes: DataFrame, window: int = WINDOW, alert_id: str = "alert_id", probe_id: str = "probe_id",
     description: str = "description", broadcast_windows: int = BROADCAST_WINDOWS,

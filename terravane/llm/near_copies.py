@@ -275,3 +275,25 @@ def near_copies(
         "alert_id", F.coalesce("class_id", "alert_id").alias("class_id"), F.coalesce("copy_id", "alert_id").alias("copy_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return out if count_links else out.drop("n_links")
+
+
+def keep_one(alerts: DataFrame, alert_id: str = "alert_id", description: str = "description", **options) -> DataFrame:
+    """One alert of each class of near copies, all columns as they are: the one whose id names the class.
+
+    Of rows that repeat an id one stays per text; rows with a NULL id stay unless a class of others has their text.
+    """
+    classes = near_copies(alerts, alert_id=alert_id, description=description, count_links=False, **options)
+    other = stage(classes.filter("alert_id != class_id OR (alert_id IS NULL AND class_id IS NOT NULL)").select(F.col("alert_id").alias("_gone")).distinct(), "gone")
+    if other.isEmpty():
+        kept = alerts
+    else:
+        few = other.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        named = alerts.join(F.broadcast(other) if few else other, F.col(alert_id) == F.col("_gone"), "left_anti")
+        kept = named
+    repeated = stage(alerts.groupBy(F.col(alert_id).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    # Ids name single rows as a rule: only those that repeat are reduced.
+    again = kept.join(repeated, F.col(alert_id).eqNullSafe(F.col("_id")), "left_semi")
+    once = kept.join(repeated, F.col(alert_id).eqNullSafe(F.col("_id")), "left_anti")
+    return once.unionByName(again.dropDuplicates([alert_id, description]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.session import tune
@@ -73,18 +73,14 @@ FROM w LEFT JOIN cov USING (id) LEFT JOIN items USING (id) WHERE t = 'd'
 """
 
 
-def is_contaminated() -> Column:
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-
-
 @query("op1_decontamination", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from terravane.llm.contamination import probe_hits
+    from terravane.llm.contamination import contaminated, probe_hits
 
     hits = probe_hits(alerts(spark, sf_dir), as_probes(table(spark, sf_dir, "benchmark")))
     return hits.select(
         F.col("alert_id").alias("doc_id"), "n_words", "n_hit", F.size("probe_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("probe_ids", ",").cast("binary"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
+        F.sha2(F.array_join("probe_ids", ",").cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
 # ---- op2 ------------------------------------------------------------------------

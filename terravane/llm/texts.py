@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +39,7 @@ def word_count(text: Column) -> Column:
 def row_key(*cols: str | Column) -> list[Column]:
     """128 bits that stand for the named values, equal for repeated rows.  NULL has its own key."""
     spelled = [F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("\x00null")) for c in cols]
-    return [F.xxhash64(*spelled).alias("_k1"), F.xxhash64(F.lit(1), *spelled).alias("_k2")]
+    return [F.xxhash64(*spelled).alias(KEY[0]), F.xxhash64(F.lit(1), *spelled).alias(KEY[1])]
 
 
 KEY = ["_k1", "_k2"]
@@ -64,8 +63,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of few rows, so that long texts do not add up in a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def free_names(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    """Only the wanted columns: extra columns of the caller cannot clash with working columns."""
-    return df.select(*wanted)

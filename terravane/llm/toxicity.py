@@ -339,3 +339,22 @@ def score_toxicity(
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", score double, predicted int"
     return base.mapInArrow(scored, schema + (", restored array<string>" if restored else ""))
+
+
+def keep_clean(alerts: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, alert_id: str = "alert_id", description: str = "description") -> DataFrame:
+    """The alerts whose score stays below ``threshold``, all columns as they are."""
+    import pyarrow as pa
+
+    model = char_model(char_grams(alerts, description))
+    chosen, weights = train(alerts, labels, model, alert_id=alert_id, description=description)
+    shared = alerts.sparkSession.sparkContext.broadcast((model, chosen, weights))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, chosen, weights = shared.value
+        reader = Reader(model, chosen)
+        limit = math.log(threshold / (1 - threshold))
+        for batch in batches:
+            texts = batch.column(description).to_pylist()
+            yield batch.filter(pa.array([float(weights[-1] + weights[list(reader(t or ""))].sum()) < limit for t in texts], pa.bool_()))
+
+    return alerts.mapInArrow(kept, alerts.schema)
