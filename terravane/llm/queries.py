@@ -147,3 +147,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [number(k) for k in KINDS]
     return found.select(
         F.col("alert_id").alias("doc_id"), *counts, F.sha2(spelled(base).cast("binary"), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
+
+
+# ---- op4 ------------------------------------------------------------------------
+@query("op4_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terravane.llm.fingerprints import fingerprint_alerts
+
+    return fingerprint_alerts(alerts(spark, sf_dir)).withColumnRenamed("alert_id", "doc_id")
