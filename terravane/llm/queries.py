@@ -155,3 +155,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terravane.llm.fingerprints import fingerprint_alerts
 
     return fingerprint_alerts(alerts(spark, sf_dir)).withColumnRenamed("alert_id", "doc_id")
+
+
+# ---- op3 ------------------------------------------------------------------------
+@query("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terravane.llm.quality import score_quality
+    from terravane.llm.texts import held_out
+
+    scored = score_quality(alerts(spark, sf_dir), as_labels(table(spark, sf_dir, "labels"), 1, 3, "quality"))
+    return scored.select(F.col("alert_id").alias("doc_id"), held_out(F.col("alert_id"), 3, 1).alias("held_out"), "score", "predicted")
