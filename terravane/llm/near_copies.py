@@ -49,7 +49,7 @@ class Shingles:
         known = self.words
         if len(known) > self.known:
             known.clear()
-        for p in set(parts) - known.keys():
+        for p in [p for p in parts if p not in known]:
             known[p] = digest(p)
         return np.array([known[p] for p in parts if p], dtype=np.uint64)
 

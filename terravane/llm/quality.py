@@ -65,7 +65,7 @@ class Features:
         if len(self.words) > self.known:
             self.words.clear()
         known = self.words
-        for w in counts.keys() - known.keys():
+        for w in [w for w in counts if w not in known]:
             known[w] = crc32(w.strip(b".,;:")) % WORD_FIELDS
         slots = np.fromiter((known[w] for w in counts), dtype=np.int64, count=len(counts))
         times = np.log1p(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)))
