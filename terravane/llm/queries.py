@@ -165,3 +165,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scored = score_quality(alerts(spark, sf_dir), as_labels(table(spark, sf_dir, "labels"), 1, 3, "quality"))
     return scored.select(F.col("alert_id").alias("doc_id"), held_out(F.col("alert_id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
+# ---- op6 ------------------------------------------------------------------------
+@query("op6_html_extraction")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terravane.llm.pages import extract_pages
+
+    found = extract_pages(table(spark, sf_dir, "pages"), link="url")
+    return found.select("page_id", F.col("link").alias("url"), "text", F.length("text").cast("long").alias("n_chars"))
