@@ -174,3 +174,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = extract_pages(table(spark, sf_dir, "pages"), link="url")
     return found.select("page_id", F.col("link").alias("url"), "text", F.length("text").cast("long").alias("n_chars"))
+
+
+# ---- op8 ------------------------------------------------------------------------
+@query("op8_licences")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terravane.llm.licences import scan_licences
+
+    found = scan_licences(alerts(spark, sf_dir))
+    families = F.array_sort(F.array_distinct(F.transform("notices", lambda n: n["family"])))
+    return found.select(
+        F.col("alert_id").alias("doc_id"), F.size("notices").cast("long").alias("n_notices"), F.array_join(families, ",").alias("families"),
+        F.array_join(F.transform("notices", lambda n: F.concat_ws(":", n["family"], n["start"].cast("string"), n["stop"].cast("string"))), ",").alias("spans"),
+        F.round(F.array_max(F.transform("notices", lambda n: n["probability"])), 6).alias("probability"))
