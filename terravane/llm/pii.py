@@ -19,6 +19,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 TRAINING_ROWS = 20_000
 CONFIDENCE = 0.8
+# Prior of the skip table: log-odds that similar mentions have the same label, private or not.
+AGREEMENT = 10.0
 # The base patterns.  Possessive runs and look-behinds only save work, they match the same spans.
 MAILBOX = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -91,7 +93,8 @@ FEATURES = 57
 def mentions(text: str) -> list[Mention]:
     """Mentions in order, none inside another; a kept match comes before a failing one, that before other groups."""
     found = matched(text)
-    spans = [(0 if kept else 1, -(b - a), a, b, kind, kept) for a, b, kind, kept in found]
+    # A failing number of few digits is part of a group or nothing.
+    spans = [(0 if kept else 1, -(b - a), a, b, kind, kept) for a, b, kind, kept in found if kept or kind != "card" or b - a >= 12]
     if DIGIT.search(text):
         spans += [(2, -(m.end() - m.start()), m.start(), m.end(), "group", False) for m in GROUPED.finditer(text) if len(DIGITS_ONLY.sub("", m.group())) >= 7]
     if "@" in text or "at)" in text or "at]" in text:
@@ -153,13 +156,17 @@ def marginals(unary, edges, pairwise, rounds: int = 12, damping: float = 0.3):
 
 
 def _rows(text: str) -> list[tuple[int, list[int], list[int]]]:
-    """Per mention: label, features, labels of its neighbours (5 chain counts, 5 skip counts)."""
+    """Per mention: label, features, labels of its neighbours (5 chain counts, 5 skip counts).
+
+    A mention that no pattern keeps but that is similar to a kept one has no known label: it is left out.
+    """
     nodes = mentions(text)
+    private = {m.key for m in nodes if m.label and m.key is not None}
     around = [[0] * (2 * len(LABELS)) for _ in nodes]
     for i, j, kind in neighbours(nodes):
         around[i][kind * len(LABELS) + nodes[j].label] += 1
         around[j][kind * len(LABELS) + nodes[i].label] += 1
-    return [(m.label, m.features, a) for m, a in zip(nodes, around)]
+    return [(m.label, m.features, a) for m, a in zip(nodes, around) if m.label or m.key not in private]
 
 
 def train(alerts: DataFrame, rows: int = TRAINING_ROWS, alert_id: str = "alert_id", description: str = "description", ridge: float = 1.0, steps: int = 300):
@@ -191,8 +198,7 @@ def train(alerts: DataFrame, rows: int = TRAINING_ROWS, alert_id: str = "alert_i
 
     seen = sample.mapInPandas(made, "y int, x array<int>, a array<int>, n long").groupBy("y", "x", "a").agg(F.sum("n").alias("n")).toPandas()
     k = len(LABELS)
-    agree = 2.0 * np.eye(k)
-    agree[0, 0] = 0.5
+    agree = AGREEMENT * np.eye(k)
     if not len(seen):
         return np.zeros((FEATURES, k)), np.stack([np.zeros((k, k)), agree])
     width = FEATURES + 2 * k
