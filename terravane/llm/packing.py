@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from string import punctuation
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from terravane.llm.texts import small_batches, stage, text_of
 CAPACITY = 4096
 END_ID = 1
 # A worker keeps the ids of at most this many words and word forms.
-KNOWN_WORDS = 150_000
+KNOWN_WORDS = 500_000
 # Bins of a later round that one task takes.
 BINS_PER_TASK = 20_000
 PIECE = "alert_id {id}, piece int, start long, length long, ids binary"
@@ -71,16 +72,17 @@ class WordIds:
             else:  # some word is more than one token run
                 self.words.update((w, self._encode(w)) for w in some)
 
-    def _plain(self, part: str) -> tuple[str, str] | None:
-        """A part as (word in lower case, marks after it), where taking it apart cannot change its ids."""
+    def _plain(self, part: str) -> tuple[str, ...] | None:
+        """A part as (marks, word in lower case, marks), where taking it apart cannot change its ids."""
         import unicodedata
 
-        core = part.rstrip(".,")
-        if not core.isalpha() or "Σ" in core or "İ" in core:
+        core = part.strip(punctuation)
+        if not core.isalpha() or "<|" in part or "Σ" in core or "İ" in core:
             return None
         if not core.isascii() and not unicodedata.is_normalized("NFC", core):
             return None
-        return core.lower(), part[len(core) :]
+        at = part.index(core)
+        return part[:at], core.lower(), part[at + len(core) :]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > self.known:
@@ -90,15 +92,15 @@ class WordIds:
         out = []
         for text in texts:
             parts = text.split()
-            new = {p for p in parts if p not in self.forms}
+            new = set(parts).difference(self.forms)
             if new:
                 plain = {p: self._plain(p) for p in new}
-                wanted = {x for p in plain.values() if p for x in p if x and x not in self.words}
+                wanted = {x for p in plain.values() if p for x in p}.difference(self.words)
                 self._learn_words([w for w in wanted if w.isalpha()])
                 self.words.update((w, self._encode(w)) for w in wanted if not w.isalpha())
                 for p, x in plain.items():
-                    self.forms[p] = self._encode(p) if x is None else self.words[x[0]] + (self.words[x[1]] if x[1] else b"")
-            out.append(b"".join([self.forms[p] for p in parts]))
+                    self.forms[p] = self._encode(p) if x is None else b"".join([self.words[y] for y in x])
+            out.append(b"".join(map(self.forms.__getitem__, parts)))
         return out
 
 
