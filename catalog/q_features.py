@@ -44,9 +44,9 @@ def _(v):
         "cell_id", rnd("twi").alias("twi"), rnd("r_factor").alias("r_factor"))
 
 
-@query("h5_split_features", "SELECT elevation, slope, landcover FROM stack WHERE elevation IS NOT NULL AND slope IS NOT NULL")
+@query("h5_split_features", "SELECT elevation, slope, landcover FROM stack")
 def _(v):
-    t = v.stack.filter("elevation IS NOT NULL AND slope IS NOT NULL").select("site", F.col("r").alias("row"), F.col("c").alias("col"), "label", "elevation", "slope", "landcover")
+    t = v.stack.select("site", F.col("r").alias("row"), F.col("c").alias("col"), "label", "elevation", "slope", "landcover")
     return t.select(*X.split_features(t))
 
 

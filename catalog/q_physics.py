@@ -73,26 +73,25 @@ def _(v):
     return v.stack.select("cell_id", rnd(P.scale_by_rain(F.col("r_factor"), F.col("rusle_soil_loss"))).alias("r"))
 
 
-@query("p10_ls_factor", "SELECT cell_id, RND(LEAST(100e0, POWER(slope / 10, 1.3e0))) AS ls FROM stack WHERE slope IS NOT NULL")
+@query("p10_ls_factor", "SELECT cell_id, RND(CASE WHEN slope IS NOT NULL THEN LEAST(100e0, POWER(slope / 10, 1.3e0)) END) AS ls FROM stack")
 def _(v):
-    return v.stack.filter("slope IS NOT NULL").select("cell_id", rnd(P.ls_factor(F.col("slope"))).alias("ls"))
+    return v.stack.select("cell_id", rnd(P.ls_factor(F.col("slope"))).alias("ls"))
 
 
-@query("p11_rusle_soil_loss", """SELECT cell_id, RND4(r_factor * k_factor * LEAST(100e0, POWER(slope / 10, 1.3e0)) * c_factor) AS a FROM stack WHERE slope IS NOT NULL""")
+@query("p11_rusle_soil_loss", """SELECT cell_id, RND4(CASE WHEN slope IS NOT NULL THEN r_factor * k_factor * LEAST(100e0, POWER(slope / 10, 1.3e0)) * c_factor END) AS a FROM stack""")
 def _(v):
     a = P.soil_loss(F.col("r_factor"), F.col("k_factor"), P.ls_factor(F.col("slope")), F.col("c_factor"))
-    return v.stack.filter("slope IS NOT NULL").select("cell_id", rnd(a, 4).alias("a"))
+    return v.stack.select("cell_id", rnd(a, 4).alias("a"))
 
 
 FS_SQL = """CASE WHEN 18 * soil_depth * SIN(RADIANS(slope)) * COS(RADIANS(slope)) > 1e-6 THEN
  (cohesion + (18 - {w}) * soil_depth * COS(RADIANS(slope)) * COS(RADIANS(slope)) * TAN(RADIANS(phi))) / (18 * soil_depth * SIN(RADIANS(slope)) * COS(RADIANS(slope))) ELSE 999 END"""
 
 
-@query("p12_factor_of_safety", f"SELECT cell_id, RND({FS_SQL.format(w='9.81e0')}) AS fs, RND({FS_SQL.format(w='0e0')}) AS fs_dry FROM stack WHERE slope IS NOT NULL")
+@query("p12_factor_of_safety", f"SELECT cell_id, RND({FS_SQL.format(w='9.81e0')}) AS fs, RND({FS_SQL.format(w='0e0')}) AS fs_dry FROM stack")
 def _(v):
     a = [F.col(k) for k in ("slope", "soil_depth", "cohesion", "phi")]
-    return v.stack.filter("slope IS NOT NULL").select("cell_id", rnd(P.factor_of_safety(*a)).alias("fs"),
-                                                      rnd(P.factor_of_safety(*a, saturated=False)).alias("fs_dry"))
+    return v.stack.select("cell_id", rnd(P.factor_of_safety(*a)).alias("fs"), rnd(P.factor_of_safety(*a, saturated=False)).alias("fs_dry"))
 
 
 @query("p13_release_by_fs", "SELECT cell_id, CASE WHEN factor_of_safety < 1 THEN soil_depth ELSE 0 END AS release FROM stack")

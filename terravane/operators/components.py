@@ -73,7 +73,8 @@ def label_regions(mask: DataFrame, connectivity: int = 4, tile: int = TILE) -> D
             _tile_labels(connectivity), f"site {site_type}, r int, c int, label long"
         )
     )
-    if local.filter((F.col("r") >= tile) | (F.col("c") >= tile)).limit(1).count() == 0:
+    # All sites within the tile at the origin; negative indices lie in other tiles.
+    if local.filter((F.floor(F.col("r") / tile) != 0) | (F.floor(F.col("c") / tile) != 0)).isEmpty():
         return local
     pr, pc = F.pmod(F.col("r"), F.lit(tile)), F.pmod(F.col("c"), F.lit(tile))
     rim = local.filter((pr == 0) | (pr == tile - 1) | (pc == 0) | (pc == tile - 1))

@@ -57,8 +57,14 @@ def attach(big: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "inne
 
 
 def attach_single(big: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Put the columns of a global aggregate (exactly one row) on every row."""
-    keyed = one_row.limit(1).withColumn("_one", F.lit(1))
+    """Put the columns of a global aggregate (exactly one row) on every row.
+
+    No row gives no rows; more than one raises, for any choice among them would be arbitrary.
+    """
+    packed = one_row.agg(F.count(F.lit(1)).alias("_rows"), F.first(F.struct(*one_row.columns)).alias("_row")).filter("_rows > 0")
+    several = F.raise_error(F.concat(F.lit("expected one row of statistics, got "), F.col("_rows").cast("string")))
+    # The check stands in the join key, so no pruning of columns can take it away.
+    keyed = packed.select(F.when(F.col("_rows") == 1, F.lit(1)).otherwise(several.cast("int")).alias("_one"), "_row.*")
     return big.withColumn("_one", F.lit(1)).join(F.broadcast(keyed), "_one").drop("_one")
 
 

@@ -19,13 +19,11 @@ SEGMENT = 4096
 
 
 def with_halo(df: DataFrame, axis: str, reach: int, segment: int) -> DataFrame:
-    """Add ``_own`` (segment of the row) and ``_seg`` (a segment that sees it): rows
-    near a border appear once more in the segment beyond it."""
+    """Add ``_own`` (segment of the row) and ``_seg`` (a segment that sees it): a row
+    appears once in every segment that ``reach`` touches, however many they are."""
     pos = F.col(axis)
     own = F.floor(pos / F.lit(segment))
-    touched = F.array_distinct(
-        F.array(own, F.floor((pos - reach) / F.lit(segment)), F.floor((pos + reach) / F.lit(segment)))
-    )
+    touched = F.sequence(F.floor((pos - reach) / F.lit(segment)), F.floor((pos + reach) / F.lit(segment)))
     return df.withColumn("_own", own).withColumn("_seg", F.explode(touched))
 
 

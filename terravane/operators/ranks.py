@@ -1,10 +1,9 @@
 """Exact order statistics without gathering a group in one task.
 
-Values are first reduced to distinct values with counts, then placed into
-buckets by a fixed monotone function.  Totals per bucket give every bucket its
-offset in the sorted order (few rows per group), and only inside a bucket are
-values sorted.  Both levels are deterministic functions of the data, so a task
-that is run again gives the same rows.
+Values are placed into buckets by a fixed monotone function.  Totals per bucket
+give every bucket its offset in the sorted order (few rows per group), and only
+inside a bucket that is needed are values shuffled and sorted.  All levels are
+deterministic functions of the data, so a task that is run again gives the same rows.
 """
 
 from __future__ import annotations
@@ -20,6 +19,8 @@ from terravane.session import settle
 
 # Buckets per natural-log unit; a bucket spans about 0.1 % of a value.
 DETAIL = 1024
+# Parts of a bucket, equal in width between its smallest and largest value.
+PARTS = 1024
 _SCALE = float(2**20)
 # Rows from which a group counts as hot.
 HOT_GROUP = 100_000
@@ -40,24 +41,15 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[floa
     keys = _group(by)
     src = df if by else df.withColumn("_all", F.lit(0))
     probs = [float(p) for p in probs]
-    counts = (
+    values = (
         src.select(*keys, F.col(value).cast("double").alias("_v"))
         .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_b", order_bucket(F.col("_v")))
-        # States what the join below implies, so that both its sides have one plan
-        # up to the shuffle and Spark computes the counts once.
-        .filter(F.col("_b").isNotNull())
     )
+    # First only rows per bucket are counted: partial aggregation leaves little to shuffle.
+    hist = values.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bn"), F.min("_v").alias("_vmin"), F.max("_v").alias("_vmax"))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
-    hist = (
-        counts.groupBy(*keys, "_b")
-        .agg(F.sum("_n").alias("_bn"))
-        .withColumn("_before", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
-        .withColumn("_total", F.sum("_bn").over(whole))
-    )
+    hist = hist.withColumn("_before", F.coalesce(F.sum("_bn").over(before), F.lit(0))).withColumn("_total", F.sum("_bn").over(W.partitionBy(*keys)))
     # Ranks such as 0.1 * 30 are whole numbers; rounding removes the float noise.
     spot = [F.round(F.lit(p) * (F.col("_total") - 1), 6) for p in probs]
     low = [F.floor(x) for x in spot]
@@ -66,12 +58,26 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[floa
     def inside(rank: Column, start: Column, n: Column) -> Column:
         return (rank >= start) & (rank < start + n)
 
-    hit = F.lit(False)
-    for rank in [*low, *high]:
-        hit = hit | inside(rank, F.col("_before"), F.col("_bn"))
-    picked = counts.join(hist.filter(hit), [*keys, "_b"])
-    order = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = picked.withColumn("_start", F.col("_before") + F.sum("_n").over(order) - F.col("_n"))
+    def wanted(start: Column, n: Column) -> Column:
+        hit = F.lit(False)
+        for rank in [*low, *high]:
+            hit = hit | inside(rank, start, n)
+        return hit
+
+    # Then the values of the few buckets that hold a wanted rank, cut once more by their own range, so that many
+    # values in one bucket do not meet in one task; again only the parts with a wanted rank are sorted.
+    kept = hist.filter(wanted(F.col("_before"), F.col("_bn")))
+    width = F.col("_vmax") - F.col("_vmin")
+    part = F.when(width > 0, F.least(F.lit(PARTS - 1), F.floor((F.col("_v") - F.col("_vmin")) / width * PARTS).cast("int"))).otherwise(0)
+    carried = ["_before", "_total"]
+    counts = values.join(kept.select(*keys, "_b", "_vmin", "_vmax", *carried), [*keys, "_b"]).withColumn("_s", part).groupBy(
+        *keys, "_b", "_s", "_v").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in carried])
+    earlier = W.partitionBy(*keys, "_b").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    sums = counts.groupBy(*keys, "_b", "_s").agg(F.sum("_n").alias("_sn"), *[F.first(c).alias(c) for c in carried])
+    sums = sums.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_sn").over(earlier), F.lit(0)))
+    sums = sums.filter(wanted(F.col("_from"), F.col("_sn"))).select(*keys, "_b", "_s", "_from")
+    order = W.partitionBy(*keys, "_b", "_s").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = counts.join(sums, [*keys, "_b", "_s"]).withColumn("_start", F.col("_from") + F.sum("_n").over(order) - F.col("_n"))
     aggs = [F.first("_total").alias("n")]
     for i, (lo, hi) in enumerate(zip(low, high)):
         aggs.append(F.max(F.when(inside(lo, F.col("_start"), F.col("_n")), F.col("_v"))).alias(f"_lo{i}"))
@@ -104,7 +110,8 @@ def group_medians(df: DataFrame, by: Sequence[str], values: dict[str, Column], h
     keeps a group's values in one task; groups above ``hot_rows`` rows are split
     off and ranked by :func:`quantiles`."""
     keys, names = list(by), list(values)
-    src = df.select(*keys, *[e.cast("double").alias(n) for n, e in values.items()])
+    # NaN counts as missing, whichever way a group takes.
+    src = df.select(*keys, *[F.nanvl(e.cast("double"), F.lit(None).cast("double")).alias(n) for n, e in values.items()])
     hot = settle(src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > hot_rows).select(*keys))
     plain = [F.median(n).alias(n) for n in names]
     found = hot.limit(BROADCAST_ROWS + 1).count()
