@@ -142,7 +142,7 @@ def _(v):
 
 PLACES = """pq AS (SELECT c_custkey, CASE c_custkey % 20 WHEN 0 THEN ' Periyar bank ' WHEN 1 THEN 'NILA view' WHEN 2 THEN 'kallada and pamba' ELSE 'Town' END || ' ' || c_custkey AS place FROM customer),
 pc AS (SELECT place, o_orderkey AS rank, CASE WHEN o_orderkey % 7 = 0 THEN 'Hill, Kerala, India' ELSE 'Hill, India' END AS display_name,
-  CASE WHEN o_orderkey % 11 = 0 THEN 'bad' ELSE CAST(6 + o_orderkey % 10 AS VARCHAR(9)) END AS lat, CAST(73 + o_orderkey % 7 AS VARCHAR(9)) AS lon FROM orders JOIN pq ON c_custkey = o_custkey WHERE o_orderkey % 3 = 0)"""
+  CASE WHEN o_orderkey % 11 = 0 THEN 'bad' ELSE CAST(6 + o_orderkey % 10 AS VARCHAR(9)) END AS lat, CAST(73 + o_orderkey % 7 AS VARCHAR(9)) AS lon FROM orders JOIN pq ON c_custkey = o_custkey WHERE c_custkey % 9 <> 4)"""
 RIVER_SQL = "CASE WHEN CONTAINS(LOWER(pq.place), 'periyar') THEN 10.05e0 WHEN CONTAINS(LOWER(pq.place), 'pamba') THEN 9.35e0 WHEN CONTAINS(LOWER(pq.place), 'nila') THEN 10.8e0 WHEN CONTAINS(LOWER(pq.place), 'kallada') THEN 9e0 END"
 RESOLVED = PLACES + f""",
 ck AS (SELECT *, CASE WHEN CONTAINS(LOWER(display_name), 'kerala') THEN 0 WHEN TRY_CAST(lat AS DOUBLE) BETWEEN 8 AND 13 AND TRY_CAST(lon AS DOUBLE) BETWEEN 74.5 AND 78 THEN 1 END AS g FROM pc),
@@ -159,7 +159,7 @@ def place_queries(v):
 
 def place_candidates(v):
     k = F.col("o_orderkey")
-    o = v.orders.filter("o_orderkey % 3 = 0").join(place_queries(v), F.col("c_custkey") == F.col("o_custkey"))
+    o = v.orders.join(place_queries(v).filter("c_custkey % 9 <> 4"), F.col("c_custkey") == F.col("o_custkey"))
     return o.select("place", k.alias("rank"), F.when(k % 7 == 0, "Hill, Kerala, India").otherwise("Hill, India").alias("display_name"),
                     F.when(k % 11 == 0, "bad").otherwise((6 + k % 10).cast("string")).alias("lat"), (73 + k % 7).cast("string").alias("lon"))
 
@@ -176,9 +176,9 @@ def _(v):
     return v.part.select("p_partkey", K.safe_name(n, F.col("p_size")).alias("name"))
 
 
-@query("w18_refresh_window", """SELECT dam_id, DATE_TRUNC('hour', ts) AS window_start, MAX(ts) AS last_ts, ARG_MAX(level, ts) AS level FROM dam_readings GROUP BY dam_id, DATE_TRUNC('hour', ts)""")
+@query("w18_refresh_window", """SELECT dam_id, DATE_TRUNC('hour', ts) AS window_start, MAX(ts) AS last_ts, LAST(level ORDER BY ts, event_id) AS level FROM dam_readings GROUP BY dam_id, DATE_TRUNC('hour', ts)""")
 def _(v):
-    return W.refresh_window(v.dam_readings, "dam_id", "ts", 60, "level")
+    return W.refresh_window(v.dam_readings, "dam_id", "ts", 60, "level", tie="event_id")
 
 
 def _stream(v):
@@ -227,7 +227,7 @@ def place_weather(v):
 PLACE_SITES = "ps AS (SELECT place, CAST(FLOOR(c_custkey * 10 / 1500) AS INT) AS site FROM pq), pw AS (SELECT place, CAST(c_custkey % 120 AS DOUBLE) AS rainfall_mm_h FROM pq WHERE c_custkey % 4 <> 3)"
 
 
-@query("w20_join_scores_weather", f"WITH {PLACES}, {PLACE_SITES}, {SITE_SCORE} SELECT place, site, RND(score) AS score, rainfall_mm_h FROM ps JOIN sv USING (site) LEFT JOIN pw USING (place)")
+@query("w20_join_scores_weather", f"WITH {PLACES}, {PLACE_SITES}, {SITE_SCORE} SELECT place, site, RND(score) AS score, rainfall_mm_h FROM ps LEFT JOIN sv USING (site) LEFT JOIN pw USING (place)")
 def _(v):
     from terravane.operators.risk import site_scores
 

@@ -9,6 +9,7 @@ from catalog.base import query, rnd
 from catalog.q_physics import DEPTH_SQL, FS_SQL
 from catalog.q_risk import LEVEL_SQL, severity_sql
 from catalog.q_terrain import CURVE, DX, DY, GRAD, STREAM
+from terravane.operators import feeds as QW
 from terravane.plans import flows
 
 KEY = ["site", "r", "c"]
@@ -69,14 +70,36 @@ def _(v):
 
 
 @query("y4_predict", f"""WITH {QF.RESOLVED}, {QF.PLACE_SITES}, {QF.SITE_SCORE},
-jn AS (SELECT rp.place, ps.site, rp.lat, score, confidence, COALESCE(rainfall_mm_h, 1.5e0) AS rain, c_custkey FROM rp JOIN ps USING (place) JOIN sv USING (site) LEFT JOIN pw USING (place) WHERE matched <> 'unmatched'),
-ac AS (SELECT *, score * {severity_sql('rain')} AS active FROM jn)
-SELECT place, site, REPLACE(LOWER(TRIM(place)), ' ', '_') || '_' || (c_custkey % 3) * 24 || 'h' AS site_name, RND(lat - 0.05e0) AS south, RND1(score) AS terrain_vulnerability, RND1(active) AS active_risk_score,
- RND1(confidence) AS confidence_score, {LEVEL_SQL.format(x='active')} AS risk_level FROM ac""")
+{QF.BASE}, {QF.INDEXED},
+rq AS (SELECT c_custkey, rp.place, lat AS la, matched AS ma, c_custkey % 4 AS station, c_custkey % 13 = 6 AS boxed, UNNEST([0, 24 + 24 * (c_custkey % 2)]) AS hours FROM rp),
+pk AS (SELECT *, MAX(rain_mm_h) OVER (PARTITION BY station ORDER BY hour ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING) AS peak FROM ix),
+wr AS (SELECT h.station, h.hours, CASE WHEN h.hours = 0 THEN rain_mm_h ELSE peak END AS rain FROM (SELECT DISTINCT station, hours FROM rq) h JOIN bi USING (station) JOIN pk ON pk.station = h.station
+  AND idx = GREATEST(0, LEAST(base_idx + h.hours, n - 1))),
+jn AS (SELECT c_custkey, place, hours, CASE WHEN c_custkey % 7 <> 5 THEN ps.site END AS site, boxed, CASE WHEN boxed THEN 10 + c_custkey % 3 * 0.5e0 ELSE la END AS lat, CASE WHEN boxed THEN 'box' ELSE ma END AS matched,
+  CASE WHEN c_custkey % 7 <> 5 THEN score END AS own, CASE WHEN c_custkey % 7 <> 5 THEN confidence END AS own_sure, COALESCE(wr.rain, 1.5e0) AS rain
+  FROM rq JOIN ps USING (place) LEFT JOIN sv USING (site) LEFT JOIN wr USING (station, hours)),
+ac AS (SELECT *, COALESCE(own, (SELECT score FROM sv WHERE site = 0)) AS score, COALESCE(own_sure, (SELECT confidence FROM sv WHERE site = 0)) AS sure FROM jn),
+fi AS (SELECT *, score * {severity_sql('rain')} AS active FROM ac)
+SELECT c_custkey, hours, matched, site, CASE WHEN matched = 'unmatched' THEN NULL WHEN boxed THEN 'custom_' || CAST(TRUNC(lat * 100) AS BIGINT) || '_' || CAST(7650 AS BIGINT)
+  ELSE REPLACE(LOWER(TRIM(place)), ' ', '_') || '_' || hours || 'h' END AS site_name, RND(CASE WHEN boxed THEN lat - 0.25e0 ELSE lat - 0.05e0 END) AS south,
+ CASE WHEN matched <> 'unmatched' THEN CASE WHEN own IS NULL THEN 'baseline' ELSE 'site' END END AS score_source, CASE WHEN matched <> 'unmatched' THEN RND1(score) END AS terrain_vulnerability,
+ CASE WHEN matched <> 'unmatched' THEN RND1(active) END AS active_risk_score, CASE WHEN matched <> 'unmatched' THEN RND1(sure) END AS confidence_score,
+ CASE WHEN matched <> 'unmatched' THEN {LEVEL_SQL.format(x='active')} END AS risk_level FROM fi""")
 def _(v):
-    q = QF.place_queries(v).withColumn("hours", (F.col("c_custkey") % 3) * 24)
-    out = flows.predict(q, QF.place_candidates(v), v.scored, QF.place_sites(v), QF.place_weather(v))
-    return out.select("place", "site", "site_name", rnd("south").alias("south"), "terrain_vulnerability", "active_risk_score", "confidence_score", "risk_level")
+    k = F.col("c_custkey")
+    lat = F.lit(10.0) + k % 3 * 0.5
+    box = {"west": F.lit(76.25), "south": lat - 0.25, "east": F.lit(76.75), "north": lat + 0.25}
+    q = QF.place_queries(v).withColumns({
+        "hours": F.explode(F.array(F.lit(0).cast("long"), F.lit(24) + k % 2 * 24)), "station": (k % 4).cast("int"),
+        **{e: F.when(k % 13 == 6, x) for e, x in box.items()},
+    })
+    # Weather of the station at the hour asked for; station 3 has none.
+    rain = QW.rain_for(q, v.weather_hourly, QF.NOW)
+    weather = q.select("place", "hours", "station").join(rain, ["station", "hours"]).drop("station")
+    sites = QF.place_sites(v).join(QF.place_queries(v).filter("c_custkey % 7 <> 5"), "place").drop("c_custkey")
+    out = flows.predict(q, QF.place_candidates(v), v.scored, sites, weather, baselines=[99, 0])
+    return out.select("c_custkey", "hours", "matched", "site", "site_name", rnd("south").alias("south"), "score_source",
+                      "terrain_vulnerability", "active_risk_score", "confidence_score", "risk_level")
 
 
 @query("y5_site_run_status", """WITH r AS (SELECT s_suppkey AS site, s_nationkey % 4 <> 0 AS ok, s_suppkey * 37.25e0 AS s FROM supplier),

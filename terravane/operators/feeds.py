@@ -74,6 +74,26 @@ def peak_rain(hourly: DataFrame, rain: str = "rain_mm_h", before: int = 12, afte
     return halo.withColumn("peak", F.coalesce(F.max(rain).over(w), F.lit(0.0))).filter("_seg = _own").drop("_seg", "_own", "n")
 
 
+def rain_for(requests: DataFrame, hourly: DataFrame, now, current: DataFrame | None = None, rain: str = "rain_mm_h", reach: int = 12,
+             by: str = "station", ts: str = "hour") -> DataFrame:
+    """Rain per ``(by, hours)`` of ``requests``: for 0 hours the larger of the ``current`` reading ``(by, rain_instant_mm_h)`` and the
+    hour's rain, later the peak of ``reach`` hours around the hour asked for, at most the last one.
+
+    Requests of a series that does not exist have no row.
+    """
+    base = current_index(hourly, now, (by,), ts)
+    peaks = peak_rain(hourly, rain, reach, reach, (by,), ts).select(by, "idx", F.coalesce(F.col(rain), F.lit(0.0)).alias("_rain"), "peak")
+    ends = peaks.groupBy(by).agg(F.max("idx").alias("_end")).join(base, by)
+    asked = requests.select(by, "hours").distinct().join(ends, by).withColumn(
+        "idx", F.greatest(F.lit(0), F.least(F.col("base_idx") + F.col("hours"), F.col("_end"))))
+    found = asked.join(peaks, [by, "idx"])
+    instant = F.lit(0.0)
+    if current is not None:
+        found = found.join(current.groupBy(by).agg(F.max("rain_instant_mm_h").alias("_instant")), by, "left")
+        instant = F.coalesce(F.col("_instant"), F.lit(0.0))
+    return found.select(by, "hours", F.when(F.col("hours") == 0, F.greatest(instant, F.col("_rain"))).otherwise(F.col("peak")).alias("rainfall_mm_h"))
+
+
 def antecedent_rain(hourly: DataFrame, rain: str = "rain_mm_h", hours: int = 48, by: Sequence[str] = ("station",), ts: str = "hour") -> DataFrame:
     """Add the rain of the ``hours`` before each hour and its mean intensity."""
     reach = hours * 3600
@@ -102,7 +122,8 @@ def source_priority(places: DataFrame, answers: DataFrame, order: Sequence[str],
     values = [*numbers, "description", "source"]
     ranked = answers.withColumn("_rank", rank).filter("_rank IS NOT NULL").withColumn(
         "rainfall_mm_h", F.greatest(F.col("rainfall_mm_h"), F.col("rain_instant_mm_h")))
-    best = ranked.groupBy(*by).agg(F.min_by(F.struct(*values), F.col("_rank")).alias("b"))
+    # Two answers of one provider: the smaller values, whatever the order of the rows.
+    best = ranked.groupBy(*by).agg(F.min(F.struct("_rank", F.struct(*values).alias("b"))).alias("_m")).select(*by, "_m.b")
     out = places.select(*by).join(best, list(by), "left")
     default = lambda k: F.lit("fallback") if k == "source" else F.lit(K.DEFAULT_CONDITIONS[k])
     return out.select(*by, *[F.coalesce(F.col(f"b.{k}"), default(k)).alias(k) for k in values])
@@ -125,7 +146,7 @@ def normalise_dams(dams: DataFrame) -> DataFrame:
 
     flat = dams.select(
         F.coalesce(first_of("name", "damName"), F.lit("Unknown")).alias("name"),
-        F.coalesce(first_of("district"), F.lit("")).alias("district"),
+        F.coalesce(first_of("district", "districtAlias"), F.lit("")).alias("district"),
         K.number(reading("waterLevel")).alias("current_level"),
         K.number(first_of("FRL", "fullReservoirLevel", "full_level")).alias("full_level"),
         K.number(reading("storagePercentage")).alias("storage_pct"),
@@ -171,11 +192,15 @@ def present_alerts(items: DataFrame) -> DataFrame:
         "headline", K.alert_title(F.col("title")))
 
 
-def refresh_window(df: DataFrame, key: str, ts: str, minutes: int, *values: str) -> DataFrame:
-    """Latest state per key and refresh window (10 min for alerts, 60 for dams)."""
+def refresh_window(df: DataFrame, key: str, ts: str, minutes: int, *values: str, tie: str | None = None) -> DataFrame:
+    """Latest state per key and refresh window (10 min for alerts, 60 for dams).
+
+    Of readings at one time the one with the largest ``tie`` counts, without it the one with the largest values.
+    """
     win = F.window(F.col(ts).cast("timestamp"), f"{minutes} minutes")
+    order = F.struct(ts, *([tie] if tie else []), *values)
     return df.groupBy(key, win.alias("_w")).agg(
-        F.max_by(F.struct(*values), F.col(ts)).alias("b"), F.max(ts).alias("last_ts")
+        F.max_by(F.struct(*values), order).alias("b"), F.max(ts).alias("last_ts")
     ).select(key, F.col("_w.start").alias("window_start"), "last_ts", "b.*")
 
 
@@ -198,8 +223,9 @@ def resolve_place(queries: DataFrame, candidates: DataFrame, state: str = K.STAT
     inside = F.coalesce(in_region(lon, lat), F.lit(False))
     order = F.when(named, F.struct(F.lit(0).alias("g"), F.col("rank").cast("long").alias("k"))).when(
         inside, F.struct(F.lit(1).alias("g"), F.col("rank").cast("long").alias("k")))
+    found = F.struct(lat.alias("lat"), lon.alias("lon"), "display_name")
     best = candidates.withColumn("_o", order).filter("_o IS NOT NULL").groupBy("place").agg(
-        F.min_by(F.struct(lat.alias("lat"), lon.alias("lon"), "display_name"), F.col("_o")).alias("b"))
+        F.min_by(found, F.struct("_o", "display_name", lat, lon)).alias("b"))
     out = queries.withColumn("_river", river).join(best, "place", "left")
     got = lambda k: F.coalesce(F.col(f"_river.{k}"), F.col(f"b.{k}")).alias(k)
     how = F.when(F.col("_river").isNotNull(), "river").when(F.col("b").isNotNull(), "candidate").otherwise("unmatched")
@@ -207,5 +233,9 @@ def resolve_place(queries: DataFrame, candidates: DataFrame, state: str = K.STAT
 
 
 def join_scores_weather(places: DataFrame, scores: DataFrame, weather: DataFrame) -> DataFrame:
-    """Places with the score of their site and the weather of the place."""
-    return places.join(scores, "site").join(weather, "place", "left")
+    """Places with the score of their site and the weather of the place, by ``hours`` where both tables have them.
+
+    Every place stays: a site without score or a place without weather leaves NULL.
+    """
+    on = ["place", *(["hours"] if "hours" in places.columns and "hours" in weather.columns else [])]
+    return places.join(scores, "site", "left").join(weather, on, "left")

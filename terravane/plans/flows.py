@@ -119,22 +119,48 @@ def batch_training(stack: DataFrame, label: DataFrame, n: int = 2000, seed: int
     return frame, metrics.fold_metrics(scored, y="label")
 
 
-def predict(queries: DataFrame, candidates: DataFrame, scored: DataFrame, sites: DataFrame, weather: DataFrame) -> DataFrame:
-    """Risk row per place: coordinates, weather, site scores and level.
-
-    ``queries``: place, hours; ``sites``: place, site; ``weather``: place,
-    rainfall_mm_h, description.  A place without weather takes the defaults.
+def predict(requests: DataFrame, candidates: DataFrame, scored: DataFrame, sites: DataFrame, weather: DataFrame, baselines: Sequence = ()) -> DataFrame:
+    """Risk row per request; every request keeps its row.
+
+    ``requests``: place, hours and optionally west, south, east, north of a box, which then stands for the place;
+    ``sites``: place, site; ``weather``: place, [hours,] rainfall_mm_h (see :func:`terravane.operators.feeds.rain_for`).  A request
+    without weather takes the default rain.  Without a score of its own it takes that of the first of the sites in
+    ``baselines`` that has one (``score_source`` 'baseline', else 'none').  ``matched`` is 'unmatched' where neither a box nor
+    a place was found; such a row has no risk.
     """
-    placed = W.resolve_place(queries, candidates).filter("matched <> 'unmatched'")
-    joined = W.join_scores_weather(placed.join(sites, "place"), risk_ops.site_scores(scored), weather)
+    edges = ["west", "south", "east", "north"]
+    boxed = all(e in requests.columns for e in edges)
+    given = F.col("west").isNotNull() & F.col("south").isNotNull() & F.col("east").isNotNull() & F.col("north").isNotNull() if boxed else F.lit(False)
+    keep = [c for c in requests.columns if c not in edges]
+    own = {f"_{e}": F.col(e) if boxed else F.lit(None).cast("double") for e in edges}
+    placed = W.resolve_place(requests.withColumns({"_boxed": given, **own}).drop(*edges), candidates).drop("bbox", "display_name")
+    centre = lambda low, high, found: F.when(F.col("_boxed"), (F.col(low) + F.col(high)) / 2).otherwise(F.col(found))
+    placed = placed.withColumns({
+        "lat": centre("_south", "_north", "lat"), "lon": centre("_west", "_east", "lon"),
+        "matched": F.when(F.col("_boxed"), F.lit("box")).otherwise(F.col("matched")),
+    })
+    scores = settle(risk_ops.site_scores(scored).select("site", "score", "confidence"))
+    joined = W.join_scores_weather(placed.join(sites.select("place", "site"), "place", "left"), scores, weather)
+    if baselines:
+        rank = F.array_position(F.array(*[F.lit(b) for b in baselines]), F.col("site"))
+        first = scores.filter(rank > 0).agg(F.min_by(F.struct(F.col("score").alias("s"), F.col("confidence").alias("c")), rank).alias("_base"))
+        joined = attach_single(joined, first)
+    else:
+        joined = joined.withColumn("_base", F.lit(None).cast("struct<s:double,c:double>"))
+    found = F.col("matched") != "unmatched"
+    source = F.when(F.col("score").isNotNull(), "site").when(F.col("_base.s").isNotNull(), "baseline").otherwise("none")
+    score = F.coalesce("score", "_base.s", F.lit(0.0))
     rain = F.coalesce(F.col("rainfall_mm_h"), F.lit(K.DEFAULT_CONDITIONS["rainfall_mm_h"]))
-    active = F.col("score") * R.weather_severity(rain)
-    box = G.box_around(F.col("lon"), F.col("lat"))
-    tenth = lambda e: F.floor(e * 10 + 0.5) / 10.0
+    active = score * R.weather_severity(rain)
+    around = G.box_around(F.col("lon"), F.col("lat"))
+    box = {e: F.when(F.col("_boxed"), F.col(f"_{e}")).otherwise(around[e]) for e in edges}
+    name = F.when(F.col("_boxed"), G.custom_site_name(F.col("lat"), F.col("lon"))).otherwise(K.safe_name(F.col("place"), F.col("hours")))
+    tenth = lambda e: F.when(found, F.floor(e * 10 + 0.5) / 10.0)
     return joined.select(
-        "place", K.safe_name(F.col("place"), F.col("hours")).alias("site_name"), "site", *[e.alias(k) for k, e in box.items()],
-        tenth(F.col("score")).alias("terrain_vulnerability"), tenth(active).alias("active_risk_score"),
-        tenth(F.col("confidence")).alias("confidence_score"), R.risk_level(active).alias("risk_level"), rain.alias("rainfall_mm_h"),
+        *keep, "matched", F.when(found, name).alias("site_name"), "site", *[e.alias(k) for k, e in box.items()], F.when(found, source).alias("score_source"),
+        tenth(score).alias("terrain_vulnerability"), tenth(active).alias("active_risk_score"),
+        tenth(F.coalesce("confidence", "_base.c", F.lit(0.0))).alias("confidence_score"), F.when(found, R.risk_level(active)).alias("risk_level"),
+        F.when(found, rain).alias("rainfall_mm_h"),
     )
 
 

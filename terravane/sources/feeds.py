@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 _READING = "struct<waterLevel:string,storagePercentage:string,spillwayRelease:string,inflow:string,rainfall:string>"
 DAM = (
     "struct<name:string,damName:string,latitude:string,lat:string,longitude:string,lon:string,"
-    "redLevel:string,red_level:string,orangeLevel:string,orange_level:string,blueLevel:string,blue_level:string,"
+    "districtAlias:string,redLevel:string,red_level:string,orangeLevel:string,orange_level:string,blueLevel:string,blue_level:string,"
     "FRL:string,fullReservoirLevel:string,full_level:string,district:string,"
     "waterLevel:string,current_level:string,storagePercentage:string,spillwayRelease:string,inflow:string,rainfall:string,"
     f"data:array<{_READING}>>"
@@ -25,7 +25,8 @@ def read_dam_feed(bodies: DataFrame, body: str = "body") -> DataFrame:
 
     A source that failed (NULL or unreadable text) contributes no rows.
     """
-    text = F.trim(F.col(body))
+    # The alias "District" differs from "district" in case only, which column names cannot.
+    text = F.regexp_replace(F.trim(F.col(body)), r'(?<!\\)"District"\s*:', '"districtAlias":')
     listed = F.from_json(text, f"array<{DAM}>")
     nested = F.from_json(text, f"struct<dams:array<{DAM}>>")["dams"]
     dams = F.when(text.startswith("["), listed).otherwise(nested)

@@ -35,7 +35,7 @@ def dam_states(readings: DataFrame, minutes: int = 60, ts: str = "ts", late: str
     return (
         dam_stream(readings, ts, late)
         .groupBy("dam_id", F.window(ts, f"{minutes} minutes").alias("w"))
-        .agg(F.max_by(F.struct("level", "alert"), F.col(ts)).alias("b"), F.max(ts).alias("last_ts"))
+        .agg(F.max_by(F.struct("level", "alert"), F.struct(ts, "level", "alert")).alias("b"), F.max(ts).alias("last_ts"))
         .select("dam_id", F.col("w.start").alias("window_start"), "last_ts", "b.level", "b.alert")
     )
 
