@@ -8,7 +8,7 @@ from catalog import q_feeds as QF
 from catalog.base import query, rnd
 from catalog.q_physics import DEPTH_SQL, FS_SQL
 from catalog.q_risk import LEVEL_SQL, severity_sql
-from catalog.q_terrain import CURVE, DX, DY, GRAD, STREAM
+from catalog.q_terrain import CURVE, DIST_SQL, DX_SQL, DY_SQL, GRAD, grad_sql, steps, stream_sql
 from terravane.operators import feeds as QW
 from terravane.plans import flows
 
@@ -27,10 +27,9 @@ def _layers(v):
 # The whole feature path over elevations whose gaps took the site median.
 FILLED = """md AS (SELECT site, QUANTILE_CONT(z, 0.5) AS med FROM cells WHERE z <> 0 GROUP BY site),
 fz AS (SELECT cell_id, site, r, c, CASE WHEN z = 0 THEN med ELSE z END AS z FROM cells JOIN md USING (site))"""
-FEATURE_SQL = ", ".join([FILLED, GRAD, CURVE, STREAM]).replace("FROM cells\n  WINDOW", "FROM fz\n  WINDOW").replace("FROM cells WHERE z <> 0),\nd(", "FROM fz),\nd(").replace(
-    "AS spot FROM cells", "AS spot FROM fz").replace("FROM cells c JOIN acc", "FROM fz c JOIN acc") + f""",
+FEATURE_SQL = ", ".join([FILLED, grad_sql("fz"), CURVE, stream_sql("fz", "")]) + f""",
 ond AS (SELECT site, r, c FROM st WHERE stream),
-di AS (SELECT a.cell_id, MIN(SQRT(POWER((a.r - b.r) * 92e0, 2) + POWER((a.c - b.c) * 90e0, 2))) AS dist FROM st a JOIN ond b USING (site) GROUP BY a.cell_id),
+di AS (SELECT a.cell_id, {DIST_SQL} AS dist FROM st a JOIN ond b USING (site) GROUP BY a.cell_id),
 sl AS (SELECT g.*, DEGREES(ATAN(SQRT(gx*gx + gy*gy))) AS slope, DEGREES(ATAN2(-gy, gx)) AS a0 FROM g),
 so AS (SELECT sl.*, landcover, sand_raw / 10e0 AS sand, silt_raw / 10e0 AS silt, clay_raw / 10e0 AS clay, soc_raw / 10e0 AS soc FROM sl JOIN layers USING (cell_id)),
 pa AS (SELECT so.*, {DEPTH_SQL} AS soil_depth, {COHESION_SQL} AS cohesion, {PHI_SQL} AS phi, {K_SQL} AS k, {C_SQL} AS cf FROM so)"""
@@ -38,13 +37,13 @@ pa AS (SELECT so.*, {DEPTH_SQL} AS soil_depth, {COHESION_SQL} AS cohesion, {PHI_
 
 @query("y1_build_features", f"""WITH RECURSIVE {FEATURE_SQL}
 SELECT pa.site, pa.r, pa.c, RND(pa.z) AS elevation, RND4(pa.slope) AS slope, RND4(CASE WHEN a0 < 0 THEN a0 + 360 ELSE a0 END) AS aspect, RND(plan_curvature) AS plan_curvature,
- RND(profile_curvature) AS profile_curvature, RND4(GREATEST(-5e0, LEAST(30e0, LN(acc * 90e0 * 92e0 / 91e0 / GREATEST(SQRT(gx*gx + gy*gy), 0.001e0))))) AS twi, RND4(dist) AS dist_to_stream,
+ RND(profile_curvature) AS profile_curvature, RND4(GREATEST(-5e0, LEAST(30e0, LN(acc * (90e0 + pa.site % 4) * (92e0 + pa.site % 3) / ((182e0 + pa.site % 4 + pa.site % 3) / 2) / GREATEST(SQRT(gx*gx + gy*gy), 0.001e0))))) AS twi, RND4(dist) AS dist_to_stream,
  soil_depth, cohesion, phi, RND(k) AS k_factor, cf AS c_factor, RND4(3000 * k * LEAST(100e0, POWER(slope / 10, 1.3e0)) * cf) AS rusle_soil_loss,
  RND4({FS_SQL.format(w='9.81e0')}) AS factor_of_safety, CAST(landcover AS DOUBLE) AS landcover
 FROM pa JOIN cv USING (cell_id) JOIN di USING (cell_id) JOIN acc USING (cell_id)""")
 def _(v):
     depth = v.stack.select(*KEY, "avaflow_depth", "avaflow_velocity")
-    f = flows.build_features(v.cells, _layers(v), DX, DY, depth)
+    f = flows.build_features(v.cells, _layers(v), *steps(), depth)
     four = ("slope", "aspect", "twi", "dist_to_stream", "rusle_soil_loss", "factor_of_safety")
     six = ("elevation", "plan_curvature", "profile_curvature", "k_factor")
     return f.select(*KEY, *[rnd(x, 4).alias(x) for x in four], *[rnd(x).alias(x) for x in six],
@@ -55,10 +54,10 @@ def _(v):
 so AS (SELECT site, DEGREES(ATAN(SQRT(gx*gx + gy*gy))) AS slope, landcover, sand_raw / 10e0 AS sand, silt_raw / 10e0 AS silt, clay_raw / 10e0 AS clay, soc_raw / 10e0 AS soc FROM g JOIN layers USING (cell_id)),
 pa AS (SELECT site, slope, {K_SQL} AS k, {COHESION_SQL} AS cohesion, {PHI_SQL} AS phi, {DEPTH_SQL} AS soil_depth, {C_SQL} AS c FROM so),
 fs AS (SELECT *, {FS_SQL.format(w='9.81e0')} AS fs, 3000 * k * LEAST(100e0, POWER(slope / 10, 1.3e0)) * c AS loss FROM pa)
-SELECT site, CAST(SUM(CASE WHEN fs < 1 AND soil_depth > 0 THEN 1 ELSE 0 END) AS BIGINT) AS release_cells, RND4(SUM(CASE WHEN fs < 1 THEN soil_depth ELSE 0 END) * 8280) AS release_volume,
+SELECT site, CAST(SUM(CASE WHEN fs < 1 AND soil_depth > 0 THEN 1 ELSE 0 END) AS BIGINT) AS release_cells, RND4(SUM(CASE WHEN fs < 1 THEN soil_depth ELSE 0 END * {DX_SQL} * {DY_SQL})) AS release_volume,
  RND(MIN(fs)) AS min_fs, RND4(SUM(loss)) AS soil_loss FROM fs GROUP BY site""")
 def _(v):
-    s = flows.physics_summary(flows.physics(v.cells, _layers(v), DX, DY), DX, DY)
+    s = flows.physics_summary(flows.physics(v.cells, _layers(v), *steps()), *steps())
     return s.select("site", "release_cells", rnd("release_volume", 4).alias("release_volume"), rnd("min_fs").alias("min_fs"), rnd("soil_loss", 4).alias("soil_loss"))
 
 

@@ -9,28 +9,48 @@ from terravane.functions.grids import nodata_to_null
 from terravane.operators import components as C
 from terravane.operators import flow, terrain as T
 
-DX, DY = 90.0, 92.0
-# Oracle text of the gradient of z and of the quantities built on it.
-GRAD = """
-g1 AS (SELECT *, LAG(z) OVER x AS zw, LEAD(z) OVER x AS ze, LAG(z) OVER y AS zn, LEAD(z) OVER y AS zs FROM cells
+# Cell size in metres: sites differ.
+def steps():
+    return F.lit(90.0) + F.col("site") % 4, F.lit(92.0) + F.col("site") % 3
+
+
+DX_SQL, DY_SQL = "(90e0 + site % 4)", "(92e0 + site % 3)"
+
+
+def slope_sql(here: str, low: str, high: str, step: str) -> str:
+    """Central difference inside, one-sided at the edge."""
+    return (f"CASE WHEN {low} IS NOT NULL AND {high} IS NOT NULL THEN ({high} - {low}) / (2 * {step}) "
+            f"WHEN {high} IS NOT NULL THEN ({high} - {here}) / {step} ELSE ({here} - {low}) / {step} END")
+
+
+# Oracle text of the gradient of z and of the quantities built on it, over a view of cells.
+def grad_sql(cells: str = "cells") -> str:
+    return f"""
+g1 AS (SELECT *, LAG(z) OVER x AS zw, LEAD(z) OVER x AS ze, LAG(z) OVER y AS zn, LEAD(z) OVER y AS zs FROM {cells}
   WINDOW x AS (PARTITION BY site, r ORDER BY c), y AS (PARTITION BY site, c ORDER BY r)),
-g AS (SELECT cell_id, site, r, c, z,
-  CASE WHEN zw IS NOT NULL AND ze IS NOT NULL THEN (ze - zw) / (2 * 90e0) WHEN ze IS NOT NULL THEN (ze - z) / 90e0 ELSE (z - zw) / 90e0 END AS gx,
-  CASE WHEN zn IS NOT NULL AND zs IS NOT NULL THEN (zs - zn) / (2 * 92e0) WHEN zs IS NOT NULL THEN (zs - z) / 92e0 ELSE (z - zn) / 92e0 END AS gy
-  FROM g1)"""
-# Lowest strictly lower neighbour with the fixed tie order; z = 0 is nodata.
-RECEIVER = """
-v AS (SELECT site, r, c, cell_id, z FROM cells WHERE z <> 0),
+g AS (SELECT cell_id, site, r, c, z, {slope_sql("z", "zw", "ze", DX_SQL)} AS gx, {slope_sql("z", "zn", "zs", DY_SQL)} AS gy FROM g1)"""
+
+
+def receiver_sql(cells: str = "cells", valid: str = "WHERE z <> 0") -> str:
+    """Lowest strictly lower neighbour with the fixed tie order; z = 0 is nodata."""
+    return f"""
+v AS (SELECT site, r, c, cell_id, z FROM {cells} {valid}),
 d(o, dr, dc) AS (VALUES (0,-1,-1),(1,-1,0),(2,-1,1),(3,0,-1),(4,0,1),(5,1,-1),(6,1,0),(7,1,1)),
 cand AS (SELECT a.cell_id, a.site, a.r, a.c, b.cell_id AS to_id, b.r AS rr, b.c AS rc,
    ROW_NUMBER() OVER (PARTITION BY a.cell_id ORDER BY b.z, d.o) AS k
   FROM v a CROSS JOIN d JOIN v b ON b.site = a.site AND b.r = a.r + d.dr AND b.c = a.c + d.dc WHERE b.z < a.z),
 recv AS (SELECT cell_id, site, r, c, to_id, rr, rc FROM cand WHERE k = 1)"""
-FLOW = RECEIVER + """,
-walk AS (SELECT cell_id AS src, cell_id AS spot FROM cells UNION ALL SELECT w.src, recv.to_id FROM walk w JOIN recv ON recv.cell_id = w.spot),
+
+
+def flow_sql(cells: str = "cells", valid: str = "WHERE z <> 0") -> str:
+    return receiver_sql(cells, valid) + f""",
+walk AS (SELECT cell_id AS src, cell_id AS spot FROM {cells} UNION ALL SELECT w.src, recv.to_id FROM walk w JOIN recv ON recv.cell_id = w.spot),
 acc AS (SELECT spot AS cell_id, CAST(COUNT(*) AS DOUBLE) AS acc FROM walk GROUP BY spot)"""
 
 
+GRAD, RECEIVER, FLOW = grad_sql(), receiver_sql(), flow_sql()
+
+
 def _valid(v):
     return v.cells.withColumn("z", nodata_to_null(F.col("z"), [0]))
 
@@ -42,22 +62,19 @@ def _accumulated(v):
 
 @query("t1_gradient", f"WITH {GRAD} SELECT cell_id, RND(gx) AS dzdx, RND(gy) AS dzdy FROM g")
 def _(v):
-    return T.gradient(v.cells, DX, DY).select("cell_id", rnd("dzdx").alias("dzdx"), rnd("dzdy").alias("dzdy"))
+    return T.gradient(v.cells, *steps()).select("cell_id", rnd("dzdx").alias("dzdx"), rnd("dzdy").alias("dzdy"))
 
 
 @query("t2_slope_aspect", f"""WITH {GRAD}, a AS (SELECT cell_id, DEGREES(ATAN(SQRT(gx*gx + gy*gy))) AS s, DEGREES(ATAN2(-gy, gx)) AS t FROM g)
 SELECT cell_id, RND4(s) AS slope, RND4(CASE WHEN t < 0 THEN t + 360 ELSE t END) AS aspect FROM a""")
 def _(v):
-    return T.slope_aspect(v.cells, DX, DY).select("cell_id", rnd("slope", 4).alias("slope"), rnd("aspect", 4).alias("aspect"))
+    return T.slope_aspect(v.cells, *steps()).select("cell_id", rnd("slope", 4).alias("slope"), rnd("aspect", 4).alias("aspect"))
 
 
-CURVE = """
+CURVE = f"""
 nn AS (SELECT *, LAG(gx) OVER x AS xw, LEAD(gx) OVER x AS xe, LAG(gx) OVER y AS xn, LEAD(gx) OVER y AS xs, LAG(gy) OVER y AS yn, LEAD(gy) OVER y AS ys
   FROM g WINDOW x AS (PARTITION BY site, r ORDER BY c), y AS (PARTITION BY site, c ORDER BY r)),
-h AS (SELECT cell_id, gx, gy, gx*gx + gy*gy AS p,
-  CASE WHEN xw IS NOT NULL AND xe IS NOT NULL THEN (xe - xw) / 180e0 WHEN xe IS NOT NULL THEN (xe - gx) / 90e0 ELSE (gx - xw) / 90e0 END AS xx,
-  CASE WHEN xn IS NOT NULL AND xs IS NOT NULL THEN (xs - xn) / 184e0 WHEN xs IS NOT NULL THEN (xs - gx) / 92e0 ELSE (gx - xn) / 92e0 END AS xy,
-  CASE WHEN yn IS NOT NULL AND ys IS NOT NULL THEN (ys - yn) / 184e0 WHEN ys IS NOT NULL THEN (ys - gy) / 92e0 ELSE (gy - yn) / 92e0 END AS yy FROM nn),
+h AS (SELECT cell_id, gx, gy, gx*gx + gy*gy AS p, {slope_sql("gx", "xw", "xe", DX_SQL)} AS xx, {slope_sql("gx", "xn", "xs", DY_SQL)} AS xy, {slope_sql("gy", "yn", "ys", DY_SQL)} AS yy FROM nn),
 cv AS (SELECT cell_id,
   CASE WHEN p > 1e-10 THEN GREATEST(-10e0, LEAST(10e0, -(gx*gx*xx + 2*gx*gy*xy + gy*gy*yy) / (p * SQRT((p+1)*(p+1)*(p+1))))) ELSE 0 END AS profile_curvature,
   CASE WHEN p > 1e-10 THEN GREATEST(-10e0, LEAST(10e0, -(gy*gy*xx - 2*gx*gy*xy + gx*gx*yy) / (p * SQRT(p)))) ELSE 0 END AS plan_curvature FROM h)"""
@@ -65,7 +82,7 @@ cv AS (SELECT cell_id,
 
 @query("t3_curvatures", f"WITH {GRAD}, {CURVE} SELECT cell_id, RND(profile_curvature) AS profile_curvature, RND(plan_curvature) AS plan_curvature FROM cv")
 def _(v):
-    return T.curvatures(v.cells, DX, DY).select(
+    return T.curvatures(v.cells, *steps()).select(
         "cell_id", rnd("profile_curvature").alias("profile_curvature"), rnd("plan_curvature").alias("plan_curvature"))
 
 
@@ -80,20 +97,25 @@ def _(v):
 
 
 @query("t6_twi", f"""WITH RECURSIVE {FLOW}, {GRAD}
-SELECT cell_id, RND4(GREATEST(-5e0, LEAST(30e0, LN(acc * 90e0 * 92e0 / 91e0 / GREATEST(SQRT(gx*gx + gy*gy), 0.001e0))))) AS twi FROM acc JOIN g USING (cell_id)""")
+SELECT cell_id, RND4(GREATEST(-5e0, LEAST(30e0, LN(acc * {DX_SQL} * {DY_SQL} / (({DX_SQL} + {DY_SQL}) / 2) / GREATEST(SQRT(gx*gx + gy*gy), 0.001e0))))) AS twi FROM acc JOIN g USING (cell_id)""")
 def _(v):
     cells = _valid(v)
     acc = flow.flow_accumulation(flow.d8_receiver(cells))
-    s = T.slope_aspect(v.cells, DX, DY).join(acc, ["site", "r", "c"])
-    return s.select("cell_id", rnd(T.twi(F.col("acc"), F.col("slope"), DX, DY), 4).alias("twi"))
+    s = T.slope_aspect(v.cells, *steps()).join(acc, ["site", "r", "c"])
+    return s.select("cell_id", rnd(T.twi(F.col("acc"), F.col("slope"), *steps()), 4).alias("twi"))
 
 
-STREAM = FLOW + """,
-sa AS (SELECT c.cell_id, c.site, c.r, c.c, acc.acc FROM cells c JOIN acc USING (cell_id)),
+def stream_sql(cells: str = "cells", valid: str = "WHERE z <> 0") -> str:
+    return flow_sql(cells, valid) + f""",
+sa AS (SELECT c.cell_id, c.site, c.r, c.c, acc.acc FROM {cells} c JOIN acc USING (cell_id)),
 cut AS (SELECT site, QUANTILE_CONT(acc, 0.95) AS q FROM sa GROUP BY site),
 st AS (SELECT sa.*, acc >= q AS stream FROM sa JOIN cut USING (site))"""
 
 
+STREAM = stream_sql()
+DIST_SQL = "MIN(SQRT(POWER((a.r - b.r) * (92e0 + a.site % 3), 2) + POWER((a.c - b.c) * (90e0 + a.site % 4), 2)))"
+
+
 @query("t7_streams", f"WITH RECURSIVE {STREAM} SELECT cell_id, acc, stream FROM st")
 def _(v):
     return T.streams(_accumulated(v)).select("cell_id", "acc", "stream")
@@ -101,16 +123,16 @@ def _(v):
 
 @query("t8_dist_to_stream", f"""WITH RECURSIVE {STREAM},
 on_stream AS (SELECT site, r, c FROM st WHERE stream)
-SELECT a.cell_id, RND4(MIN(SQRT(POWER((a.r - b.r) * 92e0, 2) + POWER((a.c - b.c) * 90e0, 2)))) AS dist
+SELECT a.cell_id, RND4({DIST_SQL}) AS dist
 FROM st a JOIN on_stream b USING (site) GROUP BY a.cell_id""")
 def _(v):
-    return T.dist_to_stream(T.streams(_accumulated(v)), DX, DY).select("cell_id", rnd("dist", 4).alias("dist"))
+    return T.dist_to_stream(T.streams(_accumulated(v)), *steps()).select("cell_id", rnd("dist", 4).alias("dist"))
 
 
 @query("t9_hillshade", f"""WITH {GRAD}, a AS (SELECT cell_id, ATAN(SQRT(gx*gx + gy*gy)) AS s, ATAN2(-gy, gx) AS t FROM g)
 SELECT cell_id, RND4((GREATEST(0e0, 255 * (COS(RADIANS(60e0)) * COS(s) + SIN(RADIANS(60e0)) * SIN(s) * COS(RADIANS(180e0) - t))) + 255) / 2) AS grey FROM a""")
 def _(v):
-    s = T.slope_aspect(v.cells, DX, DY)
+    s = T.slope_aspect(v.cells, *steps())
     return s.select("cell_id", rnd(T.grey(T.hillshade(F.col("slope"), F.col("aspect"))), 4).alias("grey"))
 
 

@@ -20,7 +20,8 @@ CURVATURE_LIMIT = 10.0
 TWI_RANGE = (-5.0, 30.0)
 
 
-def _num(x) -> Column:
+def number(x) -> Column:
+    """A number as a literal, a Column (a step that differs by site) as it is."""
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
@@ -28,7 +29,7 @@ def derivative(df: DataFrame, axis: str, values: dict[str, str], step, by: Seque
     """Add ``values[v]`` = derivative of ``v`` along ``axis``: central inside,
     one-sided at the edge of the grid.  ``step`` is a number or a Column."""
     out = neighbours(df, axis, list(values), by)
-    h = _num(step)
+    h = number(step)
     for v, name in values.items():
         prev, here, nxt = F.col(f"_prev.{v}"), F.col(v), F.col(f"_next.{v}")
         both = F.col("_prev").isNotNull() & F.col("_next").isNotNull()
@@ -84,7 +85,7 @@ def curvatures(df: DataFrame, dx, dy, value: str = "z") -> DataFrame:
 
 def twi(acc: Column, slope: Column, dx, dy) -> Column:
     """Topographic wetness index, limited to -5 .. 30."""
-    dx, dy = _num(dx), _num(dy)
+    dx, dy = number(dx), number(dy)
     area = acc * (dx * dy) / ((dx + dy) / 2.0)
     steep = clip(F.tan(F.radians(slope)), 0.001)
     return clip(F.log(area / steep), *TWI_RANGE)
@@ -120,22 +121,64 @@ def _nearest_in_column(df: DataFrame, stream: str, tall: bool, segment: int) ->
         "site", "r", "c", F.coalesce("_up", "_above").alias("_up"), F.coalesce("_down", "_below").alias("_down"))
 
 
-def dist_to_stream(df: DataFrame, dx: float, dy: float, stream: str = "stream", cells_per_task: int = 1 << 18,
-                   segment: int = SEGMENT) -> DataFrame:
-    """Add exact Euclidean distance ``dist`` to the nearest stream cell.
+def row_distance(squares: np.ndarray, step: float) -> np.ndarray:
+    """For every place of every row the minimum over places q of ``squares[q] + (step * (place - q))^2``.
+
+    Lower envelope of parabolas, all rows at once: linear in the length of a row.  Infinite squares are no source.
+    """
+    n, width = squares.shape
+    lines = np.arange(n)
+    top = np.full(n, -1)  # place of the last parabola of each row's envelope
+    source = np.zeros((n, width), dtype=np.int64)
+    begin = np.full((n, width + 1), np.inf)
+    for q in range(width):
+        height = squares[:, q]
+        open_rows = np.isfinite(height)
+        cut = np.full(n, -np.inf)
+        rows = lines[open_rows & (top >= 0)]
+        while len(rows):
+            v = source[rows, top[rows]]
+            meet = (height[rows] - squares[rows, v]) / (2.0 * step * step * (q - v)) + (q + v) / 2.0
+            behind = meet <= begin[rows, top[rows]]
+            cut[rows] = np.where(behind, -np.inf, meet)
+            rows = rows[behind]
+            top[rows] -= 1
+            rows = rows[top[rows] >= 0]
+        rows = lines[open_rows]
+        top[rows] += 1
+        source[rows, top[rows]] = q
+        begin[rows, top[rows]] = cut[rows]
+        begin[rows, top[rows] + 1] = np.inf
+    out = np.full_like(squares, np.inf)
+    at = np.zeros(n, dtype=np.int64)
+    rows = lines[top >= 0]
+    for q in range(width):
+        ahead = rows[begin[rows, at[rows] + 1] < q]
+        while len(ahead):
+            at[ahead] += 1
+            ahead = ahead[begin[ahead, at[ahead] + 1] < q]
+        v = source[rows, at[rows]]
+        out[rows, q] = squares[rows, v] + (step * (q - v)) ** 2
+    return out
+
+
+def dist_to_stream(df: DataFrame, dx, dy, stream: str = "stream", cells_per_task: int = 1 << 18, segment: int = SEGMENT) -> DataFrame:
+    """Add exact Euclidean distance ``dist`` to the nearest stream cell; ``dx, dy`` are numbers or Columns fixed per site.
 
     The transform is separable: first the nearest stream of the same column (running
     windows down a column), then the minimum along each row.  The row step runs on
     blocks of whole rows of at most about ``cells_per_task`` cells.
     """
-    shape = settle(df.groupBy("site").agg((F.max("c") + 1).alias("_width"), F.max("r").alias("_height")))
-    tall = shape.filter(F.col("_height") >= segment).limit(1).count() > 0
-    gap = _nearest_in_column(df, stream, tall, segment)
-    gap = gap.withColumn("v", F.least(F.col("r") - F.col("_up"), F.col("_down") - F.col("r")) * F.lit(float(dy)))
-    rows = attach(gap.select("site", "r", "c", "v"), shape.drop("_height"), ["site"])
-    rows = rows.withColumn(
-        "_block", F.floor(F.col("r") / F.greatest(F.lit(1), F.floor(F.lit(cells_per_task) / F.col("_width"))))
-    )
+    # Keys and flag only are read more than once.
+    flags = settle(df.select("site", "r", "c", F.col(stream).alias("_stream"), number(dx).cast("double").alias("_dx"), number(dy).cast("double").alias("_dy")))
+    shape = settle(flags.groupBy("site").agg(
+        (F.max("c") + 1).alias("_width"), F.max("r").alias("_height"), F.first("_dx").alias("_dx"), F.first("_dy").alias("_dy")))
+    tall = not shape.filter(F.col("_height") >= segment).isEmpty()
+    gap = _nearest_in_column(flags, "_stream", tall, segment)
+    rows = attach(gap, shape.drop("_height"), ["site"])
+    rows = rows.select(
+        "site", "r", "c", (F.least(F.col("r") - F.col("_up"), F.col("_down") - F.col("r")) * F.col("_dy")).alias("v"), "_dx",
+        F.floor(F.col("r") / F.greatest(F.lit(1), F.floor(F.lit(cells_per_task) / F.col("_width")))).alias("_block"))
 
     def along_rows(pdf: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = pdf["r"].min(), pdf["c"].min()
@@ -144,14 +187,7 @@ def dist_to_stream(df: DataFrame, dx: float, dy: float, stream: str = "stream",
         v = pdf["v"].astype("float64").to_numpy()
         sq = np.full(shape, np.inf)
         sq[ri, ci] = np.where(np.isnan(v), np.inf, v * v)
-        best = sq.copy()
-        for k in range(1, shape[1]):
-            step = (k * dx) ** 2
-            if step >= best.max():
-                break
-            np.minimum(best[:, k:], sq[:, :-k] + step, out=best[:, k:])
-            np.minimum(best[:, :-k], sq[:, k:] + step, out=best[:, :-k])
-        dist = np.sqrt(best[ri, ci])
+        dist = np.sqrt(row_distance(sq, float(pdf["_dx"].iloc[0]))[ri, ci])
         return pdf[["site", "r", "c"]].assign(dist=np.where(np.isinf(dist), np.nan, dist))
 
     site_type = df.schema["site"].dataType.simpleString()

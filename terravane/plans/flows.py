@@ -26,9 +26,12 @@ from terravane.session import settle
 KEY = ["site", "r", "c"]
 
 
-def terrain_features(dem: DataFrame, dx: float, dy: float) -> DataFrame:
+def terrain_features(dem: DataFrame, dx, dy) -> DataFrame:
     """DEM ``(site, r, c, z)`` -> elevation, slope, aspect, curvatures, twi and
-    dist_to_stream.  Elevation 0 is nodata and takes the site's median."""
+    dist_to_stream.  Elevation 0 is nodata and takes the site's median.
+
+    ``dx, dy`` are metres: numbers, or Columns of the key where sites differ.
+    """
     z = fill_nulls(dem.select(*KEY, G.nodata_to_null(F.col("z"), [0.0]).alias("z")), ["z"])
     z = settle(z)
     shape = T.curvatures(z, dx, dy).select(
@@ -65,22 +68,22 @@ def stability(df: DataFrame, rain_mm_h: float = P.BASE_RAIN_MM_H) -> DataFrame:
     }).withColumn("release", P.release_by_fs(F.col("factor_of_safety"), F.col("soil_depth")))
 
 
-def physics(dem: DataFrame, layers: DataFrame, dx: float, dy: float, rain_mm_h: float = P.BASE_RAIN_MM_H) -> DataFrame:
+def physics(dem: DataFrame, layers: DataFrame, dx, dy, rain_mm_h: float = P.BASE_RAIN_MM_H) -> DataFrame:
     """Slope, soil, erosion, stability and release of every cell."""
     slope = T.gradient(dem, dx, dy).withColumn("slope", T.slope_deg(F.col("dzdx"), F.col("dzdy")))
     return stability(soil_parameters(slope.join(layers, KEY)), rain_mm_h)
 
 
-def physics_summary(cells: DataFrame, dx: float, dy: float) -> DataFrame:
+def physics_summary(cells: DataFrame, dx, dy) -> DataFrame:
     return cells.groupBy("site").agg(
         F.sum(F.when(F.col("release") > 0, 1).otherwise(0)).alias("release_cells"),
-        (F.sum("release") * float(dx * dy)).alias("release_volume"),
+        F.sum(F.col("release") * T.number(dx) * T.number(dy)).alias("release_volume"),
         F.min("factor_of_safety").alias("min_fs"),
         F.sum("rusle_soil_loss").alias("soil_loss"),
     )
 
 
-def build_features(dem: DataFrame, layers: DataFrame, dx: float, dy: float, flow_layers: DataFrame | None = None) -> DataFrame:
+def build_features(dem: DataFrame, layers: DataFrame, dx, dy, flow_layers: DataFrame | None = None) -> DataFrame:
     """The ordered feature stack of every cell."""
     df = stability(soil_parameters(terrain_features(dem, dx, dy).join(layers, KEY)))
     if flow_layers is not None:
