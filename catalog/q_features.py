@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from catalog.base import query, rnd
+from catalog.q_sources import scratch
 from terravane.operators import features as X
 from terravane.operators import metrics as E
 from terravane.operators import models as M
 from terravane.operators import risk as R
 from terravane.operators.joins import attach_single
 from terravane.operators.sampling import FEATURES
+from terravane.session import settle
 
 HOT = ", ".join(f"CAST(landcover = {k} AS INT)::DOUBLE AS landcover_{k}" for k in X.LANDCOVER_CLASSES)
 
@@ -59,16 +59,20 @@ def _(v):
     return X.spatial_blocks(v.stack, row="r", col="c").select("cell_id", "block")
 
 
-# Greedy assignment as a recursion over the blocks from large to small.
-FOLDS = BLOCK_SQL + """,
+def folds_sql(k: int) -> str:
+    """Greedy assignment as a recursion over the blocks from large to small: ``gr`` has block size ``n`` and fold ``f``."""
+    loads = [f"l{i}" for i in range(k)]
+    zero = ", ".join(f"CAST(0 AS BIGINT) AS {x}" for x in loads)
+    grown = ", ".join(f"{x} + CASE f2 WHEN {i} THEN n2 ELSE 0 END" for i, x in enumerate(loads))
+    least = " ".join(f"WHEN {x} THEN {i}" for i, x in enumerate(loads[:-1]))
+    return BLOCK_SQL + f""",
 ob AS (SELECT block, COUNT(*) AS n, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, block) AS rn FROM bl GROUP BY block),
-gr AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS l0, CAST(0 AS BIGINT) AS l1, CAST(0 AS BIGINT) AS l2, CAST(0 AS BIGINT) AS l3, CAST(0 AS BIGINT) AS l4, -1 AS f, CAST(0 AS BIGINT) AS n
- UNION ALL SELECT rn, l0 + CASE f2 WHEN 0 THEN n2 ELSE 0 END, l1 + CASE f2 WHEN 1 THEN n2 ELSE 0 END, l2 + CASE f2 WHEN 2 THEN n2 ELSE 0 END, l3 + CASE f2 WHEN 3 THEN n2 ELSE 0 END,
-  l4 + CASE f2 WHEN 4 THEN n2 ELSE 0 END, f2, n2 FROM (SELECT ob.rn, ob.n AS n2, l0, l1, l2, l3, l4, CASE LEAST(l0, l1, l2, l3, l4) WHEN l0 THEN 0 WHEN l1 THEN 1 WHEN l2 THEN 2 WHEN l3 THEN 3 ELSE 4 END AS f2
+gr AS (SELECT CAST(0 AS BIGINT) AS i, {zero}, -1 AS f, CAST(0 AS BIGINT) AS n
+ UNION ALL SELECT rn, {grown}, f2, n2 FROM (SELECT ob.rn, ob.n AS n2, {", ".join(loads)}, CASE LEAST({", ".join(loads)}) {least} ELSE {k - 1} END AS f2
    FROM gr JOIN ob ON ob.rn = gr.i + 1))"""
 
 
-@query("h7_group_folds", f"WITH RECURSIVE {FOLDS} SELECT f AS fold, CAST(SUM(n) AS BIGINT) AS n, COUNT(*) AS blocks FROM gr WHERE f >= 0 GROUP BY f")
+@query("h7_group_folds", f"WITH RECURSIVE {folds_sql(5)} SELECT f AS fold, CAST(SUM(n) AS BIGINT) AS n, COUNT(*) AS blocks FROM gr WHERE f >= 0 GROUP BY f")
 def _(v):
     f = X.group_folds(X.spatial_blocks(v.stack, row="r", col="c"), 5)
     return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("block").alias("blocks"))
@@ -86,31 +90,47 @@ SMALL_FOREST = {"numTrees": 10, "maxDepth": 5}
 SMALL_BOOSTING = {"maxIter": 5, "maxDepth": 3}
 
 
-def _ready(v):
-    ready, fitted = M.prepare(v.stack)
+# What SQL can state of a learner: every cell has a score, and a signal planted in the labels is found.
+PLANTED = 22.0
+
+
+def _planted(v):
+    steep = F.coalesce(F.col("slope"), F.lit(0.0)) > PLANTED
+    ready, fitted = M.prepare(v.stack.withColumn("label", steep.cast("int")))
     return ready, X.model_features(), fitted
 
 
-@query("h9_random_forest")
+def _found(scored, by, *more):
+    """Rows and a high AUC per group."""
+    n = scored.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *more)
+    return n.join(E.auc(scored, [by], y="label"), by).withColumn("auc_high", F.col("auc") > 0.9).drop("auc")
+
+
+FOUND_SQL = "SELECT site, COUNT(*) AS n, TRUE AS auc_high FROM stack GROUP BY site"
+
+
+@query("h9_random_forest", FOUND_SQL)
 def _(v):
-    ready, names, _ = _ready(v)
+    ready, names, _ = _planted(v)
     model = M.fit(M.random_forest(names, **SMALL_FOREST), ready)
-    return M.probability(model, ready).select("cell_id", "label", "p")
+    return _found(M.probability(model, ready), "site")
 
 
-@query("h10_gradient_boosting")
+@query("h10_gradient_boosting", FOUND_SQL)
 def _(v):
-    ready, names, _ = _ready(v)
+    ready, names, _ = _planted(v)
     model = M.fit(M.gradient_boosting(names, **SMALL_BOOSTING), ready, "positive")
-    return M.probability(model, ready).select("cell_id", "label", "p")
+    return _found(M.probability(model, ready), "site")
 
 
-@query("h11_cross_validate")
+@query("h11_cross_validate", f"""WITH RECURSIVE {folds_sql(3)} SELECT f AS fold, CAST((SELECT COUNT(*) FROM stack) - SUM(n) AS BIGINT) AS n_train, CAST(SUM(n) AS BIGINT) AS n_test, TRUE AS auc_high FROM gr WHERE f >= 0 GROUP BY f
+UNION ALL SELECT NULL, NULL, (SELECT COUNT(*) FROM stack), TRUE""")
 def _(v):
-    ready, names, _ = _ready(v)
+    ready, names, _ = _planted(v)
     folds = X.group_folds(X.spatial_blocks(ready, row="r", col="c"), 3)
-    out = M.cross_validate(folds, lambda: M.random_forest(names, numTrees=5, maxDepth=4), 3)
-    return E.fold_metrics(out, y="label")
+    out = settle(M.cross_validate(folds, lambda: M.random_forest(names, **SMALL_FOREST), 3))
+    both = E.fold_metrics(out, y="label").unionByName(E.overall_metrics(out, y="label"))
+    return both.select("fold", "n_train", "n_test", (F.col("auc") > 0.9).alias("auc_high"))
 
 
 METRICS = """cm AS (SELECT fold, COUNT(*) FILTER (y = 0 AND p < 0.5) AS tn, COUNT(*) FILTER (y = 0 AND p >= 0.5) AS fp,
@@ -162,30 +182,36 @@ def _(v):
     return attach_single(s, E.best_model(s)).select("model", rnd("mean_auc").alias("mean_auc"), rnd("std_auc").alias("std_auc"), "best")
 
 
-@query("h17_feature_importance")
+@query("h17_feature_importance", "SELECT 'slope' AS first, TRUE AS sums_to_one, site FROM (SELECT DISTINCT site FROM stack)")
 def _(v):
-    ready, names, _ = _ready(v)
+    ready, names, _ = _planted(v)
     model = M.fit(M.random_forest(names, **SMALL_FOREST), ready)
-    return M.feature_importance(model, names, v.spark)
+    ranked = M.feature_importance(model, names, v.spark, top=len(names))
+    told = ranked.agg(F.max(F.when(F.col("rank") == 1, F.col("feature"))).alias("first"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"))
+    return attach_single(v.stack.select("site").distinct(), told)
 
 
-@query("h18_score_cells")
+@query("h18_score_cells", """SELECT cell_id, elevation IS NULL OR slope IS NULL OR ISINF(dist_to_stream) AS nodata, TRUE AS in_range FROM stack""")
 def _(v):
-    ready, names, fitted = _ready(v)
+    ready, names, fitted = _planted(v)
     model = M.fit(M.random_forest(names, **SMALL_FOREST), ready)
-    return M.score_cells(model, v.stack, names, FEATURES, fitted)
+    scored = M.score_cells(model, v.stack, names, FEATURES, fitted, keys=("cell_id",))
+    p = F.col("p")
+    return scored.select("cell_id", (p == -9999).alias("nodata"), ((p == -9999) | p.between(0, 1)).alias("in_range"))
 
 
-@query("h19_transfer_score")
+@query("h19_transfer_score", "SELECT site, COUNT(*) AS n, 0e0 AS max_diff FROM stack GROUP BY site")
 def _(v):
-    train = v.stack.filter("site % 2 = 0")
-    ready, fitted = M.prepare(train)
+    ready, fitted = M.prepare(v.stack.filter("site % 2 = 0"))
     names = X.model_features()
     model = M.fit(M.random_forest(names, **SMALL_FOREST), ready)
-    path = tempfile.mkdtemp(prefix="terravane-model-")
+    path = scratch(v, "model")
     M.save_model(model, fitted, path)
     loaded, stored = M.load_model(v.spark, path)
-    return M.score_cells(loaded, v.stack, names, FEATURES, stored)
+    before = M.score_cells(model, v.stack, names, FEATURES, fitted, keys=("site", "cell_id"))
+    after = M.score_cells(loaded, v.stack, names, FEATURES, stored, keys=("site", "cell_id")).withColumnRenamed("p", "q")
+    both = before.join(after, ["site", "cell_id"])
+    return both.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("p") - F.col("q"))).alias("max_diff"))
 
 
 @query("h20_probability_summary", "SELECT site, MIN(p) AS p_min, MAX(p) AS p_max, RND(AVG(p)) AS p_mean FROM scored WHERE p <> -9999 GROUP BY site")

@@ -188,7 +188,7 @@ def _stream(v):
 
 
 def _run(v, stream):
-    out = scratch("stream")
+    out = scratch(v, "stream")
     q = ST.run_to_table(stream, f"{out}/table", f"{out}/checkpoint")
     q.awaitTermination()
     return v.spark.read.schema(stream.schema).parquet(f"{out}/table")

@@ -149,8 +149,14 @@ def _(v):
     return A.fill_nulls_neighbour(n, "z").select("cell_id", rnd("z").alias("z"))
 
 
-@query("g13_sample_at_points", BILINEAR.format(x="(c * 1.3e0 - 3.1e0)", y="(r * 1.2e0 - 2.3e0)") + """,
-m AS (SELECT site, QUANTILE_CONT(v, 0.5) AS med FROM src WHERE v IS NOT NULL GROUP BY site)
+@query("g13_sample_at_points", """
+WITH m AS (SELECT site, QUANTILE_CONT(z, 0.5) AS med FROM cells WHERE z <> 0 GROUP BY site),
+f AS (SELECT site, r, c, CASE WHEN z <> 0 THEN z ELSE med END AS v FROM cells JOIN m USING (site)),
+t AS (SELECT cell_id, site, c * 1.3e0 - 3.6e0 AS fx, r * 1.2e0 - 2.8e0 AS fy FROM cells),
+b AS (SELECT *, FLOOR(fx) AS x0, FLOOR(fy) AS y0, LEAST(FLOOR(fx) + 1, 49) AS x1, LEAST(FLOOR(fy) + 1, 29) AS y1 FROM t WHERE fx BETWEEN 0 AND 49 AND fy BETWEEN 0 AND 29),
+hit AS (SELECT b.cell_id, (1 - (fx - x0)) * (1 - (fy - y0)) * p.v + (fx - x0) * (1 - (fy - y0)) * q.v + (1 - (fx - x0)) * (fy - y0) * u.v + (fx - x0) * (fy - y0) * w.v AS v FROM b
+  JOIN f p ON p.site = b.site AND p.r = y0 AND p.c = x0 JOIN f q ON q.site = b.site AND q.r = y0 AND q.c = x1
+  JOIN f u ON u.site = b.site AND u.r = y1 AND u.c = x0 JOIN f w ON w.site = b.site AND w.r = y1 AND w.c = x1)
 SELECT t.cell_id, RND(COALESCE(hit.v, m.med)) AS v FROM t JOIN m USING (site) LEFT JOIN hit USING (cell_id)""")
 def _(v):
     src = v.cells.select("site", "r", "c", G.nodata_to_null(F.col("z"), [0]).alias("v"))

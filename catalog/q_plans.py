@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from catalog import q_feeds as QF
 from catalog.base import query, rnd
+from catalog.q_sources import scratch
 from catalog.q_physics import DEPTH_SQL, FS_SQL
 from catalog.q_risk import LEVEL_SQL, severity_sql
 from catalog.q_terrain import CURVE, DIST_SQL, DX_SQL, DY_SQL, GRAD, grad_sql, steps, stream_sql
 from terravane.operators import feeds as QW
+from terravane.operators import models, sampling
+from terravane.operators.joins import attach_single
 from terravane.plans import flows
 
 KEY = ["site", "r", "c"]
@@ -61,11 +64,22 @@ def _(v):
     return s.select("site", "release_cells", rnd("release_volume", 4).alias("release_volume"), rnd("min_fs").alias("min_fs"), rnd("soil_loss", 4).alias("soil_loss"))
 
 
-@query("y3_batch_training")
+# Valid cells; the cells within three of an event are no negatives; 40 of each class, all of a site's negatives if it is safe.
+@query("y3_batch_training", """WITH ok AS (SELECT site, label, r BETWEEN 7 AND 17 AND c BETWEEN 17 AND 33 AND site % 4 < 3 AND label = 0 AS near FROM stack WHERE landcover <> 80 AND elevation IS NOT NULL AND elevation <> 0),
+k AS (SELECT site, LEAST(40, COUNT(*) FILTER (label = 1)) AS positive, LEAST(40, COUNT(*) FILTER (label = 0 AND NOT near)) AS negative FROM ok GROUP BY site)
+SELECT site, positive + negative AS n, positive, negative, CAST(1000 + site AS INT) AS site_id, CAST(2 AS BIGINT) AS models, CAST(8 AS BIGINT) AS metric_rows, TRUE AS best_known FROM k""")
 def _(v):
     label = v.stack.select(*KEY, "label")
-    _, folds = flows.batch_training(v.stack, label, 40, folds=3, numTrees=5, maxDepth=4)
-    return folds
+    order = v.stack.select("site").distinct().withColumn("site_id", (F.col("site") + 1000).cast("int"))
+    small = {"forest": {"numTrees": 5, "maxDepth": 4}, "boosting": {"maxIter": 2, "maxDepth": 3}}
+    path = scratch(v, "models")
+    out = flows.batch_training(v.stack, label, 40, folds=3, learners=small, save_to=path, site_order=order)
+    for name in small:
+        models.load_model(v.spark, f"{path}/{name}")
+    told = out["metrics"].agg(F.countDistinct("model").alias("models"), F.count(F.lit(1)).alias("metric_rows"))
+    best = out["summary"].agg(F.max(F.col("best").isin(*small)).alias("best_known"))
+    counts = sampling.site_sample_counts(out["frame"]).join(order, "site")
+    return attach_single(attach_single(counts, told), best)
 
 
 @query("y4_predict", f"""WITH {QF.RESOLVED}, {QF.PLACE_SITES}, {QF.SITE_SCORE},

@@ -3,7 +3,7 @@ read back."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,10 +13,12 @@ from terravane.sources import feeds as SF
 from terravane.sources import grids as SG
 from terravane.sources import tables as ST
 from terravane.operators.sampling import FEATURES
+from terravane.session import checkpoint_root
 
 
-def scratch(kind: str) -> str:
-    return tempfile.mkdtemp(prefix=f"terravane-{kind}-")
+def scratch(v: Views, kind: str) -> str:
+    """A new folder that every executor shares, below the checkpoint folder."""
+    return f"{checkpoint_root(v.spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def _write_ascii(cells, name: str, value: str, path: str) -> None:
@@ -33,7 +35,7 @@ def _write_ascii(cells, name: str, value: str, path: str) -> None:
 
 @query("s1_read_ascii_grid", """SELECT site, r, c, 100e0 + c * 10 AS x, 200e0 + (29 - r) * 10 AS y, CASE WHEN z <> 0 THEN z END AS value FROM cells""")
 def _(v: Views):
-    path = scratch("asc")
+    path = scratch(v, "asc")
     cells = v.cells.withColumn("name", F.concat(F.lit("run_"), F.col("site"), F.lit("_elev.asc"))).withColumn("z", F.when(F.col("z") != 0, F.col("z")))
     _write_ascii(cells, "name", "z", path)
     got = SG.read_ascii_grid(v.spark, f"{path}/name=*")
@@ -42,7 +44,7 @@ def _(v: Views):
 
 @query("s2_site_registry", """SELECT LOWER(n_name) AS site, 76 + n_nationkey * 0.1e0 AS west, 'flood' AS category FROM nation WHERE n_nationkey % 4 = 1""")
 def _(v):
-    path = scratch("registry")
+    path = scratch(v, "registry")
     k = F.col("n_nationkey")
     cat = F.when(k % 4 == 0, "landslide").when(k % 4 == 1, "flood").otherwise("safe")
     west = F.lit(76.0) + k * F.lit(0.1)
@@ -62,12 +64,12 @@ def _training_csv(v, path):
 
 @query("s3_read_training", "SELECT label, COUNT(*) AS n FROM stack GROUP BY label")
 def _(v):
-    return ST.class_counts(_training_csv(v, scratch("training")))
+    return ST.class_counts(_training_csv(v, scratch(v, "training")))
 
 
 @query("s4_read_monthly_stack", """SELECT cell_id, month, prec FROM monthly_rain WHERE cell_id % 50 BETWEEN 10 AND 30 AND FLOOR((cell_id % 1500) / 50) BETWEEN 5 AND 20""")
 def _(v):
-    path = scratch("monthly")
+    path = scratch(v, "monthly")
     k = F.col("cell_id")
     v.monthly_rain.withColumn("x", (k % 50).cast("double")).withColumn("y", F.floor((k % 1500) / 50).cast("double")).write.mode(
         "overwrite").partitionBy("month").parquet(path)
@@ -77,14 +79,14 @@ def _(v):
 
 @query("s5_write_read_stack", """SELECT site, r, c, COALESCE(elevation, 0) AS elevation, COALESCE(slope, 0) AS slope, 0e0 AS phi, CAST(landcover AS DOUBLE) AS landcover FROM stack""")
 def _(v):
-    path = scratch("stack")
+    path = scratch(v, "stack")
     SG.write_stack(v.stack.drop("phi"), path)
     return SG.read_stack(v.spark, path, FEATURES).select("site", "r", "c", "elevation", "slope", "phi", "landcover")
 
 
 @query("s6_write_training", "SELECT site, r AS row, c AS col, label, elevation FROM (SELECT CAST(site AS VARCHAR) AS site, r, c, label, elevation FROM stack)")
 def _(v):
-    return _training_csv(v, scratch("training")).select("site", "row", "col", "label", "elevation")
+    return _training_csv(v, scratch(v, "training")).select("site", "row", "col", "label", "elevation")
 
 
 def dam_bodies(v):
@@ -149,7 +151,7 @@ def _(v):
 @query("s12_read_step_grids", """SELECT CAST(FLOOR(cell_id / 1500) AS INT) AS site, 'hflow' AS variable, step, CAST(FLOOR((cell_id % 1500) / 50) AS INT) AS r,
  CAST(cell_id % 50 AS INT) AS c, h AS value FROM steps""")
 def _(v):
-    path = scratch("steps")
+    path = scratch(v, "steps")
     # Complete grids: every cell of a stored step, NODATA where it has no value.
     grid = v.cells.select("cell_id", "site", "r", "c").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(7))))
     full = grid.join(v.steps.select("cell_id", "step", "h"), ["cell_id", "step"], "left")
@@ -162,7 +164,7 @@ def _(v):
 
 @query("s13_read_xyz_csv", f"WITH {XYZ} SELECT site AS step, x, y, z, h, s, r AS red, g AS green, b AS blue FROM xz")
 def _(v):
-    path = scratch("xyz")
+    path = scratch(v, "xyz")
     out = SG.export_xyz(_layers_xyz(v), ("site", "x", "y"))
     name = F.concat(F.lit("pv"), F.lpad(F.col("site").cast("string"), 4, "0"))
     out.withColumn("name", name).drop("site").select("x", "y", "z", "h", "s", "r", "g", "b", "name").write.mode("overwrite").option("header", True).option(
@@ -170,14 +172,15 @@ def _(v):
     return SG.read_xyz(v.spark, f"{path}/name=*")
 
 
-@query("s11_save_load_model")
+@query("s11_save_load_model", "SELECT site, COUNT(*) AS n, 0e0 AS max_diff FROM stack GROUP BY site")
 def _(v):
     from terravane.operators import models as M
     from terravane.operators.features import model_features
 
     ready, fitted = M.prepare(v.stack)
     model = M.fit(M.random_forest(model_features(), weight=None, numTrees=5, maxDepth=4), ready, None)
-    path = scratch("model")
+    path = scratch(v, "model")
     M.save_model(model, fitted, path)
     loaded, _ = M.load_model(v.spark, path)
-    return M.probability(loaded, ready).select("cell_id", "p")
+    both = M.probability(loaded, M.probability(model, ready, "p0"), "p1")
+    return both.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("p0") - F.col("p1"))).alias("max_diff"))

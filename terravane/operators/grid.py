@@ -11,6 +11,7 @@ from terravane.functions.grids import col_of, row_of
 from terravane.operators.joins import attach
 from terravane.operators.lines import block, neighbours
 from terravane.operators.ranks import medians
+from terravane.session import settle
 
 KEY = ("site", "r", "c")
 # What stands in for a layer a site lacks.
@@ -54,10 +55,12 @@ def same_grid(a: Mapping, b: Mapping) -> bool:
 
 
 def align_bilinear(
-    target: DataFrame, source: DataFrame, value: str, geometry: Mapping, target_geometry: Mapping | None = None
+    target: DataFrame, source: DataFrame, value: str, geometry: Mapping, target_geometry: Mapping | None = None, rim: bool = True,
 ) -> DataFrame:
     """Bilinear value at each target ``(x, y)``; NULL source cells carry no weight.
 
+    Up to one cell beyond the outermost centres the value is that of the rim, or NULL without ``rim``.
+
     Every source cell is packed with its right, lower and lower-right neighbour,
     so a target needs one equi-join and no regrouping.  On an identical grid the
     layer is joined as it is.
@@ -90,7 +93,8 @@ def align_bilinear(
     for name, w in parts:
         total = total + F.when(F.col(name).isNotNull(), w * F.col(name)).otherwise(F.lit(0.0))
         weight = weight + F.when(F.col(name).isNotNull(), w).otherwise(F.lit(0.0))
-    return joined.withColumn(value, F.when(weight > 0, total / weight)).drop(
+    enough = (weight > 0) if rim else (weight > 1 - 1e-9) & ~before_x & ~before_y
+    return joined.withColumn(value, F.when(enough, total / weight)).drop(
         "_sr", "_sc", "_wx", "_wy", *[n for n, _ in parts]
     )
 
@@ -136,9 +140,11 @@ def fill_nulls_neighbour(df: DataFrame, value: str, reach: int = 1) -> DataFrame
 
 
 def sample_at_points(points: DataFrame, source: DataFrame, value: str, geometry: Mapping) -> DataFrame:
-    """Bilinear value at points ``(site, x, y)``; the site median outside."""
-    med = medians(source, ["site"], [value]).withColumnRenamed(value, "_med")
-    hit = align_bilinear(points, source, value, geometry)
+    """Bilinear value at points ``(site, x, y)`` of a grid whose gaps take the site median, which also stands beyond the
+    outermost cell centres."""
+    med = settle(medians(source, ["site"], [value]).withColumnRenamed(value, "_med"))
+    filled = attach(source, med, ["site"], "left").withColumn(value, F.coalesce(F.col(value).cast("double"), F.col("_med"))).drop("_med")
+    hit = align_bilinear(points, filled, value, geometry, rim=False)
     return attach(hit, med, ["site"], "left").withColumn(value, F.coalesce(F.col(value), F.col("_med"))).drop("_med")
 
 

@@ -38,6 +38,13 @@ def binary_metrics(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str =
     )
 
 
+def overall_metrics(df: DataFrame, fold: str = "fold", y: str = "y", p: str = "p") -> DataFrame:
+    """Metrics and AUC over the rows of all folds, in the columns of :func:`fold_metrics` with NULL as the fold."""
+    one = df.withColumn("_whole", F.lit(1))
+    m = binary_metrics(one, ["_whole"], y, p).join(auc(one, ["_whole"], y, p), "_whole").drop("_whole")
+    return m.select(F.lit(None).cast(df.schema[fold].dataType).alias(fold), "*", F.lit(None).cast("long").alias("n_train"))
+
+
 def fold_metrics(df: DataFrame, fold: str = "fold", y: str = "y", p: str = "p") -> DataFrame:
     """Metrics and AUC per fold, with the size of the other folds as ``n_train``."""
     # One row per fold: the total is a sum over few rows.

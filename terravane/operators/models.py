@@ -19,6 +19,7 @@ from terravane.session import settle
 FOREST = {"numTrees": 500, "maxDepth": 20, "minInstancesPerNode": 10}
 BOOSTING = {"maxIter": 500, "stepSize": 0.05, "maxDepth": 8, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
 SEED = 42
+ROWS_PER_PART = 200_000
 
 
 def random_forest(features: Sequence[str], label: str = "label", weight: str | None = "weight", **params) -> Pipeline:
@@ -59,8 +60,10 @@ def prepare(df: DataFrame, features: Sequence[str] | None = None, medians: DataF
 def fit(pipeline: Pipeline, train: DataFrame, weigh: str | None = "balanced", label: str = "label") -> PipelineModel:
     """Train on a materialised table, spread evenly: the learner reads it many times."""
     columns = [*pipeline.getStages()[0].getInputCols(), label]
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    data = settle(train.select(*columns).repartition(cores))
+    data = settle(train.select(*columns))
+    # Parts of a size, not one per core, dealt by the rows' own values: a task run again gets the same rows.
+    parts = max(train.sparkSession.sparkContext.defaultParallelism, data.count() // ROWS_PER_PART)
+    data = settle(data.repartition(parts, *columns))
     return pipeline.fit(X.with_class_weight(data, weigh, label) if weigh else data)
 
 
@@ -75,10 +78,16 @@ def probability(model: PipelineModel, df: DataFrame, name: str = "p") -> DataFra
 def cross_validate(df: DataFrame, build: Callable[[], Pipeline], folds: int, fold: str = "fold", label: str = "label",
                    weigh: str | None = "balanced") -> DataFrame:
     """Out-of-fold probabilities: the driver loops over the few folds, each fit and
-    transform is distributed.  Folds whose training part has one class score 0."""
+    transform is distributed.  Folds whose training part has one class score 0; with fewer
+    groups than ``folds`` only the folds that were made are fitted."""
     data = settle(df)
     parts = []
-    for k in range(folds):
+    made = [r[0] for r in data.select(fold).distinct().orderBy(fold).limit(folds + 1).collect()]
+    if len(made) > folds:
+        raise ValueError(f"more than {folds} folds in column {fold}")
+    if not made:
+        return data.withColumn("p", F.lit(0.0))
+    for k in made:
         train, test = data.filter(F.col(fold) != k), data.filter(F.col(fold) == k)
         classes = train.select(label).distinct().limit(2).count()
         if classes < 2:

@@ -48,9 +48,10 @@ def digitize(value: Column, edges: Column) -> Column:
     return F.aggregate(edges, F.lit(0), lambda n, e: n + (value >= e).cast("int")) - 1
 
 
-def stratified_sample(candidates: DataFrame, positives: DataFrame, n: int, seed: int, value: str = "slope") -> DataFrame:
+def stratified_sample(candidates: DataFrame, positives: DataFrame, n: int, seed: int, value: str = "slope", pool: DataFrame | None = None) -> DataFrame:
     """Negatives in the slope proportions of the positives: ``int(share * n)`` per
-    bin as far as the bin has cells.  ``n`` is cut to the site's candidates.
+    bin as far as the bin has cells.  ``n`` is cut to the site's candidates, or to
+    the rows of ``pool`` where candidates without a value count too.
 
     Both inputs are read several times and are therefore settled first.
     """
@@ -61,7 +62,7 @@ def stratified_sample(candidates: DataFrame, positives: DataFrame, n: int, seed:
         .groupBy("site", digitize(F.col(value), F.col("edges")).alias("bin")).agg(F.count(F.lit(1)).alias("_k"))
     )
     total = counts.groupBy("site").agg(F.sum("_k").alias("_all"))
-    available = candidates.groupBy("site").agg(F.count(F.lit(1)).alias("_m"))
+    available = (candidates if pool is None else pool).groupBy("site").agg(F.count(F.lit(1)).alias("_m"))
     targets = (
         counts.join(total, "site").join(available, "site")
         .select("site", "bin", F.floor(F.col("_k") / F.greatest(F.col("_all"), F.lit(1)) * F.least(F.lit(n), F.col("_m"))).alias("_target"))

@@ -94,32 +94,60 @@ def build_features(dem: DataFrame, layers: DataFrame, dx, dy, flow_layers: DataF
 
 def training_sample(stack: DataFrame, label: DataFrame, n: int, seed: int) -> DataFrame:
     """Positives and slope-stratified negatives per site; safe sites give only
-    negatives.  Returns the imputed training table."""
+    negatives.  Returns the imputed training table.
+
+    A site is safe if no cell has an event, valid or not.  Strata follow the positives that were drawn; cells
+    without a slope are in no stratum but may top up.
+    """
+    events = settle(label.filter("label = 1").select("site").distinct())
     cells = labels.boundary_buffer(stack.drop("label").join(label.select(*KEY, "label"), KEY))
-    ok = settle(cells.filter(labels.valid_cell(F.col("landcover"), F.col("elevation"))))
-    positives = ok.filter("label = 1").select(*KEY, "slope", "label")
+    valid = cells.filter(labels.valid_cell(F.col("landcover"), F.col("elevation")))
+    # Only what sampling looks at is written; the features are joined to the few cells drawn.
+    ok = settle(valid.select(*KEY, "slope", "label", "buffer"))
+    positives = settle(sampling.sample_n(ok.filter("label = 1").select(*KEY, "slope", "label"), n, seed))
     negatives = ok.filter("label = 0").select(*KEY, "slope", "label", "buffer")
-    events = positives.select("site").distinct()
-    at_events = negatives.filter("buffer = 0").join(events, "site", "left_semi").filter("slope IS NOT NULL").drop("buffer")
+    at_events = settle(negatives.filter("buffer = 0").join(events, "site", "left_semi").drop("buffer"))
     at_safe = negatives.join(events, "site", "left_anti").drop("buffer")
-    strata = sampling.stratified_sample(at_events, positives.filter("slope IS NOT NULL"), n, seed)
+    strata = sampling.stratified_sample(settle(at_events.filter("slope IS NOT NULL")), settle(positives.filter("slope IS NOT NULL")), n, seed, pool=at_events)
     chosen = sampling.top_up(strata, at_events, n, seed)
     cols = [*KEY, "label"]
-    sample = sampling.sample_n(positives, n, seed).select(*cols).unionByName(chosen.select(*cols)).unionByName(
-        sampling.sample_n(at_safe, n, seed).select(*cols))
-    frame = sampling.training_frame(sample, ok)
+    sample = positives.select(*cols).unionByName(chosen.select(*cols)).unionByName(sampling.sample_n(at_safe, n, seed).select(*cols))
+    frame = sampling.training_frame(sample, stack)
     return sampling.impute_median(frame, sampling.FEATURES)
 
 
-def batch_training(stack: DataFrame, label: DataFrame, n: int = 2000, seed: int = 42, folds: int = 5, **forest) -> tuple[DataFrame, DataFrame]:
-    """Sample all sites, cross-validate by spatial blocks; returns the training
-    table and the metrics per fold."""
-    frame = settle(training_sample(stack, label, n, seed))
-    ready, _ = models.prepare(frame)
+LEARNERS = {"forest": models.random_forest, "boosting": models.gradient_boosting}
+# Weights as in the reference settings: the forest balances classes, boosting weighs positives.
+WEIGHING = {"forest": "balanced", "boosting": "positive"}
+
+
+def batch_training(stack: DataFrame, label: DataFrame, n: int = 2000, seed: int = 42, folds: int = 5, learners: dict[str, dict] | None = None,
+                   save_to: str | None = None, site_order: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Sample all sites, cross-validate every learner by spatial blocks, fit each on all rows and save it.
+
+    ``learners`` maps names of :data:`LEARNERS` to parameters; ``site_order`` (site, site_id) adds ``site_id``.  Returns ``frame`` (training
+    table), ``metrics`` (per model and fold, fold NULL for all rows), ``summary`` (mean and deviation of the fold AUC, ``best``)
+    and ``importance``.  Models go to ``save_to/<name>`` with the fitted medians and scaler.
+    """
+    frame = settle(sampling.merge_sites([training_sample(stack, label, n, seed)], site_order))
+    ready, fitted = models.prepare(frame)
     names = [f for f in X.model_features() if f in ready.columns]
-    blocks = X.group_folds(X.spatial_blocks(ready), folds)
-    scored = models.cross_validate(blocks, lambda: models.random_forest(names, **forest), folds)
-    return frame, metrics.fold_metrics(scored, y="label")
+    blocks = settle(X.group_folds(X.spatial_blocks(ready), folds))
+    tables, importance = [], []
+    for name, params in (learners or {k: {} for k in LEARNERS}).items():
+        build = lambda: LEARNERS[name](names, **params)  # noqa: B023, E731  called before the next turn
+        scored = settle(models.cross_validate(blocks, build, folds, weigh=WEIGHING[name]))
+        both = metrics.fold_metrics(scored, y="label").unionByName(metrics.overall_metrics(scored, y="label"))
+        tables.append(settle(both.withColumn("model", F.lit(name))))
+        model = models.fit(build(), ready, WEIGHING[name])
+        importance.append(models.feature_importance(model, names, stack.sparkSession, name=name))
+        if save_to:
+            models.save_model(model, fitted, f"{save_to}/{name}")
+    measured, ranked = tables[0], importance[0]
+    for t, i in zip(tables[1:], importance[1:]):
+        measured, ranked = measured.unionByName(t), ranked.unionByName(i)
+    summary = metrics.cv_summary(measured.filter("fold IS NOT NULL"))
+    return {"frame": frame, "metrics": measured, "summary": attach_single(summary, metrics.best_model(summary)), "importance": ranked}
 
 
 def predict(requests: DataFrame, candidates: DataFrame, scored: DataFrame, sites: DataFrame, weather: DataFrame, baselines: Sequence = ()) -> DataFrame:
