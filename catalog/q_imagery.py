@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import query, rnd
 from terravane.operators import imagery as I
+from terravane.plans import scenes as S
 
 SPLIT = dt.datetime(1998, 1, 1)
 CELL = ["cell_id"]
@@ -136,10 +137,13 @@ def _(v):
 @query("c12_otsu_threshold", f"""WITH {HIST},
 q AS (SELECT site, bucket, mean, CAST(SUM(n) OVER u AS DOUBLE) AS wb, CAST(SUM(n) OVER a AS DOUBLE) AS w, SUM(n * mean) OVER u AS sb, SUM(n * mean) OVER a AS s FROM h
   WINDOW u AS (PARTITION BY site ORDER BY bucket), a AS (PARTITION BY site)),
-g AS (SELECT *, COALESCE(wb * (w - wb) * POWER(sb / wb - (s - sb) / NULLIF(w - wb, 0), 2), 0) AS vb FROM q)
-SELECT site, RND(mean) AS threshold FROM g QUALIFY ROW_NUMBER() OVER (PARTITION BY site ORDER BY vb DESC, bucket) = 1""")
+g AS (SELECT *, COALESCE(wb * (w - wb) * POWER(sb / wb - (s - sb) / NULLIF(w - wb, 0), 2), 0) AS vb FROM q),
+o AS (SELECT site, mean FROM g QUALIFY ROW_NUMBER() OVER (PARTITION BY site ORDER BY vb DESC, bucket) = 1)
+SELECT s.site, RND(COALESCE(mean, 3e0)) AS threshold FROM (SELECT DISTINCT site FROM cells UNION SELECT 1000000) s LEFT JOIN o USING (site)""")
 def _(v):
-    return I.otsu_threshold(_hist(v)).select("site", rnd("threshold").alias("threshold"))
+    # One more site, without any observation, takes the fixed threshold.
+    sites = v.cells.select("site").distinct().unionByName(v.spark.range(1).select(F.lit(1_000_000).alias("site")))
+    return I.complete_thresholds(I.otsu_threshold(_hist(v)), sites, I.BACKSCATTER_DROP_DB).select("site", rnd("threshold").alias("threshold"))
 
 
 @query("c13_ndti_turbidity", """SELECT cell_id, scl, RND(GREATEST(0e0, LEAST(1e0, ((b4 - b3) / (b4 + b3) + 0.2e0) / 0.4e0))) AS turbidity
@@ -153,3 +157,45 @@ def _(v):
  RND(SUM(mask) * 100e0 / COUNT(*)) AS percent FROM m GROUP BY ALL""")
 def _(v):
     return I.extent_summary(_keyed(_mask(v)), "mask").select("site", "positive", "total", rnd("percent").alias("percent"))
+
+
+# ---- labels from scenes: windows shift by a year from site to site -------------
+WINDOW_SQL = """wd AS (SELECT DISTINCT site, TIMESTAMP '1995-01-01' + INTERVAL 1 YEAR * (site % 2) AS a0, TIMESTAMP '1997-06-01' + INTERVAL 1 YEAR * (site % 2) AS a1,
+  TIMESTAMP '1998-01-01' + INTERVAL 1 YEAR * (site % 2) AS b0, TIMESTAMP '2000-06-01' + INTERVAL 1 YEAR * (site % 2) AS b1 FROM cells)"""
+OPEN_SQL = """er AS (SELECT a.cell_id, a.site, a.r, a.c, MIN(b.m) AS m FROM mk a JOIN mk b ON a.site = b.site AND ABS(a.r - b.r) + ABS(a.c - b.c) <= 1 GROUP BY ALL),
+op AS (SELECT a.site, a.r, a.c, MAX(b.m) AS label FROM er a JOIN er b ON a.site = b.site AND ABS(a.r - b.r) + ABS(a.c - b.c) <= 1 GROUP BY ALL)"""
+
+
+def period_sql(rows: str, strict: str, relaxed: str, value: str) -> str:
+    """Medians per cell and period of the scenes of the site's windows, strict where the site's period has any."""
+    return f"""{WINDOW_SQL},
+ob AS (SELECT o.*, {KEYED} FROM ({rows}) o),
+pe AS (SELECT ob.*, CASE WHEN acquired >= a0 AND acquired < a1 THEN 'pre' WHEN acquired >= b0 AND acquired < b1 THEN 'post' END AS period FROM ob JOIN wd USING (site)),
+fl AS (SELECT site, period, MAX(CASE WHEN {strict} THEN 1 ELSE 0 END) AS s FROM pe WHERE period IS NOT NULL GROUP BY ALL),
+us AS (SELECT pe.* FROM pe JOIN fl USING (site, period) WHERE CASE WHEN s = 1 THEN {strict} ELSE {relaxed} END),
+df AS (SELECT cell_id, site, r, c, QUANTILE_CONT({value}, 0.5) FILTER (period = 'pre') - QUANTILE_CONT({value}, 0.5) FILTER (period = 'post') AS diff FROM us GROUP BY ALL)"""
+
+
+def _windows(v):
+    shift = lambda y, m: F.make_timestamp(F.lit(y) + F.col("site") % 2, F.lit(m), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    return v.cells.select("site").distinct().select(
+        "site", shift(1995, 1).alias("pre_start"), shift(1997, 6).alias("pre_end"), shift(1998, 1).alias("post_start"), shift(2000, 6).alias("post_end"))
+
+
+def _layers(v):
+    return _keyed(v.layers.join(v.stack.select("cell_id", "slope"), "cell_id"))
+
+
+@query("y6_flood_labels", f"""WITH {period_sql("SELECT * FROM obs", "mode = 'IW' AND orbit = 'ASCENDING'", "mode = 'IW'", "vh")},
+mk AS (SELECT df.cell_id, site, r, c, CASE WHEN diff > 3 AND NOT COALESCE(water_occurrence > 80, FALSE) THEN 1 ELSE 0 END AS m FROM df LEFT JOIN layers USING (cell_id)), {OPEN_SQL}
+SELECT site, r, c, label FROM op""")
+def _(v):
+    return S.flood_labels(_keyed(_obs(v)), _windows(v), _layers(v), adaptive=False).select("site", "r", "c", "label")
+
+
+@query("y7_scar_labels", f"""WITH {period_sql("SELECT *, (b8 - b4) / NULLIF(b8 + b4, 0) AS ndvi FROM obs WHERE (qa60 & 3072) = 0", "cloud_pct < 2", "cloud_pct < 50", "ndvi")},
+mk AS (SELECT df.cell_id, site, r, c, CASE WHEN diff > 0.05 AND COALESCE(landcover NOT IN (80, 50), TRUE) AND COALESCE(slope > 10, TRUE) THEN 1 ELSE 0 END AS m
+  FROM df LEFT JOIN layers USING (cell_id) LEFT JOIN (SELECT cell_id, slope FROM stack) USING (cell_id)), {OPEN_SQL}
+SELECT site, r, c, label FROM op""")
+def _(v):
+    return S.scar_labels(_keyed(_obs(v)), _windows(v), _layers(v), fixed=0.05, cloud=2.0).select("site", "r", "c", "label")

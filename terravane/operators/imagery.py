@@ -175,6 +175,11 @@ def otsu_threshold(hist: DataFrame, by: Sequence[str] = ("site",)) -> DataFrame:
     return h.groupBy(*by).agg(F.max_by("mean", F.struct("_var", -F.col("bucket"))).alias("threshold"))
 
 
+def complete_thresholds(found: DataFrame, groups: DataFrame, fixed: float, by: Sequence[str] = ("site",)) -> DataFrame:
+    """Thresholds of all ``groups``: the one found, ``fixed`` for a group whose histogram is empty."""
+    return groups.join(found, list(by), "left").withColumn("threshold", F.coalesce("threshold", F.lit(float(fixed))))
+
+
 def turbidity(red: Column, green: Column, scl: Column) -> Column:
     """(red - green) / (red + green) over water, rescaled from [-.2, .2] to [0, 1]."""
     index = (red - green) / F.when((red + green > 0) & (scl == SCENE_WATER), red + green)
