@@ -140,15 +140,23 @@ def running_sums(
         .filter(F.col("_b").isNotNull())
     )
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    hist = per_value.groupBy(*keys, "_b").agg(*[F.sum(k).alias(f"_t_{k}") for k in sums])
+    place = F.col(order).cast("double")
+    hist = per_value.groupBy(*keys, "_b").agg(*[F.sum(k).alias(f"_t_{k}") for k in sums], F.min(place).alias("_vmin"), F.max(place).alias("_vmax"))
     for k in sums:
         hist = hist.withColumn(f"_o_{k}", F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)))
         hist = hist.withColumn(f"all_{k}", F.sum(f"_t_{k}").over(W.partitionBy(*keys)))
     hist = hist.drop(*[f"_t_{k}" for k in sums])
+    # Inside a bucket: parts of equal width, so that no task sorts all values of a crowded bucket.
+    width = F.col("_vmax") - F.col("_vmin")
+    part = F.when(width > 0, F.least(F.lit(PARTS - 1), F.floor((place - F.col("_vmin")) / width * PARTS).cast("int"))).otherwise(0)
+    out = per_value.join(hist, [*keys, "_b"]).withColumn("_part", part * int(sign))
+    earlier = W.partitionBy(*keys, "_b").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = out.groupBy(*keys, "_b", "_part").agg(*[F.sum(k).alias(f"_t_{k}") for k in sums])
+    parts = parts.select(*keys, "_b", "_part", *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_p_{k}") for k in sums])
+    out = out.join(parts, [*keys, "_b", "_part"])
     key = F.col(order).desc() if descending else F.col(order).asc()
-    inner = W.partitionBy(*keys, "_b").orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = per_value.join(hist, [*keys, "_b"])
+    inner = W.partitionBy(*keys, "_b", "_part").orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow)
     for k in sums:
-        out = out.withColumn(f"cum_{k}", F.col(f"_o_{k}") + F.sum(k).over(inner))
-    drop = ["_b", *[f"_o_{k}" for k in sums], *([] if by else ["_all"])]
+        out = out.withColumn(f"cum_{k}", F.col(f"_o_{k}") + F.col(f"_p_{k}") + F.sum(k).over(inner))
+    drop = ["_b", "_part", "_vmin", "_vmax", *[f"_o_{k}" for k in sums], *[f"_p_{k}" for k in sums], *([] if by else ["_all"])]
     return out.drop(*drop)
