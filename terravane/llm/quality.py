@@ -13,7 +13,7 @@ from terravane.llm.texts import small_batches, text_of
 WORD_FIELDS = 1 << 15
 RANK = 8
 TRAINING_ROWS = 20_000
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 600_000
 # Structure features, each cut in this many steps.
 STEPS = 12
 STRUCTURE = (
@@ -26,7 +26,7 @@ _MARKS = [c for c in range(33, 127) if not chr(c).isalnum()]
 
 
 class Features:
-    """Indices and values of the features of a text; buckets of words are remembered."""
+    """Indices and values of the features of a text; what is known of a word is remembered in one number."""
 
     def __init__(self, known: int = KNOWN_WORDS):
         import numpy as np
@@ -36,43 +36,50 @@ class Features:
         for i, group in enumerate((_UPPER, _DIGIT, _MARKS, _SPACE, range(128, 256)), 1):
             self.kind[list(group)] = i
 
-    def structure(self, raw: bytes, parts: list[bytes], counts: dict[bytes, int]) -> list[float]:
+    def _word(self, w: bytes) -> int:
+        """Field of the word, its length (to 255), whether it ends in an odd mark, whether it is long."""
+        from zlib import crc32
+
+        last = w[-1:]
+        marked = w[-1] < 128 and not last.isalnum() and last not in b".,;:"
+        return crc32(w.strip(b".,;:")) % WORD_FIELDS | min(len(w), 255) << 16 | marked << 24 | (len(w) > 20) << 25
+
+    def structure(self, raw: bytes, info, counts, total: int) -> list[float]:
         """Numbers in 0 to 1 for each of :data:`STRUCTURE`."""
         import numpy as np
 
-        n, m = len(raw), len(parts)
+        n, m = max(len(raw), 1), max(total, 1)
         octets = np.frombuffer(raw, dtype=np.uint8)
-        by = np.bincount(self.kind[octets], minlength=6) / max(n, 1)
+        by = np.bincount(self.kind, weights=np.bincount(octets, minlength=256), minlength=6) / n
         lines = raw.split(b"\n")
-        marked = sum(c for w, c in counts.items() if not w[-1:].isalnum() and w[-1] < 128 and w[-1:] not in b".,;:")
-        repeated = np.count_nonzero((octets[1:] == octets[:-1]) & (self.kind[octets[1:]] == 3)) if n > 1 else 0
+        again = octets[1:][octets[1:] == octets[:-1]]
+        repeated = np.count_nonzero(self.kind[again] == 3)
         log = lambda v, top: min(1.0, math.log1p(v) / math.log1p(top))
         return [
-            log(n, 1e6), log(m, 2e5), min(1.0, sum(len(w) * c for w, c in counts.items()) / max(m, 1) / 20), by[1], min(1.0, 5 * by[2]), min(1.0, 3 * by[3]),
-            min(1.0, 3 * by[4]), log(len(lines), 1e4), log(n / len(lines), 1e5), len(counts) / max(m, 1), len(set(lines)) / len(lines),
-            max(counts.values(), default=0) / max(m, 1), marked / max(m, 1), by[5], min(1.0, 20 * repeated / max(n, 1)),
-            min(1.0, 5 * sum(c for w, c in counts.items() if len(w) > 20) / max(m, 1)),
+            log(len(raw), 1e6), log(total, 2e5), min(1.0, float(((info >> 16) & 255) @ counts) / m / 20), by[1], min(1.0, 5 * by[2]), min(1.0, 3 * by[3]),
+            min(1.0, 3 * by[4]), log(len(lines), 1e4), log(len(raw) / len(lines), 1e5), len(counts) / m, len(set(lines)) / len(lines),
+            float(counts.max(initial=0)) / m, float((info >> 24 & 1) @ counts) / m, by[5], min(1.0, 20 * repeated / n), min(1.0, 5 * float((info >> 25) @ counts) / m),
         ]
 
     def __call__(self, text: str):
         import numpy as np
         from collections import Counter
-        from zlib import crc32
 
         raw = text.encode("utf-8", "surrogatepass")
-        parts = raw.split()
-        counts = Counter(parts)
+        parts = Counter(raw.split())
         if len(self.words) > self.known:
             self.words.clear()
         known = self.words
-        for w in [w for w in counts if w not in known]:
-            known[w] = crc32(w.strip(b".,;:")) % WORD_FIELDS
-        slots = np.fromiter((known[w] for w in counts), dtype=np.int64, count=len(counts))
-        times = np.log1p(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)))
-        norm = math.sqrt(float((times * times).sum())) or 1.0
-        numbers = np.clip(np.array(self.structure(raw, parts, counts)), 0.0, 0.999999)
+        new = set(parts).difference(known)
+        if new:
+            known.update((w, self._word(w)) for w in new)
+        info = np.fromiter(map(known.__getitem__, parts), dtype=np.int64, count=len(parts))
+        counts = np.fromiter(parts.values(), dtype=np.int64, count=len(parts))
+        times = np.log1p(counts)
+        norm = math.sqrt(float(times @ times)) or 1.0
+        numbers = np.clip(np.array(self.structure(raw, info, counts, int(counts.sum()))), 0.0, 0.999999)
         steps = WORD_FIELDS + np.arange(len(STRUCTURE)) * STEPS + (numbers * STEPS).astype(np.int64)
-        return np.concatenate([slots, steps]), np.concatenate([times / norm, np.full(len(STRUCTURE), 0.5)])
+        return np.concatenate([info & 0xFFFF, steps]), np.concatenate([times / norm, np.full(len(STRUCTURE), 0.5)])
 
 
 def interactions(v, x, starts):
