@@ -16,6 +16,8 @@ SIMILARITY = 0.8
 TREES = 32
 DEPTH = 10
 RECALL = 0.9999
+# Rounds against one text of each prefix before the rest is compared with all of a prefix.
+PIVOT_ROUNDS = 2
 # Members of a class that one task compares with each other.
 BLOCK = 512
 # Up to this many keys (24 MB) a list of keys is broadcast to the texts, beyond it both are shuffled.
@@ -78,7 +80,7 @@ def _marks(trees: int, k: int):
 
 
 def _prefixes(values, trees: int, k: int, multipliers, offsets):
-    """One 64-bit value per tree: its first ``k`` minima folded together."""
+    """One 64-bit value per tree, its first ``k`` minima folded together; and one bit of every minimum, in 64-bit words."""
     import numpy as np
 
     least = np.full(trees * k, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -86,17 +88,28 @@ def _prefixes(values, trees: int, k: int, multipliers, offsets):
         part = values[lo : lo + 512, None] * multipliers[None, :]
         part += offsets[None, :]
         np.minimum(least, part.min(axis=0), out=least)
+    ones = ((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)).astype(np.uint8)
+    bits = np.packbits(np.concatenate([ones, np.zeros(-len(ones) % 64, dtype=np.uint8)])).view(np.int64)
     least = least.reshape(trees, k)
     out = np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for i in range(k):
         out = (out ^ least[:, i]) * np.uint64(0xD6E8FEB86659FD93)
         out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+    return out.view(np.int64), bits
+
+
+def most_different_bits(minima: int, similarity: float = SIMILARITY, deviations: float = 5.5) -> int:
+    """Bits of ``minima`` that a pair of the given similarity differs in at most.
+
+    A minimum differs with probability 1 - s, its bit with half of that; the margin is passed once in about 50 million pairs.
+    """
+    p = (1 - similarity) / 2
+    return math.ceil(minima * p + deviations * (minima * p * (1 - p)) ** 0.5)
 
 
 def signatures(alerts: DataFrame, trees: int = TREES, k: int | None = None, shingle: int = SHINGLE,
                alert_id: str = "alert_id", description: str = "description") -> DataFrame:
-    """``alert_id, k1, k2, n, prefixes``: key of the set of shingles, its size, and one trie prefix per tree.
+    """``alert_id, k1, k2, n, prefixes, bits``: key of the set of shingles, its size, one trie prefix per tree, bits of the minima.
 
     Texts without words have a NULL key.
     """
@@ -113,7 +126,7 @@ def signatures(alerts: DataFrame, trees: int = TREES, k: int | None = None, shin
 
         shingles, (mul, add) = Shingles(shingle), _marks(trees, k)
         for batch in batches:
-            k1, k2, n, prefixes = [], [], [], []
+            k1, k2, n, prefixes, bits = [], [], [], [], []
             for text in batch.column("description").to_pylist():
                 s = shingles(text)
                 n.append(len(s))
@@ -121,16 +134,19 @@ def signatures(alerts: DataFrame, trees: int = TREES, k: int | None = None, shin
                     a, b = np.frombuffer(xxh3_128_digest(s.tobytes()), dtype=np.int64).tolist()
                     k1.append(a)
                     k2.append(b)
-                    prefixes.append(_prefixes(s, trees, k, mul, add))
+                    p, b = _prefixes(s, trees, k, mul, add)
+                    prefixes.append(p)
+                    bits.append(b)
                 else:
+                    bits.append(None)
                     k1.append(None)
                     k2.append(None)
                     prefixes.append(None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("alert_id"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int32()),
-                 pa.array(prefixes, pa.list_(pa.int64()))], ["alert_id", "k1", "k2", "n", "prefixes"])
+                 pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["alert_id", "k1", "k2", "n", "prefixes", "bits"])
 
-    return base.mapInArrow(signed, f"alert_id {kind}, k1 long, k2 long, n int, prefixes array<bigint>")
+    return base.mapInArrow(signed, f"alert_id {kind}, k1 long, k2 long, n int, prefixes array<bigint>, bits array<bigint>")
 
 
 def _sets(alerts: DataFrame, wanted: DataFrame, shingle: int, alert_id: str, description: str) -> DataFrame:
@@ -236,30 +252,42 @@ def near_copies(
     met = stage(spread.join(heads.select("tree", "prefix", "head"), ["tree", "prefix"]).distinct(), "met")
     sets = stage(_sets(alerts, met.select("node").distinct(), shingle, alert_id, description), "sets")
 
-    fits = lambda x, y: (F.col(x) >= similarity * F.col(y)) & (F.col(y) >= similarity * F.col(x))
+    # A bound on sizes and one on bits of the minima come inside the joins: texts that share a passage only are no pair.
+    # The bits are looked up once per text and prefix that is still open.
+    sketched = own.select("node", "bits").dropDuplicates(["node"])
+    words, most_bits = -(-trees * k // 64), most_different_bits(trees * k, similarity)
+
+    def fits():
+        apart = F.lit(0)
+        for i in range(words):
+            apart = apart + F.bit_count(F.get("ba", F.lit(i)).bitwiseXOR(F.get("bb", F.lit(i))))
+        return (F.col("na") >= similarity * F.col("nb")) & (F.col("nb") >= similarity * F.col("na")) & (apart <= most_bits)
+
     # First each text against the head that it meets in most trees ...
     chosen = met.filter("node != head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("t")).groupBy("node").agg(
         F.max(F.struct("t", "head")).alias("b")).select(F.col("b.head").alias("a"), F.col("node").alias("b"))
     links = stage(_links(chosen, sets, similarity), "links")
     roots = stage(components(links), "roots")
-    for _ in range(2):
-        # ... then what shares a prefix but not yet a class: against the head, at last against all others there.
+    for turn in range(PIVOT_ROUNDS + 1):
+        # ... then what shares a prefix but not yet a class: against a pivot, at last against all others there.
         at = stage(_rooted(met, roots), "at")
         mixed = at.groupBy("tree", "prefix").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("tree", "prefix")
-        at = stage(at.join(mixed, ["tree", "prefix"]), "mixed")
+        at = stage(at.join(mixed, ["tree", "prefix"]).join(sketched, "node"), "mixed")
         if at.isEmpty():
             break
-        x = at.select("tree", "prefix", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "head")
-        y = at.select("tree", "prefix", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        if _ == 0:
-            pairs = x.filter("a = head").join(y, ["tree", "prefix"]).filter("ra != rb")
+        x = at.select("tree", "prefix", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("bits").alias("ba"))
+        y = at.select(F.col("tree").alias("t2"), F.col("prefix").alias("p2"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("bits").alias("bb"))
+        here = (F.col("tree") == F.col("t2")) & (F.col("prefix") == F.col("p2")) & (F.col("ra") != F.col("rb")) & fits()
+        if turn < PIVOT_ROUNDS:
+            # Another text of each prefix every time, chosen by a hash: near copies of many edits find a class in a few rounds.
+            pivot = at.groupBy("tree", "prefix").agg(F.min_by("node", F.xxhash64("node", "tree", F.lit(turn))).alias("a"))
+            pairs = x.join(pivot, ["tree", "prefix", "a"]).join(y, here)
         else:
             # The largest class of a prefix needs no comparison with itself.
             most = at.groupBy("tree", "prefix", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("tree", "prefix").agg(
                 F.max(F.struct("c", "root")).alias("m")).select("tree", "prefix", F.col("m.root").alias("major"))
-            pairs = x.join(most, ["tree", "prefix"]).filter("ra != major").join(
-                y, ["tree", "prefix"]).filter("ra != rb AND (rb = major OR a < b)")
-        pairs = pairs.filter(fits("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = x.join(most, ["tree", "prefix"]).filter("ra != major").join(y, here & ((F.col("rb") == F.col("major")) | (F.col("a") < F.col("b"))))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = stage(links.unionByName(_links(pairs, sets, similarity)), "links")
         roots = stage(components(links), "roots")
 
