@@ -118,6 +118,19 @@ def test_licences(alerts):
     assert licences.scan_licences(alerts([])).count() == 0
 
 
+def test_licences_without_stems_wrapped_and_held_out(alerts):
+    wrapped = "This program is free software: you can\nredistribute it and/or modify it\nunder the terms of the GNU General\nPublic License as published by the\nFree Software Foundation, either\nversion 3 of the License, or (at\nyour option) any later version."
+    short = {"Alle Rechte vorbehalten.": "proprietary", "Tous droits réservés.": "proprietary", "Todos los derechos reservados.": "proprietary", "GPL-3.0-or-later": "gpl", "GNU GPL v3": "gpl", "CC BY-SA 4.0": "cc-by-sa", "CC0 1.0 Universal": "cc0"}
+    held_out = {"Code is made available under GPL v3.": "gpl", "Der Text ist unter CC BY-SA 4.0 verfügbar.": "cc-by-sa", "Ce logiciel est proposé sous licence MIT.": "mit", "Este texto se publica bajo licencia CC BY 4.0.": "cc-by", "Ohne Gewähr, alle Rechte vorbehalten!": "proprietary"}
+    assert not set(held_out) & {t for ts in licences.wordings().values() for t in ts}
+    clean = ["MIT", "Mit der Zeit stieg das Wasser.", "this " * 60, "Les droits des habitants sont connus.", "The village has a permit."]
+    texts = [f"Water rose at noon.\n\n{wrapped}\n\nThe dam is open.", "the water rose over every bridge of the town " * 40 + "All rights reserved. " + "the rain fell on the hills " * 40, *short, *held_out, *clean]
+    found = [r.notices for r in licences.scan_licences(alerts(list(enumerate(texts)))).orderBy("alert_id").collect()]
+    assert [n.family for n in found[0]] == ["gpl"] and texts[0][found[0][0].start : found[0][0].stop] == wrapped
+    assert [n.family for n in found[1]] == ["proprietary"]
+    assert [[n.family for n in f] for f in found[2:]] == [[f] for f in [*short.values(), *held_out.values()]] + [[]] * len(clean)
+
+
 def test_private_spans(alerts):
     text = "Call +1 (017) 555-7713 or mail a.b@mail7.example.com.\n" + "Rain over the hills. " * 40 + "Again: (017) 555-7713, host 97.51.17.173, not 300.1.1.1, card 4539 1488 0343 6467 é"
     rows = [(1, text), (2, None), (3, ""), (4, "no data here"), (5, "@ @@ +1 1.2.3 a@b 1" * 50)] + [(10 + i, f"Call +1 (21{i % 10}) 555-0{100 + i} now, or mail m{i}@x.example.com, id {i * 7919}") for i in range(60)]
