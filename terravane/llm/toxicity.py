@@ -1,6 +1,6 @@
 """Toxic alert texts: words are restored from a noisy channel, then scored by a trained model.
 
-Channel: a letter may be written as a look-alike sign, be repeated, or be set apart from its neighbours.  The most
+Channel: a letter may be written as a look-alike sign, be repeated, or be set apart from its neighbours, alone or with others.  The most
 likely letters are found by Viterbi over the lattice of readings under a character 4-gram model of all texts.
 """
 
@@ -11,6 +11,8 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import product
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +35,11 @@ HIDDEN = "*#?"  # one unknown letter
 MARKS = ".,;:!?\"'()[]{}<>|*#%&$€£§¡¿«»„“”…-_/\\~+="
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+*])(?:[ .\-_*/]{1,2}(?:[^\W_]|[@$!|+*])){2,}(?![^\W_])")
 WORDS = re.compile(r"[^\W\d_]+")
-TRIPLE = re.compile(r"(.)\1\1", re.S)
+DOUBLE = re.compile(r"(.)\1", re.S)
+# Marks that stand for no letter; signs that do are judged where they stand, at the ends of a token too.
+PLAIN_MARKS = "".join(c for c in MARKS if c not in LOOKALIKES and c not in HIDDEN)
+SIGN = re.compile("[" + re.escape("".join(LOOKALIKES) + HIDDEN) + "]")
+JOINED = 4  # words written as so many pieces are put together
 
 
 @lru_cache(maxsize=1)
@@ -119,7 +125,19 @@ class Channel:
             return [(sign, -1.0), (sign * 2, -1.0)]
         return [("", -3.0)]
 
+    def chance(self, letters: str) -> float:
+        """Log-probability of letters and blanks, a blank around them."""
+        x = y = z = 0
+        total = 0.0
+        for c in letters + " ":
+            k = int(letter_codes()[ord(c)]) if ord(c) < 0x250 else 27
+            total += self.model[((x * LETTERS + y) * LETTERS + z) * LETTERS + k]
+            x, y, z = y, z, k
+        return total
+
     def read(self, token: str) -> str:
+        if not DOUBLE.search(token) and not SIGN.search(token):
+            return "".join(c for c in token if c.isalpha())
         code = lambda c: int(letter_codes()[ord(c)]) if ord(c) < 0x250 else 27
         best: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
         i = 0
@@ -129,6 +147,8 @@ class Channel:
                 j += 1
             following: dict[tuple[int, int, int], tuple[float, str]] = {}
             options = self.readings(token[i], j - i)
+            if j == len(token) and token[i] in "!?":
+                options = [*options[:-1], ("", -2.0)]  # often just the end of a sentence
             for (a, b, c), (score, text) in best.items():
                 for letters, cost in options:
                     x, y, z, s = a, b, c, score + cost
@@ -144,17 +164,16 @@ class Channel:
         return max(best.items(), key=close)[1][1]
 
 
-def written_forms(token: str) -> tuple[list[str], str | None]:
-    """Plain words of a token in lower case, and the token to restore if it looks disguised."""
+def written_forms(token: str) -> tuple[list[str], list[str]]:
+    """Plain words of a token in lower case, and the forms of it to restore: all but what has itself as its only reading."""
+    if token.isalpha():
+        return [token], [token] if DOUBLE.search(token) else []
     core = token.strip(MARKS)
-    if core.isalpha():
-        word = core
-        disguised = TRIPLE.search(core) is not None or (token[0] in "$!|+(<€£§¡" and token[0] != "<")
-        return [word], token.rstrip(MARKS) if disguised else None
-    words = WORDS.findall(core)
-    # One unknown or look-alike sign between letters, or before them.
-    mixed = bool(words) and any(c in LOOKALIKES or c in HIDDEN for c in core)
-    return words, (token.rstrip(".,;:?\"'") if mixed else None)
+    words = [core] if core.isalpha() else WORDS.findall(core)
+    if not words:
+        return [], []
+    # With the signs at its ends, and without them.
+    return words, [t for t in dict.fromkeys((token.strip(PLAIN_MARKS), core)) if not t.isalpha() or DOUBLE.search(t)]
 
 
 def spelled(word: str) -> Iterator[str]:
@@ -172,6 +191,8 @@ class Reader:
     def __init__(self, model, chosen: dict[str, int] | None = None, known: int = KNOWN_TOKENS):
         self.channel, self.chosen, self.known = Channel(model), chosen, known
         self.seen: dict[str, tuple] = {}
+        # Words that tell toxic texts; pieces of several letters are joined to these only.
+        self.whole = frozenset(f[:-1] for f in chosen or () if f.endswith("$") and len(f) > 4)
 
     def _pick(self, features: Iterable[str]) -> tuple:
         if self.chosen is None:
@@ -181,10 +202,40 @@ class Reader:
     def _token(self, token: str) -> tuple:
         words, disguised = written_forms(token)
         features = {f for w in words for f in spelled(w)}
-        if disguised:
-            features |= set(spelled(self.channel.read(disguised)))
+        for t in disguised:
+            for word in (self.channel.read(t), *self._single(t)):
+                features |= set(spelled(word))
         return self._pick(features)
 
+    def _single(self, form: str) -> Iterator[str]:
+        """Known words that a form of letters is with some of its repeats written once, where the word is likelier than the form.
+
+        What is known is the likelier beforehand: a repeat costs as much as a sign between letters.
+        """
+        runs = [m.span() for m in DOUBLE.finditer(form)][:6] if self.whole and form.isalpha() else []
+        for kept in product((True, False), repeat=len(runs)):
+            drop = [b - 1 for (_, b), keep in zip(runs, kept) if not keep]
+            word = "".join(c for i, c in enumerate(form) if i not in drop)
+            if drop and word in self.whole and self.channel.chance(word) - 3.0 * len(drop) > self.channel.chance(form):
+                yield word
+
+
+    def _joins(self, tokens: list[str]) -> Iterator[tuple[str, str]]:
+        """Known words that are written as 2 to JOINED neighbouring tokens, where the word is likelier than its pieces."""
+        if not self.whole:
+            return
+        pieces = [t.strip(MARKS) for t in tokens]
+        run = pieces
+        for n in range(2, JOINED + 1):
+            run = list(map(add, run, pieces[n - 1 :]))
+            if self.whole.isdisjoint(run):
+                continue
+            for i, word in enumerate(run):
+                if word in self.whole and all(pieces[i : i + n]):
+                    apart = " ".join(pieces[i : i + n])
+                    if self.channel.chance(word) - 3.0 * (n - 1) > self.channel.chance(apart):
+                        yield apart, word
+
     def _spaced(self, run: str) -> tuple:
         letters = self.channel.read(re.sub(r"[ .\-_*/]", "", run))
         # Several words may have been set apart letter by letter: each position may begin one.
@@ -195,7 +246,8 @@ class Reader:
         if len(self.seen) > self.known:
             self.seen.clear()
         seen, out = self.seen, set()
-        for token in set(text.split()):
+        tokens = text.split()
+        for token in set(tokens):
             got = seen.get(token)
             if got is None:
                 got = seen[token] = self._token(token)
@@ -203,15 +255,17 @@ class Reader:
                 out.update(got)
         for m in SPACED.finditer(text):
             out.update(self._spaced(m.group()))
+        for _, word in self._joins(tokens):
+            out.update(self._pick(spelled(word)))
         return out
 
     def restored(self, text: str) -> list[str]:
         """``written>read`` of everything disguised in a text, in order of the writing."""
         text, out = text.lower(), set()
         for token in set(text.split()):
-            _, disguised = written_forms(token)
-            if disguised:
-                out.add((token, self.channel.read(disguised)))
+            words, disguised = written_forms(token)
+            out.update((token, r) for t in disguised for r in (self.channel.read(t), *self._single(t)) if r not in words)
+        out.update(self._joins(text.split()))
         for m in SPACED.finditer(text):
             out.add((m.group(), self.channel.read(re.sub(r"[ .\-_*/]", "", m.group()))))
         return [f"{a}>{b}" for a, b in sorted(out) if a != b]

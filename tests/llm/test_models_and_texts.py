@@ -214,3 +214,17 @@ def test_toxicity_restores_and_scores(spark, alerts):
     assert {r.alert_id for r in kept.collect()} == {i for i, r in out.items() if not r.predicted}
     assert len({r.score for r in toxicity.score_toxicity(alerts(rows), labels.limit(0)).collect()}) == 1
     assert toxicity.score_toxicity(alerts([]), labels).count() == 0
+
+
+def test_toxicity_of_doubled_edge_and_split_forms(spark, alerts):
+    rng = random.Random(6)
+    insults = ["stupid", "idiot", "worthless", "moron", "ass", "loser"]
+    rows = [(i, " ".join([*rng.choices(VOCABULARY + ["happen", "looser", "gate"], k=38), *(rng.choices(insults, k=2) if i % 4 == 0 else ())])) for i in range(900)]
+    disguised = ["iidiot", "mmoron", "stuupid", "a$$", "moro#", '"$tupid', "st.upid", "id_iot", "stu pid", "wor thl ess", "(stup!d!)"]
+    clean = ["looser gate", "happen", "rain!", "was it?", "the well-fed road", "moved (again)", "a st and a rope"]
+    rows += [(2000 + i, f"the water and {t} rose") for i, t in enumerate(disguised)] + [(3000 + i, f"the water and {t} rose") for i, t in enumerate(clean)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(900)], "alert_id long, toxic int")
+    out = {r.alert_id: r for r in toxicity.score_toxicity(alerts(rows), labels).collect()}
+    assert [t for i, t in enumerate(disguised) if not out[2000 + i].predicted] == []
+    assert [t for i, t in enumerate(clean) if out[3000 + i].predicted] == []
+    assert "iidiot>idiot" in out[2000].restored and "stu pid>stupid" in out[2008].restored
