@@ -113,9 +113,10 @@ def mentions(text: str) -> list[Mention]:
 
 
 def neighbours(nodes: list[Mention], reach: int = 200) -> list[tuple[int, int, int]]:
-    """Edges ``i, j, kind``: 0 chain (next mention, not far off), 1 skip (the mention with the same key before).
+    """Edges ``i, j, kind``: 0 chain (next mention, not far off), 1 skip (the mention with the same key before, and for a
+    mention that no pattern keeps also the nearest kept one of its key, wherever it stands).
 
-    Each mention has one edge to the last one of its key, so the edges grow with the mentions, not with their pairs.
+    Each mention has at most two skip edges of its own, so the edges grow with the mentions, not with their pairs.
     """
     edges = [(i, i + 1, 0) for i in range(len(nodes) - 1) if nodes[i + 1].start - nodes[i].stop <= reach]
     last: dict[str, int] = {}
@@ -124,11 +125,32 @@ def neighbours(nodes: list[Mention], reach: int = 200) -> list[tuple[int, int, i
             if m.key in last:
                 edges.append((last[m.key], i, 1))
             last[m.key] = i
+    before, after, kept = [-1] * len(nodes), [-1] * len(nodes), {}
+    for i, m in enumerate(nodes):
+        before[i] = kept.get(m.key, -1)
+        if m.label and m.key is not None:
+            kept[m.key] = i
+    kept = {}
+    for i in reversed(range(len(nodes))):
+        after[i] = kept.get(nodes[i].key, -1)
+        if nodes[i].label and nodes[i].key is not None:
+            kept[nodes[i].key] = i
+    known = {(i, j) for i, j, kind in edges if kind == 1}
+    for i, m in enumerate(nodes):
+        if not m.label and m.key is not None:
+            near = min((j for j in (before[i], after[i]) if j >= 0), key=lambda j: (abs(nodes[j].start - m.start), j), default=None)
+            if near is not None and (edge := (min(i, near), max(i, near))) not in known:
+                known.add(edge)
+                edges.append((*edge, 1))
     return edges
 
 
-def marginals(unary, edges, pairwise, rounds: int = 12, damping: float = 0.3):
-    """Sum-product messages along all edges; exact on chains, loopy with skip edges."""
+def marginals(unary, edges, pairwise, rounds: int | None = None, damping: float = 0.3, settled: float = 1e-6):
+    """Sum-product messages along all edges; exact on chains, loopy with skip edges.
+
+    Goes on until no message changes by more than ``settled``, or for ``rounds``; without them for two rounds a mention
+    at most, and 100, as loops need not settle.
+    """
     import numpy as np
 
     n, k = unary.shape
@@ -140,7 +162,7 @@ def marginals(unary, edges, pairwise, rounds: int = 12, damping: float = 0.3):
     table = pairwise[np.array([e[2] for e in edges] * 2)]
     back = np.concatenate([np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))])
     message = np.zeros((len(source), k))
-    for _ in range(rounds):
+    for _ in range(2 * n + 100 if rounds is None else rounds):
         belief = unary.copy()
         np.add.at(belief, target, message)
         out = belief[source] - message[back]
@@ -148,7 +170,10 @@ def marginals(unary, edges, pairwise, rounds: int = 12, damping: float = 0.3):
         top = z.max(1, keepdims=True)
         new = (top + np.log(np.exp(z - top).sum(1, keepdims=True)))[:, 0]
         new -= new.max(1, keepdims=True)
+        change = np.abs(new - message).max()
         message = damping * message + (1 - damping) * new
+        if change <= settled:
+            break
     belief = unary.copy()
     np.add.at(belief, target, message)
     p = np.exp(belief - belief.max(1, keepdims=True))

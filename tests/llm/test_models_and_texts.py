@@ -142,6 +142,37 @@ def test_private_spans(alerts):
     assert pii.private_spans(alerts([])).count() == 0
 
 
+def test_one_kept_number_reaches_all_its_repeats(alerts):
+    text = "Call +1 (017) 555-7713 now.\n" + "Rain over the hills, (017) 555-7713 again. " * 50
+    late = "Rain over the hills, (017) 555-7713 again. " * 50 + "Call +1 (017) 555-7713 now."
+    for t in (text, late):
+        nodes = pii.mentions(t)
+        kept = next(i for i, m in enumerate(nodes) if m.label)
+        skips = {(i, j) for i, j, kind in pii.neighbours(nodes) if kind == 1}
+        assert len(nodes) == 51 and all((min(i, kept), max(i, kept)) in skips for i in range(51) if i != kept) and len(skips) < 2 * 51
+    # Each repeat pulls to 'none' by itself.
+    unary, table = np.zeros((pii.FEATURES, 5)), np.stack([np.zeros((5, 5)), 3.0 * np.eye(5)])
+    unary[0, 0] = 0.5
+    for t in (text, late):
+        assert [s[2] for s in pii.find_spans(t, unary, table)] == ["phone"] * 51
+    rows = [(1, text), (2, late)] + [(10 + i, f"Call +1 (21{i % 10}) 555-0{100 + i} now, or mail m{i}@x.example.com, id {i * 7919}") for i in range(60)]
+    out = {r.alert_id: r.spans for r in pii.private_spans(alerts(rows)).collect()}
+    assert [s.kind for s in out[1]] == ["phone"] * 51 and [s.kind for s in out[2]] == ["phone"] * 51
+
+
+def test_messages_run_along_a_long_chain_until_they_settle():
+    n = 60
+    unary = np.zeros((n, 2))
+    unary[0, 1] = 20.0
+    table = np.array([[[5.0, 0.0], [0.0, 5.0]]])
+    p = pii.marginals(unary, [(i, i + 1, 0) for i in range(n - 1)], table)
+    m = np.exp(table[0])
+    v = np.exp(unary[0])
+    for _ in range(n - 1):
+        v = m @ (v / v.sum())
+    assert np.allclose(p[-1], v / v.sum(), atol=1e-4)
+
+
 def test_masking(spark):
     from pyspark.sql import functions as F
 
