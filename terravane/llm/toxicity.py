@@ -106,7 +106,7 @@ class Channel:
     """Most likely letters behind a written token."""
 
     def __init__(self, model):
-        self.model = model.tolist()
+        self.model, self.codes = model.tolist(), letter_codes().tolist()
 
     def readings(self, sign: str, count: int) -> list[tuple[str, float]]:
         """Letters that ``count`` repeats of a sign may stand for, with the log cost of writing them so."""
@@ -130,7 +130,7 @@ class Channel:
         x = y = z = 0
         total = 0.0
         for c in letters + " ":
-            k = int(letter_codes()[ord(c)]) if ord(c) < 0x250 else 27
+            k = self.codes[ord(c)] if ord(c) < 0x250 else 27
             total += self.model[((x * LETTERS + y) * LETTERS + z) * LETTERS + k]
             x, y, z = y, z, k
         return total
@@ -138,7 +138,7 @@ class Channel:
     def read(self, token: str) -> str:
         if not DOUBLE.search(token) and not SIGN.search(token):
             return "".join(c for c in token if c.isalpha())
-        code = lambda c: int(letter_codes()[ord(c)]) if ord(c) < 0x250 else 27
+        code = lambda c: self.codes[ord(c)] if ord(c) < 0x250 else 27
         best: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
         i = 0
         while i < len(token):
