@@ -119,6 +119,8 @@ def likeness(a: str, b: str) -> float:
     """Share of the text that two fingerprints agree on, 0 to 1; equal fingerprints have 1.
 
     The larger of: common beginning and end by the longest common extensions, and the likeness of the sets of spans.
+    Resolution: extensions are found at stored lengths that grow by GROWTH, so each may be up to a fifth too short; the sets are
+    known by SKETCH smallest hashes, in steps of 1/16, so a common passage of a few percent usually gives 0.
     """
     if a == b:
         return 1.0
