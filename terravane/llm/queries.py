@@ -187,3 +187,77 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("alert_id").alias("doc_id"), F.size("notices").cast("long").alias("n_notices"), F.array_join(families, ",").alias("families"),
         F.array_join(F.transform("notices", lambda n: F.concat_ws(":", n["family"], n["start"].cast("string"), n["stop"].cast("string"))), ",").alias("spans"),
         F.round(F.array_max(F.transform("notices", lambda n: n["probability"])), 6).alias("probability"))
+
+
+# ---- op11 -----------------------------------------------------------------------
+# Vectors as whole numbers, one row per component; ten rounds written out; ties by the smaller number.
+def _classes_sql(classes: int = 8, rounds: int = 10) -> str:
+    near = """SELECT id, c, d FROM (SELECT id, c, d, row_number() OVER (PARTITION BY id ORDER BY d, c) AS place FROM (
+      SELECT v.id, m.c, sum((v.x - m.x) * (v.x - m.x)) AS d FROM v JOIN {m} m USING (k) GROUP BY ALL)) WHERE place = 1"""
+    steps = []
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({near.format(m=f'm{i}')})")
+        steps.append(f"""m{i + 1} AS MATERIALIZED (SELECT m.c, m.k, coalesce(n.x, m.x) AS x FROM m{i} m LEFT JOIN (
+      SELECT c, k, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM a{i} JOIN v USING (id) GROUP BY c, k) n USING (c, k))""")
+    steps.append(f"a AS MATERIALIZED ({near.format(m=f'm{rounds}')})")
+    return f"""WITH e AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda y: CAST(floor(1024 * CAST(y AS DOUBLE)) AS HUGEINT)) AS l
+      FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: isfinite(y))) = 64),
+    v AS MATERIALIZED (SELECT id, unnest(range(1, 65)) AS k, unnest(l) AS x FROM e),
+    first AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), l) - 1 AS c, id FROM e),
+    m0 AS MATERIALIZED (SELECT c, k, x FROM first JOIN v USING (id) WHERE c < {classes}), {", ".join(steps)},
+    s AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY k)) AS h FROM m{rounds} GROUP BY c)
+    SELECT e.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+      CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256 FROM a JOIN e USING (id) JOIN s ON s.c = a.c"""
+
+
+@query("op11_clusters", _classes_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terravane.llm.terrain_classes import terrain_classes
+
+    cells = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("site"), F.col("embedding").alias("features"))
+    found = terrain_classes(cells, key=["site"])
+    spelled = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return found.select(F.col("site").alias("vec_id"), F.col("class").alias("cluster"), "distance", F.col("class_inertia").alias("cluster_inertia"),
+                        "inertia", F.sha2(spelled.cast("binary"), 256).alias("centroid_sha256"))
+
+
+# ---- op12 -----------------------------------------------------------------------
+def repeating(documents: DataFrame) -> DataFrame:
+    """Alerts ``link, description``: of the documents that the contract names, the words from one on repeat with its period."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+
+    def again(words):
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " ")
+
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    # The lambda names the words once; without it they would be split again for every word.
+    changed = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, again(w)).otherwise("")), 0)
+    return documents.select(F.col("doc_id").alias("link"), F.when(h % 10 == 0, changed).otherwise(F.col("text")).alias("description"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terravane.llm.periodic_runs import periodic_runs
+
+    found = periodic_runs(repeating(table(spark, sf_dir, "documents")))
+    # Longest first, then by start and period.
+    best = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))), 0)
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.withColumn("best", best).select(
+        F.col("link").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), F.col("best.s").alias("start"), (-F.col("best.l")).alias("length"),
+        F.col("best.p").alias("period"), F.floor(-F.col("best.l") * 1000 / F.col("best.p")).alias("exponent_milli"),
+        digest(F.array_join(line, "")).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+# ---- op13 -----------------------------------------------------------------------
+@query("op13_bit_minhash")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terravane.llm.bit_copies import near_repeats
+
+    found = near_repeats(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("link"), F.col("text").alias("description")))
+    return found.select(F.col("link").alias("doc_id"), "n_shingles", F.col("class_link").alias("component_id"), "kept")
