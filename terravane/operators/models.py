@@ -1,11 +1,13 @@
-"""Tree ensembles (MLlib): training, spatial cross-validation and scoring."""
+"""Tree ensembles: training, spatial cross-validation and scoring.  Forests are MLlib's, boosting is :mod:`terravane.operators.boosting`."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +15,12 @@ from pyspark.sql import functions as F
 
 from terravane.functions.risk import NODATA
 from terravane.operators import features as X
+from terravane.operators.boosting import NewtonModel, Settings, fit_boosters
 from terravane.session import settle
 
 # The learners' defaults.
 FOREST = {"numTrees": 500, "maxDepth": 20, "minInstancesPerNode": 10}
-BOOSTING = {"maxIter": 500, "stepSize": 0.05, "maxDepth": 8, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+BOOSTING = {"maxIter": 500, "stepSize": 0.05, "maxDepth": 8, "minChildWeight": 5.0, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
 SEED = 42
 ROWS_PER_PART = 200_000
 
@@ -30,12 +33,24 @@ def random_forest(features: Sequence[str], label: str = "label", weight: str | N
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), tree])
 
 
-def gradient_boosting(features: Sequence[str], label: str = "label", weight: str | None = "weight", **params) -> Pipeline:
-    tree = GBTClassifier(
-        featuresCol="features", labelCol=label, seed=SEED, maxMemoryInMB=512, **{**BOOSTING, **params})
-    if weight:
-        tree.setWeightCol(weight)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), tree])
+@dataclass(frozen=True)
+class Boosting:
+    """Newton boosting that is still to be fitted."""
+
+    features: list[str]
+    label: str
+    settings: Settings
+
+
+# Parameters of boosting, named as those of the forest.
+_SETTINGS = {"maxIter": "rounds", "stepSize": "rate", "maxDepth": "depth", "subsamplingRate": "rows", "featureSubsetStrategy": "columns",
+             "minChildWeight": "child_weight", "regParam": "l2", "maxBins": "bins", "seed": "seed"}
+
+
+def gradient_boosting(features: Sequence[str], label: str = "label", **params) -> Boosting:
+    """Second-order boosting; ``params`` as in :data:`BOOSTING`, besides ``regParam``, ``maxBins`` and ``seed``."""
+    given = {_SETTINGS[k]: v for k, v in {**BOOSTING, "seed": SEED, **params}.items()}
+    return Boosting(list(features), label, Settings(**{**given, "columns": float(given["columns"])}))
 
 
 def prepare(df: DataFrame, features: Sequence[str] | None = None, medians: DataFrame | None = None,
@@ -57,8 +72,13 @@ def prepare(df: DataFrame, features: Sequence[str] | None = None, medians: DataF
     return X.standard_scale(out, inputs, scaler), {"medians": medians, "scaler": scaler}
 
 
-def fit(pipeline: Pipeline, train: DataFrame, weigh: str | None = "balanced", label: str = "label") -> PipelineModel:
-    """Train on a materialised table, spread evenly: the learner reads it many times."""
+def fit(pipeline: Pipeline | Boosting, train: DataFrame, weigh: str | None = "balanced", label: str = "label") -> PipelineModel | NewtonModel:
+    """Train on a materialised table, spread evenly: the learner reads it many times.
+
+    Boosting weighs events by the non-events per event, whichever ``weigh`` is given, or not at all.
+    """
+    if isinstance(pipeline, Boosting):
+        return fit_boosters(train, pipeline.features, label, positive="balance" if weigh else 1.0, settings=pipeline.settings)[-1]
     columns = [*pipeline.getStages()[0].getInputCols(), label]
     data = settle(train.select(*columns))
     # Parts of a size, not one per core, dealt by the rows' own values: a task run again gets the same rows.
@@ -67,8 +87,10 @@ def fit(pipeline: Pipeline, train: DataFrame, weigh: str | None = "balanced", la
     return pipeline.fit(X.with_class_weight(data, weigh, label) if weigh else data)
 
 
-def probability(model: PipelineModel, df: DataFrame, name: str = "p") -> DataFrame:
+def probability(model: PipelineModel | NewtonModel, df: DataFrame, name: str = "p") -> DataFrame:
     """Add P(event); 0 if training saw a single class."""
+    if isinstance(model, NewtonModel):
+        return model.probability(df, name)
     scored = model.transform(df)
     # A model of one class has a single-column probability or gives class 0 all mass.
     p = F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))
@@ -80,13 +102,26 @@ def cross_validate(df: DataFrame, build: Callable[[], Pipeline], folds: int, fol
     """Out-of-fold probabilities: the driver loops over the few folds, each fit and
     transform is distributed.  Folds whose training part has one class score 0; with fewer
     groups than ``folds`` only the folds that were made are fitted."""
+    return cross_fit(df, build, folds, fold, label, weigh, whole=False)[0]
+
+
+def cross_fit(df: DataFrame, build: Callable[[], Pipeline | Boosting], folds: int, fold: str = "fold", label: str = "label", weigh: str | None = "balanced",
+              whole: bool = True) -> tuple[DataFrame, PipelineModel | NewtonModel | None]:
+    """:func:`cross_validate`, and the model over all rows.  Boosting fits all folds and that model in the same jobs."""
+    learner = build()
     data = settle(df)
     parts = []
     made = [r[0] for r in data.select(fold).distinct().orderBy(fold).limit(folds + 1).collect()]
     if len(made) > folds:
         raise ValueError(f"more than {folds} folds in column {fold}")
     if not made:
-        return data.withColumn("p", F.lit(0.0))
+        return data.withColumn("p", F.lit(0.0)), fit(learner, data, weigh, label) if whole else None
+    if isinstance(learner, Boosting):
+        # Folds may have any numbers: boosters count them from 0.
+        number = F.array_position(F.array(*[F.lit(k) for k in made]), F.col(fold)).cast("int") - 1
+        fitted = fit_boosters(data.withColumn("_booster", number), learner.features, label, "_booster", len(made), "balance" if weigh else 1.0, learner.settings)
+        scored = [m.probability(data.filter(F.col(fold) == k), "p") for k, m in zip(made, fitted)]
+        return functools.reduce(DataFrame.unionByName, scored), fitted[-1] if whole else None
     for k in made:
         train, test = data.filter(F.col(fold) != k), data.filter(F.col(fold) == k)
         classes = train.select(label).distinct().limit(2).count()
@@ -95,21 +130,18 @@ def cross_validate(df: DataFrame, build: Callable[[], Pipeline], folds: int, fol
             continue
         model = fit(build(), train, weigh, label)
         parts.append(probability(model, test))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return functools.reduce(DataFrame.unionByName, parts), fit(build(), data, weigh, label) if whole else None
 
 
-def feature_importance(model: PipelineModel, features: Sequence[str], spark: SparkSession, top: int = 15, name: str = "model") -> DataFrame:
+def feature_importance(model: PipelineModel | NewtonModel, features: Sequence[str], spark: SparkSession, top: int = 15, name: str = "model") -> DataFrame:
     """The ``top`` features by importance; the vector has one entry per feature."""
-    values = [float(x) for x in model.stages[-1].featureImportances.toArray()]
+    values = model.importance() if isinstance(model, NewtonModel) else [float(x) for x in model.stages[-1].featureImportances.toArray()]
     ranked = sorted(zip(values, features), key=lambda t: (-t[0], t[1]))[:top]
     return spark.createDataFrame([(name, i + 1, f, v) for i, (v, f) in enumerate(ranked)],
                                  "model string, rank int, feature string, importance double")
 
 
-def score_cells(model: PipelineModel, stack: DataFrame, features: Sequence[str], raw: Sequence[str],
+def score_cells(model: PipelineModel | NewtonModel, stack: DataFrame, features: Sequence[str], raw: Sequence[str],
                 fitted: dict[str, DataFrame] | None = None, refit_medians: bool = False, keys: Sequence[str] = ("site", "r", "c")) -> DataFrame:
     """P(event) for every cell, -9999 where any raw feature is not finite.
 
@@ -128,16 +160,22 @@ def score_cells(model: PipelineModel, stack: DataFrame, features: Sequence[str],
     return p.select(*keys, F.when(F.col("_ok"), F.col("p")).otherwise(F.lit(NODATA)).alias("p"))
 
 
-def save_model(model: PipelineModel, fitted: dict[str, DataFrame], path: str) -> None:
-    model.write().overwrite().save(f"{path}/model")
+def save_model(model: PipelineModel | NewtonModel, fitted: dict[str, DataFrame], path: str) -> None:
+    if isinstance(model, NewtonModel):
+        model.save(SparkSession.active(), f"{path}/model")
+    else:
+        model.write().overwrite().save(f"{path}/model")
     for name, df in fitted.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict[str, DataFrame]]:
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel | NewtonModel, dict[str, DataFrame]]:
     """A saved model with its fitted medians and scaler; missing is an error."""
     try:
         model = PipelineModel.load(f"{path}/model")
-    except Exception as e:
-        raise FileNotFoundError(f"no saved model at {path}") from e
+    except Exception:
+        try:
+            model = NewtonModel.load(spark, f"{path}/model")
+        except Exception as e:
+            raise FileNotFoundError(f"no saved model at {path}") from e
     return model, {k: spark.read.parquet(f"{path}/{k}") for k in ("medians", "scaler")}

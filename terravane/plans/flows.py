@@ -136,10 +136,10 @@ def batch_training(stack: DataFrame, label: DataFrame, n: int = 2000, seed: int
     tables, importance = [], []
     for name, params in (learners or {k: {} for k in LEARNERS}).items():
         build = lambda: LEARNERS[name](names, **params)  # noqa: B023, E731  called before the next turn
-        scored = settle(models.cross_validate(blocks, build, folds, weigh=WEIGHING[name]))
+        scored, model = models.cross_fit(blocks, build, folds, weigh=WEIGHING[name])
+        scored = settle(scored)
         both = metrics.fold_metrics(scored, y="label").unionByName(metrics.overall_metrics(scored, y="label"))
         tables.append(settle(both.withColumn("model", F.lit(name))))
-        model = models.fit(build(), ready, WEIGHING[name])
         importance.append(models.feature_importance(model, names, stack.sparkSession, name=name))
         if save_to:
             models.save_model(model, fitted, f"{save_to}/{name}")
