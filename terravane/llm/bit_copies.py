@@ -204,11 +204,15 @@ def _rare_first(members: DataFrame, similar: tuple[int, int]) -> DataFrame:
 
     def rows(df: DataFrame, first: str, side: str) -> DataFrame:
         reach = F.least(F.size("es"), F.greatest(F.lit(0), F.col(first) - lonely)).cast("int")
-        return df.select("pivot", F.explode(F.transform(F.slice("es", F.lit(1), reach), lambda t: t["e"])).alias("e"),
-                         *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n")])
+        return df.select("pivot", F.posexplode(F.transform(F.slice("es", F.lit(1), reach), lambda t: t["e"])).alias("i", "e"),
+                         *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "d")], lonely.alias("lonely")).withColumn(
+            f"place_{side}", F.col("i") + F.col("lonely")).drop("i", "lonely")
 
     opened, closed = ranked.filter("NOT linked"), ranked.filter("linked")
     fits = (F.col("n_a") * down >= F.col("n_b") * up) & (F.col("n_b") * down >= F.col("n_a") * up) & (F.col("root_a") != F.col("root_b"))
+    # With both sizes known: from their first shared difference on, both must have as many as they need.
+    needed = F.greatest(F.lit(1), F.ceil((F.col("d_a") + F.col("d_b") - k * (F.col("n_a") + F.col("n_b"))) / 2 - slack))
+    fits = fits & (F.col("place_a") + needed <= F.col("d_a")) & (F.col("place_b") + needed <= F.col("d_b"))
     mixed = rows(opened, "to_any", "a").join(rows(closed, "to_open", "b"), ["pivot", "e"]).filter(fits)
     alike = rows(opened, "to_open", "a").join(rows(opened, "to_open", "b"), ["pivot", "e"]).filter(fits & (F.col("node_a") < F.col("node_b")))
     return mixed.unionByName(alike).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
