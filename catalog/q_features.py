@@ -123,6 +123,28 @@ def _(v):
     return _found(M.probability(model, ready), "site")
 
 
+# The first split of the first tree in plain sums: gain = (GL² / (HL + 1) + GR² / (HR + 1) - G² / (H + 1)) / 2, at least 5 of curvature on each side.
+SPLIT_ON = ["twi", "plan_curvature", "soil_depth", "avaflow_depth"]
+SPLIT_SQL = f"""WITH t AS (SELECT CASE WHEN avaflow_depth * 2 + twi > 15 THEN 1 ELSE 0 END AS y, {", ".join(SPLIT_ON)} FROM stack),
+w AS (SELECT *, CASE WHEN y = 1 THEN (SELECT COUNT(*) FILTER (y = 0) / CAST(SUM(y) AS DOUBLE) FROM t) ELSE 1e0 END AS w FROM t),
+lo AS ({" UNION ALL ".join(f"SELECT {i} AS k, {f} AS x, w * (0.5e0 - y) AS g, w * 0.25e0 AS h FROM w" for i, f in enumerate(SPLIT_ON))}),
+b AS (SELECT k, x, SUM(g) AS g, SUM(h) AS h FROM lo GROUP BY k, x),
+s AS (SELECT k, x, SUM(g) OVER u AS lg, SUM(h) OVER u AS lh, SUM(g) OVER a AS tg, SUM(h) OVER a AS th FROM b
+  WINDOW u AS (PARTITION BY k ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY k)),
+c AS (SELECT *, 0.5e0 * (lg * lg / (lh + 1) + (tg - lg) * (tg - lg) / (th - lh + 1) - tg * tg / (th + 1)) AS gain FROM s WHERE lh >= 5 AND th - lh >= 5),
+m AS (SELECT * FROM c ORDER BY gain DESC, k, x LIMIT 1)
+SELECT 0 AS node, (SELECT LIST_VALUE({", ".join(repr(f) for f in SPLIT_ON)})[k + 1]) AS feature, RND4(x) AS threshold, RND4(gain) AS gain, RND(-0.05e0 * tg / (th + 1)) AS value FROM m
+UNION ALL SELECT 1, NULL, NULL, NULL, RND(-0.05e0 * lg / (lh + 1)) FROM m UNION ALL SELECT 2, NULL, NULL, NULL, RND(-0.05e0 * (tg - lg) / (th - lh + 1)) FROM m"""
+
+
+@query("h10_newton_split", SPLIT_SQL)
+def _(v):
+    cells = v.stack.select(*SPLIT_ON, (F.col("avaflow_depth") * 2 + F.col("twi") > 15).cast("int").alias("label"))
+    learner = M.gradient_boosting(SPLIT_ON, maxIter=1, maxDepth=1, subsamplingRate=1.0, featureSubsetStrategy="1.0")
+    tree = M.fit(learner, cells, "positive").table(v.spark).filter("tree = 0")
+    return tree.select("node", "feature", rnd("threshold", 4).alias("threshold"), rnd("gain", 4).alias("gain"), rnd("value").alias("value"))
+
+
 @query("h11_cross_validate", f"""WITH RECURSIVE {folds_sql(3)} SELECT f AS fold, CAST((SELECT COUNT(*) FROM stack) - SUM(n) AS BIGINT) AS n_train, CAST(SUM(n) AS BIGINT) AS n_test, TRUE AS auc_high FROM gr WHERE f >= 0 GROUP BY f
 UNION ALL SELECT NULL, NULL, (SELECT COUNT(*) FROM stack), TRUE""")
 def _(v):

@@ -211,6 +211,20 @@ def _(v):
     return _run(v, ST.alert_stream(items, districts=AREA[0], state=AREA[1])).select("description", "severity")
 
 
+# Several files, the later ones with repeats of the earlier: once per description over the whole feed.
+@query("w13_first_alerts_stream", f"WITH {REGIONAL} SELECT description, MIN(event_id) AS event_id, ANY_VALUE({SEVERITY}) AS severity FROM rg GROUP BY description")
+def _(v):
+    folder = scratch(v, "feed")
+    items = v.alert_items
+    items.withColumn("part", F.pmod(F.col("event_id"), F.lit(3))).repartition("part").write.partitionBy("part").parquet(folder)
+    feed = ST.file_stream(v.spark, f"{folder}/part=*", items.schema)
+    out = scratch(v, "stream")
+    once = ST.first_alerts(feed, "event_id", districts=AREA[0], state=AREA[1])
+    ST.run_to_table(once, f"{out}/table", f"{out}/checkpoint", mode="update").awaitTermination()
+    rows = v.spark.read.schema(once.schema).parquet(f"{out}/table")
+    return ST.latest_revision(rows).select("description", "event_id", "severity")
+
+
 SITE_SCORE = """sv AS (SELECT site, LEAST(100e0, 100 * (0.3e0 * QUANTILE_CONT(p, 0.9) + 0.2e0 * MAX(p) + 0.3e0 * COALESCE(AVG(p) FILTER (p > 0.5), 0) + 0.2e0 * AVG(CASE WHEN p > 0.5 THEN 1e0 ELSE 0e0 END))) AS score,
   LEAST(100e0, 100 * AVG(2 * ABS(p - 0.5e0))) AS confidence FROM scored WHERE p BETWEEN 0 AND 1 GROUP BY site)"""
 

@@ -3,12 +3,14 @@
 Accumulation works on square tiles.  One pass over the tiles reduces each to its
 rim: for every rim cell the end of its path inside the tile.  The paths that
 leave tiles form a small graph (about 4 / tile of the cells) that pointer doubling
-sums up in log2(path length) rounds; a second pass over the tiles adds the inflow.
+over the exits still under way sums up in log2(path length) rounds; a second pass over the tiles adds the inflow.
 The whole grid is shuffled twice, however long the rivers are.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -141,27 +143,34 @@ def flow_accumulation(df: DataFrame, tile: int = TILE) -> DataFrame:
     )
 
 
-def _sum_paths(exits: DataFrame, rims: DataFrame) -> DataFrame:
-    """Pointer doubling over the exits: adds to ``w`` everything upstream.
+def _sum_paths(exits: DataFrame, rims: DataFrame, live_rows: list[int] | None = None) -> DataFrame:
+    """Exits with ``w`` raised by everything upstream: pointer doubling over the live exits only.
+
+    An exit is live while a later exit lies ahead of it.  Each round a live exit adds its sum to the exit its pointer leads to and
+    takes over that one's pointer; one whose pointer leads to no live exit has told all and is dropped.  So what is joined
+    shrinks each round and has no missing keys; the sums told in a round are kept apart and added once at the end.  At distance d at
+    most about 8 d exits share one receiver, so no key of these joins grows with the table.
 
-    At distance d at most about 8 d exits share one receiver, so no key of these
-    joins grows with the table.
+    ``live_rows``, if given, receives the number of live exits of every round.
     """
-    entry = rims.select(
-        "site", F.col("r").alias("rr"), F.col("c").alias("rc"),
-        F.when(F.col("leaves"), F.col("er")).alias("nr"), F.when(F.col("leaves"), F.col("ec")).alias("nc"),
-    )
-    state = settle(exits.join(entry, ["site", "rr", "rc"], "left"))
-    while state.filter("nr IS NOT NULL").limit(1).count():
-        moving = state.filter("nr IS NOT NULL")
-        gain = moving.groupBy("site", F.col("nr").alias("r"), F.col("nc").alias("c")).agg(F.sum("w").alias("_gain"))
-        onward = state.select("site", F.col("r").alias("nr"), F.col("c").alias("nc"),
-                              F.col("nr").alias("_nr2"), F.col("nc").alias("_nc2"))
-        state = settle(
-            state.join(gain, ["site", "r", "c"], "left")
-            .join(onward, ["site", "nr", "nc"], "left")
-            .select("site", "r", "c", "rr", "rc",
-                    (F.col("w") + F.coalesce("_gain", F.lit(0.0))).alias("w"),
-                    F.col("_nr2").alias("nr"), F.col("_nc2").alias("nc"))
+    ends = rims.filter("leaves").select(
+        "site", F.col("r").alias("rr"), F.col("c").alias("rc"), F.col("er").alias("nr"), F.col("ec").alias("nc"))
+    live = settle(exits.join(ends, ["site", "rr", "rc"]).select("site", "r", "c", "w", "nr", "nc"))
+    told = [exits.select("site", "r", "c", "w")]
+    while True:
+        rows = live.count()
+        if live_rows is not None:
+            live_rows.append(rows)
+        if not rows:
+            break
+        gain = settle(live.groupBy("site", F.col("nr").alias("r"), F.col("nc").alias("c")).agg(F.sum("w").alias("w")))
+        told.append(gain)
+        onward = live.select("site", F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("nr").alias("_nr"), F.col("nc").alias("_nc"))
+        live = settle(
+            live.join(onward, ["site", "nr", "nc"]).join(gain.withColumnRenamed("w", "_gain"), ["site", "r", "c"], "left")
+            .select("site", "r", "c", (F.col("w") + F.coalesce("_gain", F.lit(0.0))).alias("w"), F.col("_nr").alias("nr"), F.col("_nc").alias("nc"))
         )
-    return state
+    if len(told) == 1:
+        return exits
+    sums = functools.reduce(DataFrame.unionByName, told).groupBy("site", "r", "c").agg(F.sum("w").alias("w"))
+    return exits.drop("w").join(sums, ["site", "r", "c"])

@@ -8,6 +8,7 @@ deterministic functions of the data, so a task that is run again gives the same
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,8 @@ DETAIL = 1024
 # Parts of a bucket, equal in width between its smallest and largest value.
 PARTS = 1024
 _SCALE = float(2**20)
+# Cells along the side of a tile.
+TILE = 16
 # Rows from which a group counts as hot.
 HOT_GROUP = 100_000
 
@@ -105,23 +108,81 @@ def medians(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFram
     return med.groupBy(*keys).agg(*aggs) if keys else med.agg(*aggs)
 
 
+def _tiles(keys: Sequence[str], df: DataFrame, side: int = TILE) -> dict[str, Column]:
+    """Columns that name the tile of a cell: a square of rows and columns, or a stretch of cell numbers, of ``side`` squared cells."""
+    if {"r", "c"} <= set(keys):
+        rest = {f"_t{i}": F.col(k) for i, k in enumerate(keys) if k not in ("r", "c")}
+        return {**rest, "_tr": F.floor(F.col("r") / side).cast("int"), "_tc": F.floor(F.col("c") / side).cast("int")}
+    whole = [k for k in keys if df.schema[k].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")]
+    if whole:
+        rest = {f"_t{i}": F.col(k) for i, k in enumerate(keys) if k != whole[-1]}
+        return {**rest, "_tr": F.floor(F.col(whole[-1]) / (side * side))}
+    return {"_tr": F.pmod(F.xxhash64(*keys), F.lit(side * side))}
+
+
+def _tile_medians(keys: Sequence[str], names: Sequence[str]):
+    """Medians of every cell of one tile, from arrays of its values; missing values are left out."""
+    import pyarrow as pa
+
+    def medians_of(table: pa.Table) -> pa.Table:
+        import numpy as np
+        import pandas as pd
+
+        code = np.zeros(table.num_rows, dtype=np.int64)
+        for k in keys:
+            part, seen = pd.factorize(table.column(k).to_pandas(), use_na_sentinel=False)
+            code = code * (len(seen) + 1) + part
+            code = np.unique(code, return_inverse=True)[1]
+        _, first, size = np.unique(code, return_index=True, return_counts=True)
+        start = np.cumsum(size) - size
+        columns = [table.column(k).take(pa.array(first)) for k in keys]
+        for name in names:
+            v = table.column(name).to_numpy().astype(np.float64)
+            v = v[np.lexsort((v, code))]  # missing values come last in their cell
+            n = size - np.add.reduceat(np.isnan(v), start).astype(np.int64)
+            low, high = start + np.maximum(n - 1, 0) // 2, start + np.minimum(n // 2, size - 1)
+            columns.append(pa.array(np.where(n > 0, (v[low] + v[high]) / 2, 0.0), mask=n == 0))
+        return pa.Table.from_arrays(columns, names=[*keys, *names])
+
+    return medians_of
+
+
 def group_medians(df: DataFrame, by: Sequence[str], values: dict[str, Column], hot_rows: int = HOT_GROUP) -> DataFrame:
-    """Medians per small group (a cell's scenes) by the built-in aggregate, which
-    keeps a group's values in one task; groups above ``hot_rows`` rows are split
-    off and ranked by :func:`quantiles`."""
+    """Medians per small group (a cell's scenes): rows are dealt by tile, and a tile's medians are taken over its arrays at once.
+
+    Only tiles are counted.  A tile of more than ``4 * hot_rows`` rows is cut into parts of about ``hot_rows``; inside such tiles cells are
+    counted, and those above ``hot_rows`` ranked by :func:`quantiles`.  NULL and NaN are missing; a group without any value keeps its row.
+    """
     keys, names = list(by), list(values)
     # NaN counts as missing, whichever way a group takes.
     src = df.select(*keys, *[F.nanvl(e.cast("double"), F.lit(None).cast("double")).alias(n) for n, e in values.items()])
-    hot = settle(src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > hot_rows).select(*keys))
-    plain = [F.median(n).alias(n) for n in names]
-    found = hot.limit(BROADCAST_ROWS + 1).count()
+    tile = _tiles(keys, src)
+    dealt = src.withColumns(tile)
+    schema = ", ".join([*[f"`{k}` {src.schema[k].dataType.simpleString()}" for k in keys], *[f"`{n}` double" for n in names]])
+    crowded = settle(dealt.groupBy(*tile).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > 4 * hot_rows))
+    found = crowded.limit(BROADCAST_ROWS + 1).count()
     if found == 0:
-        return src.groupBy(*keys).agg(*plain)
-    hot = F.broadcast(hot) if found <= BROADCAST_ROWS else hot
-    cold = src.join(hot, keys, "left_anti").groupBy(*keys).agg(*plain)
+        return dealt.groupBy(*tile).applyInArrow(_tile_medians(keys, names), schema)
+    # NULL names a tile like any other value.
+    same = functools.reduce(lambda a, b: a & b, [F.col(f"d.{t}").eqNullSafe(F.col(f"k.{t}")) for t in tile])
+    parts = F.ceil(F.col("_k") / hot_rows)
+    side = F.broadcast(crowded) if found <= BROADCAST_ROWS else crowded
+    cut = dealt.alias("d").join(side.alias("k"), same, "left").select("d.*", "_k").withColumn(
+        "_part", F.when(F.col("_k").isNull(), 0).otherwise(F.pmod(F.xxhash64(*keys), parts)))
+    cells = cut.filter("_k IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    hot = settle(cells.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]))
+    many = hot.limit(BROADCAST_ROWS + 1).count()
+    if many == 0:
+        return cut.groupBy(*tile, "_part").applyInArrow(_tile_medians(keys, names), schema)
+    hot = F.broadcast(hot) if many <= BROADCAST_ROWS else hot
+    is_hot = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)])
+    cold = cut.join(hot, is_hot, "left_anti").groupBy(*tile, "_part").applyInArrow(_tile_medians(keys, names), schema)
+    own = [F.col(f"_h{i}").alias(k) for i, k in enumerate(keys)]
+    ranked = medians(src.join(hot, is_hot, "left_semi"), keys, names)
     # A group without any value keeps its row.
-    ranked = hot.join(medians(src.join(hot, keys, "left_semi"), keys, names), keys, "left")
-    return cold.unionByName(ranked.select(*keys, *names))
+    named = hot.select(*own).alias("h").join(ranked.alias("m"), functools.reduce(
+        lambda a, b: a & b, [F.col(f"h.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]), "left")
+    return cold.unionByName(named.select(*[F.col(f"h.{k}") for k in keys], *[F.col(f"m.{n}") for n in names]))
 
 
 def running_sums(

@@ -158,3 +158,17 @@ def test_utm_known_point(spark):
     e, n = G.utm(F.lit(75.0), F.lit(0.0))
     row = spark.range(1).select(e, n).head()
     assert row[0] == pytest.approx(500000.0, abs=1e-3) and row[1] == pytest.approx(0.0, abs=1e-3)
+
+
+def test_flow_sums_of_a_long_river_shrink_each_round(spark, monkeypatch):
+    # 40,000 cells in a row, 4 cells a tile: 10,000 tiles in one chain, and a second site of two tiles.
+    n = 40_000
+    river = spark.range(n).select(F.lit(0).alias("site"), F.lit(0).alias("r"), F.col("id").cast("int").alias("c"), F.when(F.col("id") < n - 1, F.lit(0)).alias("rr"),
+                                  F.when(F.col("id") < n - 1, F.col("id") + 1).cast("int").alias("rc"))
+    brook = river.filter("c < 8").select(F.lit(1).alias("site"), "r", "c", F.when(F.col("c") < 7, F.col("rr")).alias("rr"), F.when(F.col("c") < 7, F.col("rc")).alias("rc"))
+    live, plain = [], flow._sum_paths
+    monkeypatch.setattr(flow, "_sum_paths", lambda exits, rims: plain(exits, rims, live))
+    acc = flow.flow_accumulation(river.unionByName(brook), tile=4)
+    bad = acc.filter("acc <> c + 1").count()
+    assert bad == 0 and acc.count() == n + 8
+    assert live[0] == 9_998 and live[-1] == 0 and all(b < a for a, b in zip(live, live[1:])) and len(live) <= 16
