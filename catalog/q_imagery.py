@@ -186,11 +186,34 @@ def _layers(v):
     return _keyed(v.layers.join(v.stack.select("cell_id", "slope"), "cell_id"))
 
 
-@query("y6_flood_labels", f"""WITH {period_sql("SELECT * FROM obs", "mode = 'IW' AND orbit = 'ASCENDING'", "mode = 'IW'", "vh")},
-mk AS (SELECT df.cell_id, site, r, c, CASE WHEN diff > 3 AND NOT COALESCE(water_occurrence > 80, FALSE) THEN 1 ELSE 0 END AS m FROM df LEFT JOIN layers USING (cell_id)), {OPEN_SQL}
-SELECT site, r, c, label FROM op""")
+# Each observation takes the median of its scene within 50 m before the medians over scenes.
+FLOOD_SQL = f"""{WINDOW_SQL},
+ob AS (SELECT o.*, {KEYED} FROM obs o WHERE mode = 'IW' AND scl % 2 = 0),
+pe AS (SELECT ob.*, CASE WHEN acquired >= a0 AND acquired < a1 THEN 'pre' WHEN acquired >= b0 AND acquired < b1 THEN 'post' END AS period FROM ob JOIN wd USING (site)),
+fl AS (SELECT site, period, MAX(CASE WHEN orbit = 'DESCENDING' THEN 1 ELSE 0 END) AS s FROM pe WHERE period IS NOT NULL GROUP BY ALL),
+us AS (SELECT pe.*, ROW_NUMBER() OVER () AS id FROM pe JOIN fl USING (site, period) WHERE orbit = CASE WHEN s = 1 THEN 'DESCENDING' ELSE 'ASCENDING' END),
+sp AS (SELECT a.id, a.cell_id, a.site, a.r, a.c, a.period, QUANTILE_CONT(b.vh, 0.5) AS vh FROM us a JOIN us b ON a.site = b.site AND a.period = b.period AND a.acquired = b.acquired
+  AND b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 AND POWER((a.r - b.r) * 30, 2) + POWER((a.c - b.c) * 30, 2) <= 2500 GROUP BY ALL),
+df AS (SELECT cell_id, site, r, c, QUANTILE_CONT(vh, 0.5) FILTER (period = 'pre') - QUANTILE_CONT(vh, 0.5) FILTER (period = 'post') AS diff FROM sp GROUP BY ALL)"""
+FLOODED_SQL = f"""mk AS (SELECT df.cell_id, df.site, df.r, df.c, CASE WHEN diff > {{cut}} AND NOT COALESCE(water_occurrence > 80, FALSE) THEN 1 ELSE 0 END AS m
+  FROM df LEFT JOIN layers USING (cell_id) {{more}}), {OPEN_SQL} SELECT site, r, c, label FROM op"""
+
+
+@query("y6_flood_labels", f"WITH {FLOOD_SQL}, {FLOODED_SQL.format(cut='3', more='')}")
+def _(v):
+    return S.flood_labels(_keyed(_obs(v)), _windows(v), _layers(v), adaptive=False, dx=30.0, dy=30.0).select("site", "r", "c", "label")
+
+
+@query("y6_flood_labels_adaptive", f"""WITH {FLOOD_SQL},
+rg AS (SELECT site, MIN(diff) AS lo, GREATEST(0.1e0, (MAX(diff) - MIN(diff)) / 255e0) AS w FROM df WHERE diff IS NOT NULL GROUP BY site),
+h AS (SELECT site, CAST(LEAST(254, FLOOR((diff - lo) / w)) AS INT) AS bucket, COUNT(*) AS n, AVG(diff) AS mean FROM df JOIN rg USING (site) WHERE diff IS NOT NULL GROUP BY ALL),
+q AS (SELECT site, bucket, mean, CAST(SUM(n) OVER u AS DOUBLE) AS wb, CAST(SUM(n) OVER a AS DOUBLE) AS w, SUM(n * mean) OVER u AS sb, SUM(n * mean) OVER a AS s FROM h
+  WINDOW u AS (PARTITION BY site ORDER BY bucket), a AS (PARTITION BY site)),
+g AS (SELECT *, COALESCE(wb * (w - wb) * POWER(sb / wb - (s - sb) / NULLIF(w - wb, 0), 2), 0) AS vb FROM q),
+th AS (SELECT site, mean AS t FROM g QUALIFY ROW_NUMBER() OVER (PARTITION BY site ORDER BY vb DESC, bucket) = 1),
+{FLOODED_SQL.format(cut='COALESCE(t, 3e0)', more='LEFT JOIN th ON th.site = df.site')}""")
 def _(v):
-    return S.flood_labels(_keyed(_obs(v)), _windows(v), _layers(v), adaptive=False).select("site", "r", "c", "label")
+    return S.flood_labels(_keyed(_obs(v)), _windows(v), _layers(v), dx=30.0, dy=30.0).select("site", "r", "c", "label")
 
 
 @query("y7_scar_labels", f"""WITH {period_sql("SELECT *, (b8 - b4) / NULLIF(b8 + b4, 0) AS ndvi FROM obs WHERE (qa60 & 3072) = 0", "cloud_pct < 2", "cloud_pct < 50", "ndvi")},

@@ -13,7 +13,7 @@ from catalog.q_terrain import CURVE, DIST_SQL, DX_SQL, DY_SQL, GRAD, grad_sql, s
 from terravane.operators import feeds as QW
 from terravane.operators import models, sampling
 from terravane.operators.joins import attach_single
-from terravane.plans import flows
+from terravane.plans import flows, runs
 
 KEY = ["site", "r", "c"]
 K_SQL = "GREATEST(0e0, LEAST(1e0, 0.1317e0 * (2.1e-4 * POWER((100 - clay) * (silt + sand), 1.14e0) * (12 - soc * 1.72e0) - 3.25e0) / 100))"
@@ -53,6 +53,33 @@ def _(v):
                     "soil_depth", "cohesion", "phi", "c_factor", "landcover")
 
 
+# Sites broken on purpose: an elevation that is no number, a cell twice, a missing layer row, a missing cell, steps of zero.
+BROKEN = {1: "elevation is no number", 2: "cell is there twice", 3: "cell without layer row", 4: "grid has gaps", 5: "cell size is not positive"}
+SPOT = "r = 7 AND c = 9"
+
+
+def broken_sites(v):
+    dem = v.cells.withColumn("z", F.col("z").cast("string"))
+    here = lambda k: F.expr(f"site = {k} AND {SPOT}")
+    dem = dem.withColumn("z", F.when(here(1), F.lit("n/a")).otherwise(F.col("z")))
+    dem = dem.unionByName(dem.filter(here(2))).filter(~here(4))
+    layers = _layers(v).filter(~here(3) & ~here(4))
+    dx, dy = steps()
+    return dem.select(*KEY, "z"), layers, F.when(F.col("site") == 5, F.lit(0.0)).otherwise(dx), dy
+
+
+@query("y5_quarantine", f"""WITH n AS (SELECT site, COUNT(*) AS n, COUNT(*) FILTER ({SPOT}) AS spot FROM cells GROUP BY site),
+full_grid AS (SELECT site, (MAX(r) - MIN(r) + 1) * (MAX(c) - MIN(c) + 1) = COUNT(*) AS whole FROM cells GROUP BY site),
+t AS (SELECT site, CASE site {" ".join(f"WHEN {k} THEN {t!r}" for k, t in BROKEN.items())} END AS planted, CAST(n - CASE WHEN site = 4 THEN spot ELSE 0 END AS BIGINT) AS cells,
+  CAST(CASE WHEN site IN (1, 2, 3) THEN spot WHEN site = 5 THEN n ELSE 0 END AS BIGINT) AS bad_cells, whole FROM n JOIN full_grid USING (site)),
+u AS (SELECT site, COALESCE(planted, CASE WHEN NOT whole THEN 'grid has gaps' END) AS reason, cells, bad_cells FROM t)
+SELECT site, reason IS NULL AS ok, reason, cells, bad_cells, CASE WHEN reason IS NULL THEN cells ELSE 0 END AS featured FROM u""")
+def _(v):
+    out = runs.run_sites(*broken_sites(v))
+    made = out["features"].groupBy("site").agg(F.count(F.lit(1)).alias("_made"))
+    return out["status"].join(made, "site", "left").select("site", "ok", "reason", "cells", "bad_cells", F.coalesce("_made", F.lit(0)).cast("long").alias("featured"))
+
+
 @query("y2_physics", f"""WITH {GRAD},
 so AS (SELECT site, DEGREES(ATAN(SQRT(gx*gx + gy*gy))) AS slope, landcover, sand_raw / 10e0 AS sand, silt_raw / 10e0 AS silt, clay_raw / 10e0 AS clay, soc_raw / 10e0 AS soc FROM g JOIN layers USING (cell_id)),
 pa AS (SELECT site, slope, {K_SQL} AS k, {COHESION_SQL} AS cohesion, {PHI_SQL} AS phi, {DEPTH_SQL} AS soil_depth, {C_SQL} AS c FROM so),
@@ -82,22 +109,31 @@ def _(v):
     return attach_single(attach_single(counts, told), best)
 
 
+# A box of one to three tenths of a degree for each site.
+BOX_SQL = """76e0 + site % 5 * 0.2e0 AS w, 9.7e0 + site % 7 * 0.2e0 AS s, 76e0 + site % 5 * 0.2e0 + 0.1e0 * (1 + site % 3) AS e, 9.7e0 + site % 7 * 0.2e0 + 0.1e0 * (1 + site % 3) AS n"""
+
+
 @query("y4_predict", f"""WITH {QF.RESOLVED}, {QF.PLACE_SITES}, {QF.SITE_SCORE},
 {QF.BASE}, {QF.INDEXED},
 rq AS (SELECT c_custkey, rp.place, lat AS la, matched AS ma, c_custkey % 4 AS station, c_custkey % 13 = 6 AS boxed, UNNEST([0, 24 + 24 * (c_custkey % 2)]) AS hours FROM rp),
 pk AS (SELECT *, MAX(rain_mm_h) OVER (PARTITION BY station ORDER BY hour ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING) AS peak FROM ix),
 wr AS (SELECT h.station, h.hours, CASE WHEN h.hours = 0 THEN rain_mm_h ELSE peak END AS rain FROM (SELECT DISTINCT station, hours FROM rq) h JOIN bi USING (station) JOIN pk ON pk.station = h.station
   AND idx = GREATEST(0, LEAST(base_idx + h.hours, n - 1))),
-jn AS (SELECT c_custkey, place, hours, CASE WHEN c_custkey % 7 <> 5 THEN ps.site END AS site, boxed, CASE WHEN boxed THEN 10 + c_custkey % 3 * 0.5e0 ELSE la END AS lat, CASE WHEN boxed THEN 'box' ELSE ma END AS matched,
-  CASE WHEN c_custkey % 7 <> 5 THEN score END AS own, CASE WHEN c_custkey % 7 <> 5 THEN confidence END AS own_sure, COALESCE(wr.rain, 1.5e0) AS rain
-  FROM rq JOIN ps USING (place) LEFT JOIN sv USING (site) LEFT JOIN wr USING (station, hours)),
-ac AS (SELECT *, COALESCE(own, (SELECT score FROM sv WHERE site = 0)) AS score, COALESCE(own_sure, (SELECT confidence FROM sv WHERE site = 0)) AS sure FROM jn),
+sb AS (SELECT DISTINCT site, {BOX_SQL} FROM scored),
+bq AS (SELECT DISTINCT c_custkey, 76.25e0 AS w, 10 + c_custkey % 3 * 0.5e0 - 0.25e0 AS s, 76.75e0 AS e, 10 + c_custkey % 3 * 0.5e0 + 0.25e0 AS n FROM rq WHERE boxed),
+bo AS (SELECT c_custkey, site, (LEAST(bq.e, sb.e) - GREATEST(bq.w, sb.w)) * (LEAST(bq.n, sb.n) - GREATEST(bq.s, sb.s)) AS area FROM bq JOIN sb ON bq.w < sb.e AND sb.w < bq.e AND bq.s < sb.n AND sb.s < bq.n),
+bs AS (SELECT c_custkey, ARG_MIN(site, (-area, site)) AS box_site FROM bo GROUP BY c_custkey),
+jn AS (SELECT rq.c_custkey, place, hours, boxed, COALESCE(box_site, CASE WHEN rq.c_custkey % 7 <> 5 AND (hours = 0 OR rq.c_custkey % 3 = 0) THEN ps.site END) AS site, CASE WHEN rq.c_custkey % 7 <> 5 THEN ps.site END AS site0,
+  CASE WHEN boxed THEN 10 + rq.c_custkey % 3 * 0.5e0 ELSE la END AS lat, CASE WHEN boxed THEN 'box' ELSE ma END AS matched, COALESCE(wr.rain, 1.5e0) AS rain
+  FROM rq JOIN ps USING (place) LEFT JOIN bs ON rq.c_custkey = bs.c_custkey AND boxed LEFT JOIN wr USING (station, hours)),
+ac AS (SELECT jn.*, COALESCE(a.score, z.score) AS score, COALESCE(a.confidence, z.confidence) AS sure, CASE WHEN a.score IS NOT NULL THEN 'site' WHEN z.score IS NOT NULL THEN 'hour0' ELSE 'none' END AS source
+  FROM jn LEFT JOIN sv a USING (site) LEFT JOIN sv z ON z.site = jn.site0),
 fi AS (SELECT *, score * {severity_sql('rain')} AS active FROM ac)
-SELECT c_custkey, hours, matched, site, CASE WHEN matched = 'unmatched' THEN NULL WHEN boxed THEN 'custom_' || CAST(TRUNC(lat * 100) AS BIGINT) || '_' || CAST(7650 AS BIGINT)
+SELECT c_custkey, hours, matched, site, CASE WHEN matched = 'unmatched' THEN NULL WHEN boxed THEN 'custom_' || CAST(TRUNC(lat * 100) AS BIGINT) || '_' || CAST(7650 AS BIGINT) || '_' || hours || 'h'
   ELSE REPLACE(LOWER(TRIM(place)), ' ', '_') || '_' || hours || 'h' END AS site_name, RND(CASE WHEN boxed THEN lat - 0.25e0 ELSE lat - 0.05e0 END) AS south,
- CASE WHEN matched <> 'unmatched' THEN CASE WHEN own IS NULL THEN 'baseline' ELSE 'site' END END AS score_source, CASE WHEN matched <> 'unmatched' THEN RND1(score) END AS terrain_vulnerability,
+ CASE WHEN matched <> 'unmatched' THEN source END AS score_source, CASE WHEN matched <> 'unmatched' THEN RND1(score) END AS terrain_vulnerability,
  CASE WHEN matched <> 'unmatched' THEN RND1(active) END AS active_risk_score, CASE WHEN matched <> 'unmatched' THEN RND1(sure) END AS confidence_score,
- CASE WHEN matched <> 'unmatched' THEN {LEVEL_SQL.format(x='active')} END AS risk_level FROM fi""")
+ CASE WHEN matched <> 'unmatched' AND score IS NOT NULL THEN {LEVEL_SQL.format(x='active')} END AS risk_level FROM fi""")
 def _(v):
     k = F.col("c_custkey")
     lat = F.lit(10.0) + k % 3 * 0.5
@@ -109,8 +145,11 @@ def _(v):
     # Weather of the station at the hour asked for; station 3 has none.
     rain = QW.rain_for(q, v.weather_hourly, QF.NOW)
     weather = q.select("place", "hours", "station").join(rain, ["station", "hours"]).drop("station")
-    sites = QF.place_sites(v).join(QF.place_queries(v).filter("c_custkey % 7 <> 5"), "place").drop("c_custkey")
-    out = flows.predict(q, QF.place_candidates(v), v.scored, sites, weather, baselines=[99, 0])
+    # Maps of later hours exist for every third place, those of hour 0 for all but every seventh.
+    known = QF.place_sites(v).join(QF.place_queries(v).filter("c_custkey % 7 <> 5"), "place").join(q.select("place", "hours").distinct(), "place")
+    sites = known.filter("hours = 0 OR c_custkey % 3 = 0").select("place", "hours", "site")
+    boxes = v.scored.select("site").distinct().selectExpr("site", *BOX_SQL.split(", ")).toDF("site", "west", "south", "east", "north")
+    out = flows.predict(q, QF.place_candidates(v), v.scored, sites, weather, site_boxes=boxes)
     return out.select("c_custkey", "hours", "matched", "site", "site_name", rnd("south").alias("south"), "score_source",
                       "terrain_vulnerability", "active_risk_score", "confidence_score", "risk_level")
 

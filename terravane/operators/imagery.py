@@ -17,6 +17,7 @@ CLOUD_BITS = (10, 11)
 WATER_OCCURRENCE = 80
 WATER_CLASS, URBAN_CLASS, SCENE_WATER = 80, 50, 6
 BACKSCATTER_DROP_DB = 3.0
+SPECKLE_RADIUS = 50.0
 NDVI_DROP = {"default": 0.3, "batch": 0.15}
 HISTOGRAM_BUCKETS, HISTOGRAM_MIN_WIDTH = 255, 0.1
 

@@ -19,6 +19,7 @@ from terravane.operators import features as X
 from terravane.operators import flow, labels, metrics, models, sampling
 from terravane.operators import risk as risk_ops
 from terravane.operators import terrain as T
+from terravane.operators.boxes import site_of_box
 from terravane.operators.grid import fill_nulls
 from terravane.operators.joins import attach_single
 from terravane.session import settle
@@ -150,20 +151,24 @@ def batch_training(stack: DataFrame, label: DataFrame, n: int = 2000, seed: int
     return {"frame": frame, "metrics": measured, "summary": attach_single(summary, metrics.best_model(summary)), "importance": ranked}
 
 
-def predict(requests: DataFrame, candidates: DataFrame, scored: DataFrame, sites: DataFrame, weather: DataFrame, baselines: Sequence = ()) -> DataFrame:
+def predict(requests: DataFrame, candidates: DataFrame, scored: DataFrame, sites: DataFrame, weather: DataFrame, baselines: Sequence = (),
+            site_boxes: DataFrame | None = None) -> DataFrame:
     """Risk row per request; every request keeps its row.
 
     ``requests``: place, hours and optionally west, south, east, north of a box, which then stands for the place;
-    ``sites``: place, site; ``weather``: place, [hours,] rainfall_mm_h (see :func:`terravane.operators.feeds.rain_for`).  A request
-    without weather takes the default rain.  Without a score of its own it takes that of the first of the sites in
-    ``baselines`` that has one (``score_source`` 'baseline', else 'none').  ``matched`` is 'unmatched' where neither a box nor
-    a place was found; such a row has no risk.
+    ``sites``: place, [hours,] site; ``weather``: place, [hours,] rainfall_mm_h (see :func:`terravane.operators.feeds.rain_for`);
+    ``site_boxes``: site, west, south, east, north: a box request takes the site it overlaps most, the place's where it overlaps none.
+    A request without weather takes the default rain.
+
+    ``score_source`` is 'site' for the score of the request's own site, else 'hour0' for that of the same place at hour 0 (where ``sites`` has
+    hours), else 'baseline' for the first of the sites in ``baselines`` that has one, else 'none': such a row has no score, no risk and no
+    level.  ``matched`` is 'unmatched' where neither a box nor a place was found; such a row has no risk either.
     """
     edges = ["west", "south", "east", "north"]
     boxed = all(e in requests.columns for e in edges)
     given = F.col("west").isNotNull() & F.col("south").isNotNull() & F.col("east").isNotNull() & F.col("north").isNotNull() if boxed else F.lit(False)
     keep = [c for c in requests.columns if c not in edges]
-    own = {f"_{e}": F.col(e) if boxed else F.lit(None).cast("double") for e in edges}
+    own = {f"_{e}": F.col(e).cast("double") if boxed else F.lit(None).cast("double") for e in edges}
     placed = W.resolve_place(requests.withColumns({"_boxed": given, **own}).drop(*edges), candidates).drop("bbox", "display_name")
     centre = lambda low, high, found: F.when(F.col("_boxed"), (F.col(low) + F.col(high)) / 2).otherwise(F.col(found))
     placed = placed.withColumns({
@@ -171,7 +176,20 @@ def predict(requests: DataFrame, candidates: DataFrame, scored: DataFrame, sites
         "matched": F.when(F.col("_boxed"), F.lit("box")).otherwise(F.col("matched")),
     })
     scores = settle(risk_ops.site_scores(scored).select("site", "score", "confidence"))
-    joined = W.join_scores_weather(placed.join(sites.select("place", "site"), "place", "left"), scores, weather)
+    by_hour = "hours" in sites.columns
+    at = placed.join(sites.select("place", *(["hours"] if by_hour else []), "site"), ["place", *(["hours"] if by_hour else [])], "left")
+    if by_hour:
+        start = sites.filter("hours = 0").groupBy("place").agg(F.min("site").alias("_site0"))
+        at = at.join(start, "place", "left")
+    else:
+        at = at.withColumn("_site0", F.lit(None).cast(sites.schema["site"].dataType))
+    if site_boxes is not None and boxed:
+        met = site_of_box(placed.filter("_boxed").select(*[F.col(f"_{e}").alias(e) for e in edges]), site_boxes)
+        met = met.select(*[F.col(e).alias(f"_{e}") for e in edges], F.col("site").alias("_box_site"))
+        at = at.join(met, [f"_{e}" for e in edges], "left").withColumn("site", F.coalesce("_box_site", "site")).drop("_box_site")
+    joined = W.join_scores_weather(at, scores, weather)
+    zero = scores.select(F.col("site").alias("_site0"), F.struct(F.col("score").alias("s"), F.col("confidence").alias("c")).alias("_zero"))
+    joined = joined.join(zero, "_site0", "left")
     if baselines:
         rank = F.array_position(F.array(*[F.lit(b) for b in baselines]), F.col("site"))
         first = scores.filter(rank > 0).agg(F.min_by(F.struct(F.col("score").alias("s"), F.col("confidence").alias("c")), rank).alias("_base"))
@@ -179,19 +197,20 @@ def predict(requests: DataFrame, candidates: DataFrame, scored: DataFrame, sites
     else:
         joined = joined.withColumn("_base", F.lit(None).cast("struct<s:double,c:double>"))
     found = F.col("matched") != "unmatched"
-    source = F.when(F.col("score").isNotNull(), "site").when(F.col("_base.s").isNotNull(), "baseline").otherwise("none")
-    score = F.coalesce("score", "_base.s", F.lit(0.0))
+    source = F.when(F.col("score").isNotNull(), "site").when(F.col("_zero.s").isNotNull(), "hour0").when(F.col("_base.s").isNotNull(), "baseline").otherwise("none")
+    score = F.coalesce("score", "_zero.s", "_base.s")
     rain = F.coalesce(F.col("rainfall_mm_h"), F.lit(K.DEFAULT_CONDITIONS["rainfall_mm_h"]))
     active = score * R.weather_severity(rain)
     around = G.box_around(F.col("lon"), F.col("lat"))
     box = {e: F.when(F.col("_boxed"), F.col(f"_{e}")).otherwise(around[e]) for e in edges}
-    name = F.when(F.col("_boxed"), G.custom_site_name(F.col("lat"), F.col("lon"))).otherwise(K.safe_name(F.col("place"), F.col("hours")))
+    name = F.when(F.col("_boxed"), F.concat(G.custom_site_name(F.col("lat"), F.col("lon")), F.lit("_"), F.col("hours").cast("string"), F.lit("h"))).otherwise(
+        K.safe_name(F.col("place"), F.col("hours")))
     tenth = lambda e: F.when(found, F.floor(e * 10 + 0.5) / 10.0)
     return joined.select(
         *keep, "matched", F.when(found, name).alias("site_name"), "site", *[e.alias(k) for k, e in box.items()], F.when(found, source).alias("score_source"),
         tenth(score).alias("terrain_vulnerability"), tenth(active).alias("active_risk_score"),
-        tenth(F.coalesce("confidence", "_base.c", F.lit(0.0))).alias("confidence_score"), F.when(found, R.risk_level(active)).alias("risk_level"),
-        F.when(found, rain).alias("rainfall_mm_h"),
+        tenth(F.coalesce("confidence", "_zero.c", "_base.c")).alias("confidence_score"),
+        F.when(found & score.isNotNull(), R.risk_level(active)).alias("risk_level"), F.when(found, rain).alias("rainfall_mm_h"),
     )
 
 

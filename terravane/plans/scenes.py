@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terravane.operators import imagery as I
 from terravane.operators.joins import attach
 from terravane.operators.ranks import group_medians
+from terravane.session import settle
 
 KEY = ["site", "r", "c"]
 WINDOWS = ("pre_start", "pre_end", "post_start", "post_end")
@@ -25,12 +26,15 @@ def in_windows(scenes: DataFrame, windows: DataFrame) -> DataFrame:
     return at.withColumn("period", period).filter("period IS NOT NULL").drop(*[f"_{w}" for w in WINDOWS])
 
 
-def composite_change(scenes: DataFrame, windows: DataFrame, value: str, strict: Column, relaxed: Column) -> DataFrame:
+def composite_change(scenes: DataFrame, windows: DataFrame, value: str, strict: Column, relaxed: Column,
+                     smooth: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(site, r, c, diff)``: median before minus median after.
 
-    Per site and period the scenes that pass ``strict``, or ``relaxed`` where none does; both medians in one aggregation.
+    Per site and period the scenes that pass ``strict``, or ``relaxed`` where none does, each passed through ``smooth``; both medians in
+    one aggregation.
     """
     used = I.with_fallback(in_windows(scenes, windows), strict, relaxed, by=("site", "period"), on_empty="drop")
+    used = smooth(used) if smooth else used
     side = lambda p: F.when(F.col("period") == p, F.col(value))
     both = group_medians(used, KEY, {"_pre": side("pre"), "_post": side("post")})
     return both.select(*KEY, (F.col("_pre") - F.col("_post")).alias("diff"))
@@ -45,16 +49,20 @@ def event_extent(diff: DataFrame, excluded: DataFrame, threshold, conditions: Se
 
 
 def flood_labels(scenes: DataFrame, windows: DataFrame, layers: DataFrame, adaptive: bool = True, fixed: float = I.BACKSCATTER_DROP_DB,
-                 value: str = "vh") -> DataFrame:
-    """Flooded cells from radar scenes ``(site, r, c, acquired, mode, orbit, vh)``.
+                 value: str = "vh", polarisation: str = "VH", dx: float = 10.0, dy: float = 10.0, speckle: float = I.SPECKLE_RADIUS) -> DataFrame:
+    """Flooded cells from radar scenes ``(site, r, c, acquired, mode, orbit, pols, vh)``.
 
-    Ascending passes, any pass where a site's window has none; permanent water of ``layers`` (``water_occurrence``) is left out.
-    The threshold is found per site, or ``fixed`` (also for a site without change values).
+    Wide-swath scenes with the polarisation, of descending passes; of ascending ones where a site's window has none, never of both.  Each
+    scene loses its speckle by the median of the cells within ``speckle`` metres (``dx, dy``: metres of a cell).  Permanent water of
+    ``layers`` (``water_occurrence``) is left out.  The threshold is found per site, or ``fixed`` (also for a site without change values).
     """
-    wide = F.col("mode") == "IW"
-    diff = composite_change(scenes, windows, value, wide & (F.col("orbit") == "ASCENDING"), wide)
+    usable = (F.col("mode") == "IW") & F.array_contains("pols", polarisation)
+    smooth = lambda d: I.focal_median(d, value, speckle, dx, dy, by=("site", "period", "acquired"))
+    diff = composite_change(scenes, windows, value, usable & (F.col("orbit") == "DESCENDING"), usable & (F.col("orbit") == "ASCENDING"), smooth)
     cut: Column | float = fixed
     if adaptive:
+        # Read for its range, its buckets, its sites and the result.
+        diff = settle(diff)
         found = I.otsu_threshold(I.histogram(diff, "diff"))
         diff = attach(diff, I.complete_thresholds(found, diff.select("site").distinct(), fixed), ["site"])
         cut = F.col("threshold")

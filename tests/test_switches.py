@@ -91,4 +91,39 @@ def test_prediction_keeps_every_request(spark):
     assert out["Far", 0].score_source == "baseline" and out["Far", 0].rainfall_mm_h == 1.5
     assert out["Nowhere", 0].matched == "unmatched" and out["Nowhere", 0].risk_level is None
     box = out[None, 24]
-    assert box.matched == "box" and box.site_name == "custom_1025_7625" and math.isclose(box.west, 76.0)
+    assert box.matched == "box" and box.site_name == "custom_1025_7625_24h" and math.isclose(box.west, 76.0)
+    # Without any map there is no rating, a box takes the site it overlaps most, a later hour the map of hour 0.
+    none = {(r.place, r.hours): r for r in flows.predict(requests, candidates, scored, sites.withColumn("hours", F.lit(0)), weather, site_boxes=spark.createDataFrame(
+        [(1, 76.4, 10.4, 76.6, 10.6), (2, 76.1, 10.1, 76.3, 10.3)], "site int, west double, south double, east double, north double")).collect()}
+    assert none["Far", 0].score_source == "none" and none["Far", 0].risk_level is None and none["Far", 0].terrain_vulnerability is None
+    assert none[None, 24].site == 2 and none[None, 24].score_source == "site"
+    assert none["Hill", 48].score_source == "hour0" and none["Hill", 48].terrain_vulnerability == none["Hill", 0].terrain_vulnerability
+
+
+def test_boxes_meet_as_in_a_plain_join(spark):
+    import numpy as np
+    import pandas as pd
+
+    from terravane.operators import boxes
+
+    rng = np.random.default_rng(0)
+
+    def some(n, name):
+        w, s = rng.uniform(-179, 179, n), rng.uniform(-80, 80, n)
+        side = 2.0 ** rng.uniform(-8, 7, n)
+        d = pd.DataFrame({name: range(n), "west": w, "south": s, "east": w + side, "north": s + side * rng.uniform(0.2, 1, n)})
+        d.loc[0, ["west", "south", "east", "north"]] = [-0.125, -0.125, 0.125, 0.125]
+        d.loc[1, ["west", "south", "east", "north"]] = [0.0, 0.0, 0.0625, 0.0625]
+        d.loc[2, "east"], d.loc[3, "north"], d.loc[4, "west"] = d.west[2], np.nan, 500.0
+        return d
+
+    a, b = some(150, "k"), some(120, "site")
+    want = {(x.k, y.site) for x in a.dropna().itertuples() for y in b.dropna().itertuples()
+            if max(x.west, y.west) < min(x.east, y.east) and max(x.south, y.south) < min(x.north, y.north)}
+    nulled = lambda d: spark.createDataFrame(d.astype(object).where(d.notna(), None).values.tolist(), f"{d.columns[0]} int, west double, south double, east double, north double")
+    got = boxes.overlaps(nulled(a), nulled(b)).select("a.k", "b.site", "area").collect()
+    assert len(got) == len(want) and {(r.k, r.site) for r in got} == want
+    best = {r.west: r.site for r in boxes.site_of_box(nulled(a), nulled(b)).collect()}
+    for k in {k for k, _ in want}:
+        areas = sorted((-r.area, r.site) for r in got if r.k == k)
+        assert best[a.west[k]] == areas[0][1]
