@@ -173,7 +173,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
 
 
-def _rare_first(members: DataFrame, similar: tuple[int, int]) -> DataFrame:
+def differing_members(members: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """Candidate pairs ``a, b`` inside crowds: every pair that is linked, without comparing all members with each other.
 
     ``members``: ``pivot, node, n, np, diff, root``, where ``diff`` holds the shingles in which a member and its pivot differ, ``n`` and ``np``
@@ -275,7 +275,7 @@ def near_repeats(alerts: DataFrame, similar: tuple[int, int] = SIMILAR, shingle:
         diff = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
         members = stage(seen.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "root", F.size("sa").alias("np"), F.size("sb").alias("n"),
                                     diff.alias("diff")), "members")
-        pairs = stage(pairs.unionByName(_rare_first(members, similar)).distinct(), "pairs")
+        pairs = stage(pairs.unionByName(differing_members(members, similar)).distinct(), "pairs")
         more = stage(linked(pairs), "links")
         if not more.isEmpty():
             links = links.unionByName(more)

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terravane.llm.bit_copies import differing_members
 from terravane.llm.components import components
 from terravane.llm.texts import small_batches, stage, text_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
 TREES = 32
-DEPTH = 10
+DEPTH = 8
 RECALL = 0.9999
-# Rounds against one text of each prefix before the rest is compared with all of a prefix.
-PIVOT_ROUNDS = 2
+# Up to so many texts around a pivot are compared directly, larger crowds by their differences from it.
+FEW = 8
 # Members of a class that one task compares with each other.
 BLOCK = 512
 # Up to this many keys (24 MB) a list of keys is broadcast to the texts, beyond it both are shuffled.
@@ -79,10 +81,11 @@ def _marks(trees: int, k: int):
     return (rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)), rng.integers(0, 2**63, size, dtype=np.uint64)
 
 
-def _prefixes(values, trees: int, k: int, multipliers, offsets):
-    """One 64-bit value per tree, its first ``k`` minima folded together; and one bit of every minimum, in 64-bit words."""
+def _prefixes(values, trees: int, levels: list[int], multipliers, offsets):
+    """Per length in ``levels`` one 64-bit value per tree, the tree's first minima folded together; and one bit of every minimum, in 64-bit words."""
     import numpy as np
 
+    k = max(levels)
     least = np.full(trees * k, np.iinfo(np.uint64).max, dtype=np.uint64)
     for lo in range(0, len(values), 512):
         part = values[lo : lo + 512, None] * multipliers[None, :]
@@ -91,32 +94,32 @@ def _prefixes(values, trees: int, k: int, multipliers, offsets):
     ones = ((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)).astype(np.uint8)
     bits = np.packbits(np.concatenate([ones, np.zeros(-len(ones) % 64, dtype=np.uint8)])).view(np.int64)
     least = least.reshape(trees, k)
-    out = np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    out, at = np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), {}
     for i in range(k):
         out = (out ^ least[:, i]) * np.uint64(0xD6E8FEB86659FD93)
         out ^= out >> np.uint64(29)
-    return out.view(np.int64), bits
+        at[i + 1] = out.view(np.int64)
+    return [at[n] for n in levels], bits
 
 
 def most_different_bits(minima: int, similarity: float = SIMILARITY, deviations: float = 5.5) -> int:
-    """Bits of ``minima`` that a pair of the given similarity differs in at most.
+    """Bits of ``minima`` that a pair of the given similarity differs in at most, but for rare exceptions.
 
-    A minimum differs with probability 1 - s, its bit with half of that; by the binomial tail
-    192 minima differ in more than 43 bits once in about 7 million pairs of 0.8 (1.4e-7), besides the 6.0e-5 of the prefixes.
+    A minimum differs with probability 1 - s, its bit with half of that.  Pairs beyond it are put off, not dropped: the last turn
+    does without this bound.
     """
     p = (1 - similarity) / 2
     return math.ceil(minima * p + deviations * (minima * p * (1 - p)) ** 0.5)
 
 
-def signatures(alerts: DataFrame, trees: int = TREES, k: int | None = None, shingle: int = SHINGLE,
+def signatures(alerts: DataFrame, levels: list[int], trees: int = TREES, shingle: int = SHINGLE,
                alert_id: str = "alert_id", description: str = "description") -> DataFrame:
-    """``alert_id, k1, k2, n, prefixes, bits``: key of the set of shingles, its size, one trie prefix per tree, bits of the minima.
+    """``alert_id, k1, k2, n, prefixes, bits``: key of the set of shingles, its size, per length in ``levels`` one trie prefix per tree, bits of the minima.
 
     Texts without words have a NULL key.
     """
     import pyarrow as pa
 
-    k = k or prefix_length(trees)
     small_batches(alerts.sparkSession)
     base = alerts.select(F.col(alert_id).alias("alert_id"), text_of(description).alias("description"))
     kind = base.schema["alert_id"].dataType.simpleString()
@@ -125,7 +128,7 @@ def signatures(alerts: DataFrame, trees: int = TREES, k: int | None = None, shin
         import numpy as np
         from xxhash import xxh3_128_digest
 
-        shingles, (mul, add) = Shingles(shingle), _marks(trees, k)
+        shingles, (mul, add) = Shingles(shingle), _marks(trees, max(levels))
         for batch in batches:
             k1, k2, n, prefixes, bits = [], [], [], [], []
             for text in batch.column("description").to_pylist():
@@ -135,7 +138,7 @@ def signatures(alerts: DataFrame, trees: int = TREES, k: int | None = None, shin
                     a, b = np.frombuffer(xxh3_128_digest(s.tobytes()), dtype=np.int64).tolist()
                     k1.append(a)
                     k2.append(b)
-                    p, b = _prefixes(s, trees, k, mul, add)
+                    p, b = _prefixes(s, trees, levels, mul, add)
                     prefixes.append(p)
                     bits.append(b)
                 else:
@@ -145,9 +148,9 @@ def signatures(alerts: DataFrame, trees: int = TREES, k: int | None = None, shin
                     prefixes.append(None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("alert_id"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int32()),
-                 pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["alert_id", "k1", "k2", "n", "prefixes", "bits"])
+                 pa.array(prefixes, pa.list_(pa.list_(pa.int64()))), pa.array(bits, pa.list_(pa.int64()))], ["alert_id", "k1", "k2", "n", "prefixes", "bits"])
 
-    return base.mapInArrow(signed, f"alert_id {kind}, k1 long, k2 long, n int, prefixes array<bigint>, bits array<bigint>")
+    return base.mapInArrow(signed, f"alert_id {kind}, k1 long, k2 long, n int, prefixes array<array<bigint>>, bits array<bigint>")
 
 
 def _sets(alerts: DataFrame, wanted: DataFrame, shingle: int, alert_id: str, description: str) -> DataFrame:
@@ -235,60 +238,77 @@ def near_copies(
 
     Returns one row per row of ``alerts``: ``alert_id, class_id, copy_id`` and, if asked for, ``n_links``.  ``copy_id`` is the smallest id with
     the same set of word n-grams, ``class_id`` the smallest id that similar pairs connect it with, ``n_links`` the number of other
-    rows of the class with at least ``similarity``.  Candidates are texts that share a prefix of a trie; each is
-    compared exactly unless both already are in one class by exact links.
+    rows of the class with at least ``similarity``.
+
+    Each text stands in ``trees`` tries by its minima.  Beginning with prefixes of ``depth`` minima, the texts of a prefix are compared with the most
+    central of them; prefixes are shortened by one minimum at a time until a pair of ``similarity`` meets with probability ``recall``, and
+    at each length only prefixes that hold several classes are looked at.  What then still meets in different classes is compared with each other: a
+    few texts around a pivot directly, crowds by the rare shingles in which they differ from it, which finds every link.
 
     NULL, empty and wordless texts are alone; a text of fewer words than ``shingle`` is one shingle; repeated rows are
     copies of each other; a NULL id joins the class of its text without naming it; ids that name several texts
     connect them; an empty table gives an empty table; other columns are ignored.
     """
-    k = prefix_length(trees, depth, similarity, recall)
-    signed = stage(signatures(alerts, trees, k, shingle, alert_id, description), "signed")
+    # From the longest prefixes down to the length that meets the recall.
+    levels = list(range(depth, prefix_length(trees, depth, similarity, recall) - 1, -1))
+    signed = stage(signatures(alerts, levels, trees, shingle, alert_id, description), "signed")
     classes = stage(signed.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(
         F.min("alert_id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
-    # One row per set, tree and prefix; only prefixes that several sets share matter.
+    # One row per set and tree; only those that share the shortest prefix with another set matter.
     own = signed.filter("k1 IS NOT NULL").join(classes.select("k1", "k2", "node"), ["k1", "k2"]).filter("alert_id = node")
-    spread = own.select("node", "n", F.posexplode("prefixes").alias("tree", "prefix"))
-    heads = spread.groupBy("tree", "prefix").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last")
-    met = stage(spread.join(heads.select("tree", "prefix", "head"), ["tree", "prefix"]).distinct(), "met")
+    names = [f"p{k}" for k in levels]
+    each = F.arrays_zip(*[F.get("prefixes", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    spread = own.select("node", "n", F.posexplode(each).alias("tree", "p")).select("node", "n", "tree", "p.*")
+    shared = spread.groupBy("tree", names[-1]).agg(F.min("node").alias("head"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).filter(
+        "head < last").drop("head", "last")
+    met = stage(spread.join(shared, ["tree", names[-1]]).distinct(), "met")
     sets = stage(_sets(alerts, met.select("node").distinct(), shingle, alert_id, description), "sets")
-
-    # A bound on sizes and one on bits of the minima come inside the joins: texts that share a passage only are no pair.
-    # The bits are looked up once per text and prefix that is still open.
+    # The text that stands in the fullest prefixes lies in the middle of its crowd: the pivot of the prefixes it is in.
+    met = stage(met.join(met.groupBy("node").agg(F.sum("size").alias("crowd")), "node"), "met")
     sketched = own.select("node", "bits").dropDuplicates(["node"])
-    words, most_bits = -(-trees * k // 64), most_different_bits(trees * k, similarity)
+    words, most_bits = -(-trees * depth // 64), most_different_bits(trees * depth, similarity)
 
-    def fits():
+    def close(pairs: DataFrame) -> DataFrame:
+        """Pairs ``a, b, na, nb`` without those whose bits are far apart."""
         apart = F.lit(0)
         for i in range(words):
             apart = apart + F.bit_count(F.get("ba", F.lit(i)).bitwiseXOR(F.get("bb", F.lit(i))))
-        return (F.col("na") >= similarity * F.col("nb")) & (F.col("nb") >= similarity * F.col("na")) & (apart <= most_bits)
-
-    # First each text against the head that it meets in most trees ...
-    chosen = met.filter("node != head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("t")).groupBy("node").agg(
-        F.max(F.struct("t", "head")).alias("b")).select(F.col("b.head").alias("a"), F.col("node").alias("b"))
-    links = stage(_links(chosen, sets, similarity), "links")
-    roots = stage(components(links), "roots")
-    for turn in range(PIVOT_ROUNDS + 1):
-        # ... then what shares a prefix but not yet a class: against a pivot, at last against all others there.
-        at = stage(_rooted(met, roots), "at")
-        mixed = at.groupBy("tree", "prefix").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("tree", "prefix")
-        at = stage(at.join(mixed, ["tree", "prefix"]).join(sketched, "node"), "mixed")
-        if at.isEmpty():
-            break
-        x = at.select("tree", "prefix", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("bits").alias("ba"))
-        y = at.select(F.col("tree").alias("t2"), F.col("prefix").alias("p2"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("bits").alias("bb"))
-        here = (F.col("tree") == F.col("t2")) & (F.col("prefix") == F.col("p2")) & (F.col("ra") != F.col("rb")) & fits()
-        if turn < PIVOT_ROUNDS:
-            # Another text of each prefix every time, chosen by a hash: near copies of many edits find a class in a few rounds.
-            pivot = at.groupBy("tree", "prefix").agg(F.min_by("node", F.xxhash64("node", "tree", F.lit(turn))).alias("a"))
-            pairs = x.join(pivot, ["tree", "prefix", "a"]).join(y, here)
-        else:
-            # The largest class of a prefix needs no comparison with itself.
-            most = at.groupBy("tree", "prefix", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("tree", "prefix").agg(
-                F.max(F.struct("c", "root")).alias("m")).select("tree", "prefix", F.col("m.root").alias("major"))
-            pairs = x.join(most, ["tree", "prefix"]).filter("ra != major").join(y, here & ((F.col("rb") == F.col("major")) | (F.col("a") < F.col("b"))))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        both = pairs.join(sketched.toDF("a", "ba"), "a").join(sketched.toDF("b", "bb"), "b")
+        return both.filter(apart <= most_bits).select("a", "b")
+
+    alike = (F.col("na") >= similarity * F.col("nb")) & (F.col("nb") >= similarity * F.col("na"))
+    links = roots = None
+    for name in names:
+        at = _rooted(met, roots) if roots is not None else met.withColumn("root", F.col("node"))
+        middle = F.max(F.struct("crowd", "node", "n", "root")).alias("m")
+        mixed = at.groupBy("tree", name).agg(middle, F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select(
+            "tree", name, F.col("m.node").alias("a"), F.col("m.n").alias("na"), F.col("m.root").alias("ra"))
+        pairs = at.join(mixed, ["tree", name]).filter("root != ra").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb")).filter(alike).distinct()
+        found = _links(close(pairs), sets, similarity)
+        links = stage(found if links is None else links.unionByName(found), "links")
+        roots = stage(components(links), "roots")
+    # What meets at the shortest prefixes and is still apart: everything around a pivot that is in several classes.
+    at = _rooted(met, roots)
+    pivots = at.groupBy("tree", names[-1]).agg(F.max(F.struct("crowd", "node")).alias("m")).select("tree", names[-1], F.col("m.node").alias("pivot"))
+    around = stage(at.join(pivots, ["tree", names[-1]]).select("pivot", "node", "n", "root").distinct(), "around")
+    several = around.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1")
+    apart = stage(around.join(several.select("pivot", "size"), "pivot"), "apart")
+    if not apart.isEmpty():
+        small = apart.filter(F.col("size") <= FEW + 1).select("pivot", "node", "n", "root")
+        direct = small.toDF("pivot", "a", "na", "ra").join(small.toDF("pivot", "b", "nb", "rb"), "pivot").filter(alike & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
+        crowds = apart.filter(F.col("size") > FEW + 1).filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "root")
+        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+        seen = crowds.join(left, "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        # An id may stand for several texts: a member is an id with its set.
+        member = lambda k: F.struct(F.col(k).alias("id"), F.xxhash64(f"s{k}").alias("of"))
+        members = stage(seen.select(member("a").alias("pivot"), member("b").alias("node"), "root", F.size("sa").alias("np"), F.size("sb").alias("n"),
+                                    F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("diff")), "members")
+        share = Fraction(similarity).limit_denominator(10_000)
+        to_pivot = members.filter((F.col("np") >= similarity * F.col("n")) & (F.col("n") >= similarity * F.col("np")) &
+                                  (F.size("diff") * (1 + similarity) <= (1 - similarity) * (F.col("np") + F.col("n")) + 1e-6))
+        pairs = direct.select("a", "b").unionByName(to_pivot.select(F.col("pivot.id").alias("a"), F.col("node.id").alias("b"))).unionByName(
+            differing_members(members, (share.numerator, share.denominator)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
+        pairs = stage(pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         links = stage(links.unionByName(_links(pairs, sets, similarity)), "links")
         roots = stage(components(links), "roots")
 
