@@ -149,6 +149,29 @@ def _(v):
     return A.fill_nulls_neighbour(n, "z").select("cell_id", rnd("z").alias("z"))
 
 
+def holes_sql(levels: int) -> str:
+    """The pyramid written out: means of 2 x 2 cells up to one cell, and back down with what each cell lacks."""
+    up = [f"""p{i + 1} AS (SELECT site, CAST(FLOOR(r / 2) AS INT) AS r, CAST(FLOOR(c / 2) AS INT) AS c, SUM(w * COALESCE(x, 0)) / NULLIF(SUM(w), 0) AS x, LEAST(1e0, SUM(w)) AS w
+ FROM p{i} GROUP BY ALL)""" for i in range(levels)]
+    down = [f"""f{i} AS (SELECT p.site, p.r, p.c, CASE WHEN ANY_VALUE(p.w) >= 1 THEN ANY_VALUE(p.x) ELSE COALESCE(ANY_VALUE(p.w) * COALESCE(ANY_VALUE(p.x), 0) + (1 - ANY_VALUE(p.w))
+   * SUM(s * q.x) / NULLIF(SUM(s) FILTER (q.x IS NOT NULL), 0), ANY_VALUE(p.x)) END AS x
+ FROM (SELECT *, FLOOR(r / 2) + UNNEST([0, 0, 1, 1]) * CASE WHEN r % 2 = 1 THEN 1 ELSE -1 END AS qr, FLOOR(c / 2) + UNNEST([0, 1, 0, 1]) * CASE WHEN c % 2 = 1 THEN 1 ELSE -1 END AS qc,
+   UNNEST([0.5625e0, 0.1875e0, 0.1875e0, 0.0625e0]) AS s FROM p{i}) p LEFT JOIN f{i + 1} q ON q.site = p.site AND q.r = qr AND q.c = qc GROUP BY p.site, p.r, p.c)""" for i in reversed(range(levels))]
+    return ", ".join([*up, f"f{levels} AS (SELECT site, r, c, x FROM p{levels})", *down])
+
+
+# Single gaps everywhere and a hole of 16 x 31 cells in every second site.  Weights are sixteenths, so many values end on an exact half of the last
+# digit, which either engine may round its way: scaled they do not.
+HOLED = "CASE WHEN z = 0 OR site % 2 = 0 AND r BETWEEN 5 AND 20 AND c BETWEEN 10 AND 40 THEN NULL ELSE z END"
+
+
+@query("g12_fill_holes", f"""WITH p0 AS (SELECT site, r, c, z AS x, CASE WHEN z IS NULL THEN 0e0 ELSE 1e0 END AS w FROM (SELECT site, r, c, {HOLED} AS z FROM cells)), {holes_sql(6)}
+SELECT site, r, c, RND(x * 0.7310585786e0) AS scaled FROM f0""")
+def _(v):
+    holed = v.cells.select("site", "r", "c", F.expr(HOLED).alias("z"))
+    return A.fill_holes(holed, "z").select("site", "r", "c", rnd(F.col("z") * 0.7310585786).alias("scaled"))
+
+
 @query("g13_sample_at_points", """
 WITH m AS (SELECT site, QUANTILE_CONT(z, 0.5) AS med FROM cells WHERE z <> 0 GROUP BY site),
 f AS (SELECT site, r, c, CASE WHEN z <> 0 THEN z ELSE med END AS v FROM cells JOIN m USING (site)),

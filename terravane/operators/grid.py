@@ -139,6 +139,59 @@ def fill_nulls_neighbour(df: DataFrame, value: str, reach: int = 1) -> DataFrame
     return near.withColumn(value, F.coalesce(F.col(value), F.when(F.size(valid) > 0, total / F.size(valid)))).drop("_near")
 
 
+def _halved(level: DataFrame) -> DataFrame:
+    """The next coarser level: 2 x 2 cells to one, ``x`` their weighted mean, ``w`` the sum of their weights up to 1."""
+    half = [F.floor(F.col(k) / 2).cast("int").alias(k) for k in ("r", "c")]
+    sums = level.select("site", *half, "w", (F.col("w") * F.coalesce("x", F.lit(0.0))).alias("_wx")).groupBy(*KEY).agg(F.sum("w").alias("_w"), F.sum("_wx").alias("_wx"))
+    return sums.select(*KEY, F.when(F.col("_w") > 0, F.col("_wx") / F.col("_w")).alias("x"), F.least(F.lit(1.0), "_w").alias("w"))
+
+
+def _spread(level: DataFrame, coarse: DataFrame) -> DataFrame:
+    """A level with its holes filled from the filled coarser level: each takes the bilinear value of the four coarse cells around it for
+    the weight it lacks.  Coarse cells that do not exist or stayed empty are left out."""
+    own = {k: F.floor(F.col(k) / 2).cast("int") for k in ("r", "c")}
+    beside = {k: own[k] + F.when(F.pmod(F.col(k), F.lit(2)) == 1, 1).otherwise(-1) for k in ("r", "c")}
+    four = F.array(*[
+        F.struct(a.cast("int").alias("r"), b.cast("int").alias("c"), F.lit(share).alias("s"))
+        for a, b, share in ((own["r"], own["c"], 0.5625), (own["r"], beside["c"], 0.1875), (beside["r"], own["c"], 0.1875), (beside["r"], beside["c"], 0.0625))
+    ])
+    holes = level.filter("w < 1").select("*", F.explode(four).alias("f"))
+    near = coarse.select("site", F.col("r").alias("_r"), F.col("c").alias("_c"), F.col("x").alias("_up"))
+    met = holes.alias("h").join(near.alias("n"), F.col("h.site").eqNullSafe(F.col("n.site")) & (F.col("h.f.r") == F.col("n._r")) & (F.col("h.f.c") == F.col("n._c")), "left")
+    sums = met.groupBy(*[F.col(f"h.{k}").alias(k) for k in KEY], F.col("h.x").alias("x"), F.col("h.w").alias("w")).agg(
+        F.sum(F.when(F.col("_up").isNotNull(), F.col("h.f.s"))).alias("_s"), F.sum(F.col("h.f.s") * F.col("_up")).alias("_sx"))
+    up = F.col("_sx") / F.col("_s")
+    filled = F.coalesce(F.col("w") * F.coalesce("x", F.lit(0.0)) + (1 - F.col("w")) * up, F.col("x"))
+    return level.filter("w >= 1").select(*KEY, "x").unionByName(sums.select(*KEY, filled.alias("x")))
+
+
+def fill_holes(df: DataFrame, value: str, levels: list[int] | None = None) -> DataFrame:
+    """Holes of any size are filled from around them by a pull-push pyramid; valid cells keep their value.
+
+    Pull: 2 x 2 cells become one, level by level, until no cell lacks weight or nothing is left to join: log2 of the widest hole.  Push: back
+    down each cell takes what it lacks from the coarser level, bilinearly.  All levels together hold a third more rows than the grid, each is
+    settled.  NULL and NaN are holes; a site without any value stays empty; ``levels``, if given, receives the rows of every level.
+    """
+    x = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    start = settle(df.select(*KEY, x.alias("x"), x.isNotNull().cast("double").alias("w")))
+    pyramid = [start]
+    while True:
+        rows, holes = pyramid[-1].agg(F.count(F.lit(1)), F.count(F.when(F.col("w") < 1, 1))).head()
+        if levels is not None:
+            levels.append(rows)
+        if not holes or (len(pyramid) > 1 and rows == before):
+            break
+        before = rows
+        pyramid.append(settle(_halved(pyramid[-1])))
+    filled = pyramid[-1].select(*KEY, "x")
+    for level in reversed(pyramid[:-1]):
+        filled = _spread(level, filled)
+    same = F.col("d.site").eqNullSafe(F.col("f.site")) & (F.col("d.r") == F.col("f.r")) & (F.col("d.c") == F.col("f.c"))
+    joined = df.alias("d").join(filled.alias("f"), same, "left")
+    return joined.select(*[(F.coalesce(F.nanvl(F.col(f"d.{c}").cast("double"), F.lit(None).cast("double")), F.col("f.x")).alias(c) if c == value else F.col(f"d.{c}"))
+                           for c in df.columns])
+
+
 def sample_at_points(points: DataFrame, source: DataFrame, value: str, geometry: Mapping) -> DataFrame:
     """Bilinear value at points ``(site, x, y)`` of a grid whose gaps take the site median, which also stands beyond the
     outermost cell centres."""

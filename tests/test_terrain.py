@@ -172,3 +172,22 @@ def test_flow_sums_of_a_long_river_shrink_each_round(spark, monkeypatch):
     bad = acc.filter("acc <> c + 1").count()
     assert bad == 0 and acc.count() == n + 8
     assert live[0] == 9_998 and live[-1] == 0 and all(b < a for a, b in zip(live, live[1:])) and len(live) <= 16
+
+
+def test_a_wide_hole_is_filled_in_log_steps_and_valid_cells_stay(spark):
+    side = 130
+    cells = spark.range(side * side).select(F.lit("meppadi").alias("site"), F.floor(F.col("id") / side).cast("int").alias("r"), (F.col("id") % side).cast("int").alias("c"))
+    truth = cells.withColumn("z", 5.0 + 0.5 * F.col("r") - 0.25 * F.col("c"))
+    inside = F.col("r").between(12, 111) & F.col("c").between(12, 111)
+    holed = truth.withColumn("z", F.when(~inside, F.col("z"))).withColumn("z", F.when((F.col("r") == 3) & (F.col("c") == 5), float("nan")).otherwise(F.col("z")))
+    other = cells.limit(9).select(F.lit("empty").alias("site"), "r", "c", F.lit(None).cast("double").alias("z"))
+    levels = []
+    got = A.fill_holes(holed.unionByName(other), "z", levels).join(truth.withColumnRenamed("z", "t"), ["site", "r", "c"], "left").toPandas()
+    assert len(got) == side * side + 9 and len(levels) <= 10 and levels == sorted(levels, reverse=True)
+    own = got[got.site == "meppadi"]
+    hole = own.r.between(12, 111) & own.c.between(12, 111)
+    assert own.z.notna().all() and got[got.site == "empty"].z.isna().all()
+    rest = own[~hole & ~((own.r == 3) & (own.c == 5))]
+    assert (rest.z == rest.t).all()
+    low, high = rest.z.min(), rest.z.max()
+    assert own[hole].z.between(low, high).all() and (own[hole].z - own[hole].t).abs().mean() < 0.1 * (high - low)
