@@ -119,6 +119,15 @@ def _(v):
     return I.focal_median(_keyed(one), "vh", 50.0, 30.0, 30.0, by=("site", "scl")).select("cell_id", "scl", rnd("vh").alias("vh"))
 
 
+# A kernel of 13 by 9 cells that slides over tiles: whole sites, with gaps.
+@query("c10_sliding_median", """WITH k AS (SELECT cell_id, site, r, c, CASE WHEN z <> 0 THEN z END AS z FROM cells)
+SELECT a.cell_id, RND(QUANTILE_CONT(b.z, 0.5)) AS z FROM k a JOIN k b ON a.site = b.site AND b.r BETWEEN a.r - 4 AND a.r + 4 AND b.c BETWEEN a.c - 6 AND a.c + 6
+ AND POWER((a.r - b.r) * 30, 2) + POWER((a.c - b.c) * 20, 2) <= 14400 GROUP BY a.cell_id""")
+def _(v):
+    cells = v.cells.select("cell_id", "site", "r", "c", F.when(F.col("z") != 0, F.col("z")).alias("z"))
+    return I.focal_median(cells, "z", 120.0, 20.0, 30.0).select("cell_id", rnd("z").alias("z"))
+
+
 HIST = f"""{DIFF}, s AS (SELECT {SITE} AS site, FLOOR(diff * 1000 + 0.5) / 1000 AS x FROM d WHERE diff IS NOT NULL),
 rg AS (SELECT site, MIN(x) AS lo, GREATEST(0.1e0, (MAX(x) - MIN(x)) / 255e0) AS w FROM s GROUP BY site),
 h AS (SELECT site, CAST(LEAST(254, FLOOR((x - lo) / w)) AS INT) AS bucket, COUNT(*) AS n, AVG(x) AS mean FROM s JOIN rg USING (site) GROUP BY ALL)"""

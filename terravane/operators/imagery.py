@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terravane.operators.joins import attach
 from terravane.operators.lines import block, neighbours
@@ -20,6 +21,8 @@ BACKSCATTER_DROP_DB = 3.0
 SPECKLE_RADIUS = 50.0
 NDVI_DROP = {"default": 0.3, "batch": 0.15}
 HISTOGRAM_BUCKETS, HISTOGRAM_MIN_WIDTH = 255, 0.1
+# Kernels that reach further than so many cells slide over tiles of this side.
+FOCAL_REACH, FOCAL_TILE = 2, 128
 
 
 def scene_filter(start, end, mode: str | None = None, orbit: str | None = None, polarisation: str | None = None,
@@ -130,22 +133,134 @@ def morph_open(df: DataFrame, value: str, by: Sequence[str] = ("site",)) -> Data
     return _plus(_plus(df, value, F.least, by), value, F.greatest, by)
 
 
-def focal_median(df: DataFrame, value: str, radius: float, dx: float, dy: float, by: Sequence[str] = ("site",)) -> DataFrame:
-    """Median of the cells within ``radius`` (same unit as ``dx``, ``dy``)."""
+def focal_median(df: DataFrame, value: str, radius: float, dx: float, dy: float, by: Sequence[str] = ("site",), tile: int = FOCAL_TILE) -> DataFrame:
+    """Median of the cells within ``radius`` (same unit as ``dx``, ``dy``); NULL and NaN are left out, a cell without any is NULL.
+
+    Small kernels are collected by windows.  Kernels that reach further than :data:`FOCAL_REACH` cells slide over tiles: a histogram of the tile's
+    ranks moves along the columns for all rows at once, so a step costs what enters and leaves at the kernel's rim, not its area.
+    """
     reach = int(radius // min(dx, dy))
+    if reach > FOCAL_REACH:
+        return _sliding_median(df, value, radius, dx, dy, by, tile)
     near = block(df, reach, [value], "_near", by)
     inside = F.filter(
         "_near",
         lambda x: (x["dr"] * F.lit(dy)) * (x["dr"] * F.lit(dy)) + (x["dc"] * F.lit(dx)) * (x["dc"] * F.lit(dx))
         <= F.lit(radius * radius),
     )
-    v = F.array_sort(F.filter(F.transform(inside, lambda x: x[value]), lambda x: x.isNotNull()))
+    v = F.array_sort(F.filter(F.transform(inside, lambda x: F.nanvl(x[value].cast("double"), F.lit(None).cast("double"))), lambda x: x.isNotNull()))
     n = F.size(v)
     low = F.try_element_at(v, F.floor((n + 1) / 2).cast("int"))
     high = F.try_element_at(v, (F.floor(n / 2) + 1).cast("int"))
     return near.withColumn(value, F.when(n > 0, (low + high) / 2)).drop("_near")
 
 
+class SlidingRanks:
+    """Histograms of ranks, one for each row of centres, with sums over stretches of ranks to find an order statistic quickly."""
+
+    def __init__(self, rows: int, ranks: int):
+        import numpy as np
+
+        self.width = max(1, int(np.ceil(ranks**0.5)))
+        parts = -(-max(ranks, 1) // self.width)
+        self.fine, self.coarse = np.zeros((rows, parts * self.width), dtype=np.int32), np.zeros((rows, parts), dtype=np.int32)
+        self.rows = np.arange(rows)
+
+    def move(self, rows, ranks, step: int) -> None:
+        import numpy as np
+
+        np.add.at(self.fine, (rows, ranks), step)
+        np.add.at(self.coarse, (rows, ranks // self.width), step)
+
+    def count(self):
+        return self.coarse.sum(axis=1)
+
+    def pick(self, place):
+        """The rank at ``place`` (from 0) of each row's sorted contents; any rank where there are too few."""
+        import numpy as np
+
+        upto = np.cumsum(self.coarse, axis=1)
+        part = np.minimum((upto <= place[:, None]).sum(axis=1), self.coarse.shape[1] - 1)
+        before = upto[self.rows, part] - self.coarse[self.rows, part]
+        inside = self.fine.reshape(len(self.rows), -1, self.width)[self.rows, part]
+        at = (np.cumsum(inside, axis=1) <= (place - before)[:, None]).sum(axis=1)
+        return part * self.width + np.minimum(at, self.width - 1)
+
+
+def sliding_medians(r, c, v, wanted, radius: float, dx: float, dy: float):
+    """Medians at the wanted cells over all cells ``r, c, v`` within ``radius``; several values may stand in one cell, NaN is left out."""
+    import numpy as np
+
+    out = np.full(len(r), np.nan)
+    if not wanted.any():
+        return out
+    top, bottom, left, right = r[wanted].min(), r[wanted].max(), c[wanted].min(), c[wanted].max()
+    known = np.flatnonzero(~np.isnan(v))
+    values, rank = np.unique(v[known], return_inverse=True)
+    if not len(values):
+        return out
+    order = np.argsort(c[known], kind="stable")
+    row, column, rank = r[known][order] - top, c[known][order], rank[order]
+    held = SlidingRanks(int(bottom - top) + 1, len(values))
+    tall = int(radius // dy)
+    reach = {d: int(np.floor((max(0.0, radius * radius - (d * dy) ** 2)) ** 0.5 / dx + 1e-9)) for d in range(-tall, tall + 1)}
+    # The rim as the windowed form tests it: squares, without a root.
+    for d in reach:
+        while (d * dy) * (d * dy) + ((reach[d] + 1) * dx) * ((reach[d] + 1) * dx) <= radius * radius:
+            reach[d] += 1
+        while reach[d] > 0 and (d * dy) * (d * dy) + (reach[d] * dx) * (reach[d] * dx) > radius * radius:
+            reach[d] -= 1
+
+    def shift(d: int, first: int, until: int, step: int) -> None:
+        lo, hi = np.searchsorted(column, [first, until])
+        to = row[lo:hi] + d
+        ok = (to >= 0) & (to < len(held.rows))
+        held.move(to[ok], rank[lo:hi][ok], step)
+
+    at = np.flatnonzero(wanted)
+    at = at[np.argsort(c[at], kind="stable")]
+    cuts = np.searchsorted(c[at], np.arange(left, right + 2))
+    for x in range(int(left), int(right) + 1):
+        for d, w in reach.items():
+            if x == left:
+                shift(d, x - w, x + w + 1, 1)
+            else:
+                shift(d, x + w, x + w + 1, 1)
+                shift(d, x - w - 1, x - w, -1)
+        mine = at[cuts[x - int(left)] : cuts[x - int(left) + 1]]
+        if len(mine):
+            n = held.count()
+            low, high = held.pick(np.maximum(n - 1, 0) // 2), held.pick(n // 2)
+            line = r[mine] - top
+            middle = (values[np.minimum(low, len(values) - 1)] + values[np.minimum(np.where(n % 2, low, high), len(values) - 1)]) / 2
+            out[mine] = np.where(n[line] > 0, middle[line], np.nan)
+    return out
+
+
+def _sliding_median(df: DataFrame, value: str, radius: float, dx: float, dy: float, by: Sequence[str], tile: int) -> DataFrame:
+    """Each cell goes to its tile and to those whose rim reaches it; a task holds one tile with its rim."""
+    import pyarrow as pa
+
+    tall, wide = int(radius // dy), int(radius // dx)
+    own = [F.floor(F.col(k) / tile).cast("int") for k in ("r", "c")]
+    touched = [F.sequence(F.floor((F.col(k) - reach) / tile).cast("int"), F.floor((F.col(k) + reach) / tile).cast("int")) for k, reach in (("r", tall), ("c", wide))]
+    keep = [k for k in df.columns if k != value]
+    seen = df.select(*keep, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias(value)).withColumn("_tr", F.explode(touched[0])).withColumn(
+        "_tc", F.explode(touched[1])).withColumn("_own", (F.col("_tr") == own[0]) & (F.col("_tc") == own[1]))
+
+    def medians_of(table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        wanted = table.column("_own").to_numpy()
+        r, c = (table.column(k).to_numpy().astype(np.int64) for k in ("r", "c"))
+        m = sliding_medians(r, c, table.column(value).to_numpy().astype(np.float64), wanted, radius, dx, dy)[wanted]
+        rows = table.select(keep).filter(pa.array(wanted))
+        return rows.append_column(value, pa.array(m, mask=np.isnan(m)))
+
+    schema = T.StructType([*[df.schema[k] for k in keep], T.StructField(value, T.DoubleType())])
+    return seen.groupBy(*by, "_tr", "_tc").applyInArrow(medians_of, schema).select(*df.columns)
+
+
 def histogram(df: DataFrame, value: str, by: Sequence[str] = ("site",), max_buckets: int = HISTOGRAM_BUCKETS,
               min_width: float = HISTOGRAM_MIN_WIDTH) -> DataFrame:
     """Counts and means of equal buckets over each group's range."""
