@@ -11,6 +11,7 @@ from catalog.q_sources import dam_bodies, scratch
 from terravane.functions import feeds as K
 from terravane.operators import feeds as W
 from terravane.operators.joins import attach
+from terravane.operators.places import first_named
 from terravane.sources.feeds import read_dam_feed
 from terravane.streaming import feeds as ST
 
@@ -170,6 +171,18 @@ def _(v):
     return r.select("c_custkey", "lat", F.when(F.col("bbox").isNull(), F.col("lon")).alias("cand_lon"), "matched")
 
 
+# A name for every customer, some inside others ('town 12' in 'Town 123'): the first of the table that the text holds.
+@query("w16_named_places", f"""WITH {PLACES}, nm AS (SELECT 'TOWN ' || c_custkey AS key, c_custkey * 7919 % 1000003 AS rank FROM customer UNION ALL SELECT 'NILA', 2000000),
+ft AS (SELECT c_custkey, ARG_MIN(key, rank) AS key FROM pq JOIN nm ON CONTAINS(LOWER(place), LOWER(key)) GROUP BY c_custkey)
+SELECT pq.c_custkey, ft.key, ft.key IS NOT NULL AS named FROM pq LEFT JOIN ft USING (c_custkey)""")
+def _(v):
+    k = F.col("c_custkey")
+    names = v.customer.select(F.concat(F.lit("TOWN "), k.cast("string")).alias("key"), (k * 7919 % 1000003).cast("long").alias("rank")).unionByName(
+        v.spark.range(1).select(F.lit("NILA").alias("key"), F.lit(2_000_000).cast("long").alias("rank")))
+    found = first_named(place_queries(v), names, "place").join(names.withColumnRenamed("rank", "name_rank"), "name_rank", "left")
+    return found.select("c_custkey", "key", F.col("key").isNotNull().alias("named"))
+
+
 @query("w17_sanitize_name", "SELECT p_partkey, REPLACE(REPLACE(REPLACE(TRIM(LOWER(p_name || ', ' || p_brand || '. ')), ' ', '_'), ',', ''), '.', '') || '_' || p_size || 'h' AS name FROM part")
 def _(v):
     n = F.concat("p_name", F.lit(", "), "p_brand", F.lit(". "))

@@ -12,6 +12,7 @@ from terravane.functions import feeds as K
 from terravane.functions.grids import in_region
 from terravane.operators.joins import attach
 from terravane.operators.lines import SEGMENT, with_halo
+from terravane.operators.places import first_named
 from terravane.operators.ranks import running_sums
 
 DAY = 86400
@@ -205,19 +206,26 @@ def refresh_window(df: DataFrame, key: str, ts: str, minutes: int, *values: str,
 
 
 # ---- places ---------------------------------------------------------------------
-def resolve_place(queries: DataFrame, candidates: DataFrame, state: str = K.STATE, rivers: Sequence[tuple] = tuple(RIVERS)) -> DataFrame:
+def resolve_place(queries: DataFrame, candidates: DataFrame, state: str = K.STATE, rivers: Sequence[tuple] | DataFrame = tuple(RIVERS)) -> DataFrame:
     """Place text -> coordinates: a river named in the text, else the first
     candidate naming the state, else the first inside the region, else unmatched.
 
-    ``queries``: ``place``; ``candidates``: ``place, rank, display_name, lat, lon``.
+    ``queries``: ``place``; ``candidates``: ``place, rank, display_name, lat, lon``.  ``rivers``: a short list, or a table ``rank, key, lat, lon,
+    display_name, west, south, east, north`` of any length, whose first name in the text counts (ranks are unique).
     """
-    known = F.array(*[
-        F.struct(F.lit(k).alias("key"), F.lit(la).alias("lat"), F.lit(lo).alias("lon"), F.lit(d).alias("display_name"),
-                 F.array(*[F.lit(x) for x in box]).alias("bbox"))
-        for k, la, lo, d, box in rivers
-    ])
-    text = F.lower(F.trim("place"))
-    river = F.get(F.filter(known, lambda k: text.contains(k["key"])), F.lit(0))
+    if isinstance(rivers, DataFrame):
+        spot = F.struct("key", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), "display_name",
+                        F.array(*[F.col(e).cast("double") for e in ("west", "south", "east", "north")]).alias("bbox"))
+        named = first_named(queries, rivers, "place")
+        given = named.join(rivers.select(F.col("rank").cast("long").alias("name_rank"), spot.alias("_river")), "name_rank", "left").drop("name_rank")
+    else:
+        known = F.array(*[
+            F.struct(F.lit(k).alias("key"), F.lit(la).alias("lat"), F.lit(lo).alias("lon"), F.lit(d).alias("display_name"),
+                     F.array(*[F.lit(x) for x in box]).alias("bbox"))
+            for k, la, lo, d, box in rivers
+        ])
+        text = F.lower(F.trim("place"))
+        given = queries.withColumn("_river", F.get(F.filter(known, lambda k: text.contains(k["key"])), F.lit(0)))
     lat, lon = K.number(F.col("lat").cast("string")), K.number(F.col("lon").cast("string"))
     named = F.coalesce(F.lower("display_name").contains(state.lower()), F.lit(False))
     inside = F.coalesce(in_region(lon, lat), F.lit(False))
@@ -226,7 +234,7 @@ def resolve_place(queries: DataFrame, candidates: DataFrame, state: str = K.STAT
     found = F.struct(lat.alias("lat"), lon.alias("lon"), "display_name")
     best = candidates.withColumn("_o", order).filter("_o IS NOT NULL").groupBy("place").agg(
         F.min_by(found, F.struct("_o", "display_name", lat, lon)).alias("b"))
-    out = queries.withColumn("_river", river).join(best, "place", "left")
+    out = given.join(best, "place", "left")
     got = lambda k: F.coalesce(F.col(f"_river.{k}"), F.col(f"b.{k}")).alias(k)
     how = F.when(F.col("_river").isNotNull(), "river").when(F.col("b").isNotNull(), "candidate").otherwise("unmatched")
     return out.select(*queries.columns, got("lat"), got("lon"), got("display_name"), F.col("_river.bbox").alias("bbox"), how.alias("matched"))
