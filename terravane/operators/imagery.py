@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from terravane.operators.joins import attach
 from terravane.operators.lines import block, neighbours
 from terravane.operators.ranks import group_medians
+from terravane.session import settle
 
 # Fixed values
 CLOUD_BITS = (10, 11)
@@ -264,7 +265,8 @@ def _sliding_median(df: DataFrame, value: str, radius: float, dx: float, dy: flo
 def histogram(df: DataFrame, value: str, by: Sequence[str] = ("site",), max_buckets: int = HISTOGRAM_BUCKETS,
               min_width: float = HISTOGRAM_MIN_WIDTH) -> DataFrame:
     """Counts and means of equal buckets over each group's range."""
-    src = df.filter(F.col(value).isNotNull())
+    # Read for the range and for the buckets.
+    src = settle(df.filter(F.col(value).isNotNull()).select(*by, value))
     span = src.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     span = span.withColumn("_width", F.greatest(F.lit(min_width), (F.col("_hi") - F.col("_lo")) / F.lit(float(max_buckets))))
     at = F.least(F.lit(max_buckets - 1), F.floor((F.col(value) - F.col("_lo")) / F.col("_width"))).cast("int")

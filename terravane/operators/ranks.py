@@ -200,6 +200,8 @@ def running_sums(
         .withColumn("_b", order_bucket(F.col(order).cast("double")) * F.lit(int(sign)))
         .filter(F.col("_b").isNotNull())
     )
+    # Read for the buckets, their parts and the result.
+    per_value = settle(per_value)
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     place = F.col(order).cast("double")
     hist = per_value.groupBy(*keys, "_b").agg(*[F.sum(k).alias(f"_t_{k}") for k in sums], F.min(place).alias("_vmin"), F.max(place).alias("_vmax"))

@@ -14,9 +14,11 @@ from terravane.functions.risk import (
 from terravane.operators.components import connected_components
 from terravane.operators.joins import attach
 from terravane.operators.ranks import quantiles
+from terravane.session import settle
 
 QUINTILES = [0.2, 0.4, 0.6, 0.8]
 TERCILES = [0.33, 0.66]
+# Fixed values
 WATER_ROUGHNESS = (0.018, 0.030)
 MIN_WATER_CELLS = 10
 
@@ -67,11 +69,13 @@ def water_mask(df: DataFrame, roughness: str = "manning_n") -> DataFrame:
 
 def siltation_overlay(df: DataFrame, p: str = "p", roughness: str = "manning_n") -> DataFrame:
     """Terciles of the scores on connected water cells; land is transparent."""
-    masked = water_mask(df, roughness)
+    masked = settle(water_mask(df, roughness))
     kept = connected_components(masked.filter("water")).select("site", "r", "c", F.lit(True).alias("_kept"))
     on = masked.join(kept, ["site", "r", "c"], "left").withColumn(
         "_p", F.when(valid(F.col(p)) & F.col("_kept"), _clamp(F.col(p)))
     )
+    # Read for the cuts and the result.
+    on = settle(on)
     cuts = quantiles(on, ["site"], "_p", TERCILES, "_q").select("site", "_q")
     out = attach(on, cuts, ["site"], "left").withColumn(
         "silt_class", F.when(F.col("_p").isNotNull(), class_by_breaks(F.col("_p"), F.col("_q"), 2)).otherwise(F.lit(0))

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravane.operators.joins import attach, top_n
+from terravane.operators.joins import BROADCAST_ROWS, attach, top_n
 from terravane.operators.ranks import medians, quantiles
 from terravane.session import settle
 
@@ -85,9 +85,14 @@ def top_up(sampled: DataFrame, candidates: DataFrame, n: int, seed: int) -> Data
 
 
 def training_frame(sample: DataFrame, stack: DataFrame, features: Sequence[str] = tuple(FEATURES)) -> DataFrame:
-    """``site, row, col, label`` and the ordered features; absent features are 0."""
+    """``site, row, col, label`` and the ordered features; absent features are 0.
+
+    The drawn cells are settled and counted: up to :data:`BROADCAST_ROWS` of them go to the stack, which is not shuffled.
+    """
     have = [f for f in features if f in stack.columns]
-    joined = sample.select("site", "r", "c", "label").join(stack.select("site", "r", "c", *have), ["site", "r", "c"])
+    drawn = settle(sample.select("site", "r", "c", "label"))
+    few = drawn.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = stack.select("site", "r", "c", *have).join(F.broadcast(drawn) if few else drawn, ["site", "r", "c"])
     return joined.select(
         "site", F.col("r").alias("row"), F.col("c").alias("col"), F.col("label").cast("int").alias("label"),
         *[F.col(f).cast("double").alias(f) if f in have else F.lit(0.0).alias(f) for f in features],
