@@ -250,8 +250,12 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", link: str = "link"
 
     small_batches(pages.sparkSession, 256)
     base = pages.select(F.col(page_id).alias("page_id"), F.col(link).alias("link"), text_of(html_text).alias("html"))
-    some = base.filter(F.length("html") > 0).select(F.substring("html", 1, 20_000).alias("html"), F.xxhash64("page_id").alias("h"))
-    samples = [r["html"] for r in some.orderBy("h", "html").limit(sentence_pages).collect()]
+    # First only hashes go to the driver, then the pages of the smallest ones: some megabytes, however many partitions there are.
+    hashed = base.filter(F.length("html") > 0).select("html", F.xxhash64("page_id").alias("h"), F.xxhash64("html").alias("g"))
+    least = hashed.select("h", "g").distinct().orderBy("h", "g").limit(sentence_pages).collect()
+    last = least[-1] if least else (0, 0)
+    chosen = hashed.filter((F.col("h") < last[0]) | ((F.col("h") == last[0]) & (F.col("g") <= last[1])))
+    samples = [r["html"] for r in chosen.groupBy("h", "g").agg(F.first(F.substring("html", 1, 20_000)).alias("html")).collect()] if least else []
     sentences = sorted({t for page in samples for _, t, _ in blocks(page) if 20 < len(t) < 2000})
     field = train_field(labelled_pages(sentences))
     kinds = [base.schema[c].dataType.simpleString() for c in ("page_id", "link")]
