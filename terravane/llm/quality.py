@@ -14,6 +14,8 @@ WORD_FIELDS = 1 << 15
 RANK = 8
 TRAINING_ROWS = 20_000
 KNOWN_WORDS = 600_000
+# Epochs at most, and epochs without a lower loss of the rows kept back after which fitting ends.
+EPOCHS, PATIENCE = 60, 3
 # Structure features, each cut in this many steps.
 STEPS = 12
 STRUCTURE = (
@@ -91,22 +93,76 @@ def interactions(v, x, starts):
     return 0.5 * ((sums * sums).sum(1) - np.add.reduceat((vx * vx).sum(1), starts)), sums
 
 
-def fit(rows, y, rank: int = RANK, width: int = WIDTH, epochs: int = 12, batch: int = 512, rate: float = 0.05, ridge: float = 1e-4, seed: int = 7):
-    """Logistic loss by AdaGrad on mini-batches: bias, linear weights, factors."""
+def _joined(rows, part):
+    """Features of some rows end to end: indices, values, length of each row and where it starts."""
+    import numpy as np
+
+    idx = np.concatenate([rows[i][0] for i in part])
+    x = np.concatenate([rows[i][1] for i in part])
+    lens = np.array([len(rows[i][0]) for i in part])
+    return idx, x, lens, np.concatenate([[0], np.cumsum(lens)[:-1]])
+
+
+def logits(rows, part, w0, w, v):
+    import numpy as np
+
+    out = []
+    for lo in range(0, len(part), 512):
+        idx, x, _, starts = _joined(rows, part[lo : lo + 512])
+        out.append(w0 + np.add.reduceat(w[idx] * x, starts) + interactions(v[idx], x, starts)[0])
+    return np.clip(np.concatenate(out), -30, 30)
+
+
+def log_loss(z, y) -> float:
+    import numpy as np
+
+    return float(np.mean(np.logaddexp(0, z) - y * z))
+
+
+def calibrate(z, y, steps: int = 50) -> tuple[float, float]:
+    """Slope and shift of the logistic of ``z`` on rows that were not fitted, towards targets that are never quite 0 or 1."""
+    import numpy as np
+
+    n1 = y.sum()
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (len(y) - n1 + 2))
+    x, theta = np.stack([z, np.ones(len(z))], 1), np.array([1.0, 0.0])
+    # A weak pull to slope 1 and shift 0 keeps few rows from running away.
+    loss = lambda t: float(np.sum(np.logaddexp(0, x @ t) - target * (x @ t))) + 0.05 * float(((t - [1.0, 0.0]) ** 2).sum())
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        g = x.T @ (p - target) + 0.1 * (theta - [1.0, 0.0])
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+        move, now = np.linalg.solve(h, g), loss(theta)
+        while loss(theta - move) > now and np.abs(move).max() > 1e-9:
+            move = move / 2
+        theta = theta - move
+    return (float(theta[0]), float(theta[1])) if theta[0] > 0 else (1.0, 0.0)
+
+
+def fit(rows, y, rank: int = RANK, width: int = WIDTH, epochs: int = EPOCHS, patience: int = PATIENCE, batch: int = 512, rate: float = 0.05, ridge: float = 1e-4, seed: int = 7):
+    """Logistic loss by AdaGrad on mini-batches: bias, linear weights, factors.
+
+    Every sixth row is kept back.  Epochs go on until the loss of these rows has not fallen for ``patience`` of them (``epochs`` at most); the best
+    weights stay, and slope and shift are calibrated on the rows kept back.  Small tables take smaller batches, at least 20 an epoch.
+    """
     import numpy as np
 
     rng = np.random.default_rng(seed)
-    w0, w, v = math.log((sum(y) + 0.5) / (len(y) - sum(y) + 0.5)), np.zeros(width), rng.normal(0, 0.02, (width, rank))
-    gw, gv, g0 = np.full(width, 1e-3), np.full((width, rank), 1e-3), 1e-3
     y = np.asarray(y, dtype=np.float64)
-    for epoch in range(epochs):
-        order = rng.permutation(len(rows))
+    back = np.arange(len(rows)) % 6 == 5
+    if not 0 < y[back].sum() < back.sum() or not 0 < y[~back].sum() < (~back).sum():
+        back[:] = False  # too few rows to keep any back
+    own, kept = np.flatnonzero(~back), np.flatnonzero(back)
+    watched = kept if len(kept) else own
+    batch = min(batch, max(16, len(own) // 20))
+    w0, w, v = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), np.zeros(width), rng.normal(0, 0.02, (width, rank))
+    gw, gv, g0 = np.full(width, 1e-3), np.full((width, rank), 1e-3), 1e-3
+    best, since = (math.inf, None), 0
+    for _ in range(epochs):
+        order = own[rng.permutation(len(own))]
         for lo in range(0, len(order), batch):
             part = order[lo : lo + batch]
-            idx = np.concatenate([rows[i][0] for i in part])
-            x = np.concatenate([rows[i][1] for i in part])
-            lens = np.array([len(rows[i][0]) for i in part])
-            starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
+            idx, x, lens, starts = _joined(rows, part)
             vi = v[idx]
             pairs, sums = interactions(vi, x, starts)
             z = w0 + np.add.reduceat(w[idx] * x, starts) + pairs
@@ -122,7 +178,16 @@ def fit(rows, y, rank: int = RANK, width: int = WIDTH, epochs: int = 12, batch:
             w[slots] -= rate * dw / np.sqrt(gw[slots])
             v[slots] -= rate * dv / np.sqrt(gv[slots])
             w0 -= rate * float(d.mean()) / math.sqrt(g0)
-    return w0, w.astype(np.float32), v.astype(np.float32)
+        loss = log_loss(logits(rows, watched, w0, w, v), y[watched])
+        if loss < 0.995 * best[0]:
+            best, since = (loss, (w0, w.copy(), v.copy())), 0
+        else:
+            since += 1
+            if since >= patience:
+                break
+    w0, w, v = best[1] if best[1] is not None else (w0, w, v)
+    slope, shift = calibrate(logits(rows, kept, w0, w, v), y[kept]) if len(kept) else (1.0, 0.0)
+    return w0, w.astype(np.float32), v.astype(np.float32), slope, shift
 
 
 def train(alerts: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, alert_id: str = "alert_id", description: str = "description", quality: str = "quality"):
@@ -178,11 +243,11 @@ def score_quality(alerts: DataFrame, labels: DataFrame, rows: int = TRAINING_ROW
             for text in batch.column("description").to_pylist():
                 z = 0.0
                 if machine is not None:
-                    w0, w, v = machine
+                    w0, w, v, slope, shift = machine
                     idx, x = features(text or "")
                     vx = v[idx] * x[:, None]
                     s = vx.sum(0)
-                    z = w0 + float(w[idx] @ x) + 0.5 * float((s * s).sum() - (vx * vx).sum())
+                    z = slope * (w0 + float(w[idx] @ x) + 0.5 * float((s * s).sum() - (vx * vx).sum())) + shift
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores, pa.float64()), pa.array(np.array(scores) >= threshold).cast(pa.int32())], [*batch.schema.names, "score", "predicted"])
