@@ -11,13 +11,13 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import product
-from operator import add
+from itertools import groupby
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from terravane.llm.texts import small_batches, text_of
+from terravane.session import settle
 
 ORDER = 4
 LETTERS = 28  # 0: no letter, 1-26: a-z, 27: any other letter
@@ -39,7 +39,7 @@ DOUBLE = re.compile(r"(.)\1", re.S)
 # Marks that stand for no letter; signs that do are judged where they stand, at the ends of a token too.
 PLAIN_MARKS = "".join(c for c in MARKS if c not in LOOKALIKES and c not in HIDDEN)
 SIGN = re.compile("[" + re.escape("".join(LOOKALIKES) + HIDDEN) + "]")
-JOINED = 4  # words written as so many pieces are put together
+SHORTEST = 4  # shorter words are neither joined from pieces nor freed of plain doubles: too many clean texts hold them so
 
 
 @lru_cache(maxsize=1)
@@ -55,9 +55,9 @@ def letter_codes():
 
 
 def char_grams(alerts: DataFrame, description: str = "description") -> DataFrame:
-    """``gram, n``: counts of :data:`ORDER` consecutive letter codes over all descriptions.
+    """``gram, n``: counts of :data:`ORDER` consecutive letter codes over all descriptions, each with three blanks around it.
 
-    Every task adds up its own texts; at most 28 to the power 4 different grams exist.
+    Every task adds up its own texts, whichever texts share a batch; at most 28 to the power 4 different grams exist.
     """
     import pyarrow as pa
 
@@ -66,10 +66,10 @@ def char_grams(alerts: DataFrame, description: str = "description") -> DataFrame
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        table, size = letter_codes(), LETTERS**ORDER
+        table, size, blanks = letter_codes(), LETTERS**ORDER, " " * (ORDER - 1)
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            text = " ".join(batch.column(0).to_pylist())
+            text = blanks + blanks.join(batch.column(0).to_pylist()) + blanks
             points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
             codes = np.where(points < len(table), table[np.minimum(points, len(table) - 1)], 27).astype(np.int32)
             if len(codes) < ORDER:
@@ -185,14 +185,22 @@ def spelled(word: str) -> Iterator[str]:
         yield word[:n]
 
 
+def beginnings(words: Iterable[str]) -> frozenset[str]:
+    """Every beginning of the words, the words themselves included."""
+    return frozenset(w[:n] for w in words for n in range(1, len(w) + 1))
+
+
 class Reader:
     """Features of texts; results of single tokens are remembered."""
 
     def __init__(self, model, chosen: dict[str, int] | None = None, known: int = KNOWN_TOKENS):
         self.channel, self.chosen, self.known = Channel(model), chosen, known
         self.seen: dict[str, tuple] = {}
+        self.dull: set[str] = set()  # tokens without any chosen feature
+        self.begun = beginnings(chosen or ())
         # Words that tell toxic texts; pieces of several letters are joined to these only.
-        self.whole = frozenset(f[:-1] for f in chosen or () if f.endswith("$") and len(f) > 4)
+        self.whole = frozenset(f[:-1] for f in chosen or () if f.endswith("$") and len(f) > SHORTEST)
+        self.starts = beginnings(self.whole)
 
     def _pick(self, features: Iterable[str]) -> tuple:
         if self.chosen is None:
@@ -201,40 +209,84 @@ class Reader:
 
     def _token(self, token: str) -> tuple:
         words, disguised = written_forms(token)
-        features = {f for w in words for f in spelled(w)}
+        if self.chosen is None:
+            features = {f for w in words for f in spelled(w)}
+        else:
+            # A word whose first letters begin no chosen feature has none.
+            features = {f for w in words if (w + "$")[:3] in self.begun for f in spelled(w)}
         for t in disguised:
-            for word in (self.channel.read(t), *self._single(t)):
+            if self._reachable(t):
+                features |= set(spelled(self.channel.read(t)))
+            for word in self._single(t):
                 features |= set(spelled(word))
         return self._pick(features)
 
+    def _reachable(self, form: str) -> bool:
+        """Whether any reading of a form has a chosen feature; all readings walk along the beginnings of features at once.
+
+        Where none has, the likeliest one has none, so decoding it could change nothing.
+        """
+        chosen, begun = self.chosen, self.begun
+        if chosen is None:
+            return True
+        states = {""}
+        for sign, run in groupby(form):
+            following = set()
+            for letters, _ in self.channel.readings(sign, len(list(run))):
+                for word in states:
+                    for letter in letters:
+                        word += letter
+                        if word in chosen:
+                            return True
+                        if word not in begun:
+                            break
+                    else:
+                        following.add(word)
+            if not following:
+                return False
+            states = following
+        return any(word + "$" in chosen for word in states)
+
     def _single(self, form: str) -> Iterator[str]:
-        """Known words that a form of letters is with some of its repeats written once, where the word is likelier than the form.
+        """Known words that a form of letters is with runs of a letter written shorter, where the word is likelier than the form.
 
-        What is known is the likelier beforehand: a repeat costs as much as a sign between letters.
+        What is known is the likelier beforehand: a shortened run costs as much as a sign between letters.  Any number of
+        runs may be shortened: they are walked along the beginnings of known words.
         """
-        runs = [m.span() for m in DOUBLE.finditer(form)][:6] if self.whole and form.isalpha() else []
-        for kept in product((True, False), repeat=len(runs)):
-            drop = [b - 1 for (_, b), keep in zip(runs, kept) if not keep]
-            word = "".join(c for i, c in enumerate(form) if i not in drop)
-            if drop and word in self.whole and self.channel.chance(word) - 3.0 * len(drop) > self.channel.chance(form):
+        if not self.whole or not form.isalpha():
+            return
+        states = {"": 0}
+        for letter, run in groupby(form):
+            n, following = len(list(run)), {}
+            for word, short in states.items():
+                for k in range(1, n + 1):
+                    word += letter
+                    if word not in self.starts:
+                        break
+                    following[word] = min(following.get(word, len(form)), short + (k < n))
+            if not following:
+                return
+            states = following
+        for word, short in states.items():
+            if short and word in self.whole and self.channel.chance(word) - 3.0 * short > self.channel.chance(form):
                 yield word
 
-
     def _joins(self, tokens: list[str]) -> Iterator[tuple[str, str]]:
-        """Known words that are written as 2 to JOINED neighbouring tokens, where the word is likelier than its pieces."""
+        """Known words that are written as several neighbouring tokens, where the word is likelier than its pieces."""
         if not self.whole:
             return
+        starts, whole = self.starts, self.whole
         pieces = [t.strip(MARKS) for t in tokens]
-        run = pieces
-        for n in range(2, JOINED + 1):
-            run = list(map(add, run, pieces[n - 1 :]))
-            if self.whole.isdisjoint(run):
-                continue
-            for i, word in enumerate(run):
-                if word in self.whole and all(pieces[i : i + n]):
-                    apart = " ".join(pieces[i : i + n])
-                    if self.channel.chance(word) - 3.0 * (n - 1) > self.channel.chance(apart):
-                        yield apart, word
+        for i in [i for i, p in enumerate(pieces) if p in starts]:
+            run = pieces[i]
+            for j in range(i + 1, len(pieces)):
+                run += pieces[j]
+                if not pieces[j] or run not in starts:
+                    break
+                if run in whole:
+                    apart = " ".join(pieces[i : j + 1])
+                    if self.channel.chance(run) - 3.0 * (j - i) > self.channel.chance(apart):
+                        yield apart, run
 
     def _spaced(self, run: str) -> tuple:
         letters = self.channel.read(re.sub(r"[ .\-_*/]", "", run))
@@ -243,16 +295,20 @@ class Reader:
 
     def __call__(self, text: str) -> set:
         text = text.lower()
-        if len(self.seen) > self.known:
+        if len(self.seen) + len(self.dull) > self.known:
             self.seen.clear()
+            self.dull.clear()
         seen, out = self.seen, set()
         tokens = text.split()
-        for token in set(tokens):
+        for token in set(tokens) - self.dull:
             got = seen.get(token)
             if got is None:
-                got = seen[token] = self._token(token)
-            if got:
-                out.update(got)
+                got = self._token(token)
+                if got:
+                    seen[token] = got
+                else:
+                    self.dull.add(token)
+            out.update(got)
         for m in SPACED.finditer(text):
             out.update(self._spaced(m.group()))
         for _, word in self._joins(tokens):
@@ -282,40 +338,44 @@ def train(alerts: DataFrame, labels: DataFrame, model, rows: int = TRAINING_ROWS
           alert_id: str = "alert_id", description: str = "description", toxic: str = "toxic") -> tuple[dict[str, int], object]:
     """Logistic regression over words and beginnings of words of restored texts.
 
-    Learns from at most ``rows`` labelled alerts and keeps the ``features`` that best tell toxic ones apart.
+    Learns from at most ``rows`` labelled alerts, of repeated ids from the smallest text, and keeps the ``features`` that
+    best tell toxic ones apart.
     Returns the chosen features and their weights, the bias last.
     """
     import numpy as np
     import pandas as pd
 
     small_batches(alerts.sparkSession)
-    chosen_rows = alerts.select(F.col(alert_id).alias("alert_id"), text_of(description).alias("description")).join(
-        _sample(labels, rows, alert_id, toxic), "alert_id").select("description", "toxic")
+    # One text of each labelled id, so that ``rows`` bounds the texts too; they are read twice.
+    chosen_rows = settle(alerts.select(F.col(alert_id).alias("alert_id"), text_of(description).alias("description")).join(
+        _sample(labels, rows, alert_id, toxic), "alert_id").groupBy("alert_id", "toxic").agg(F.min("description").alias("description")))
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter
 
-        reader, counts = Reader(model, known=20_000), (Counter(), Counter())
-        docs = [0, 0]
+        reader, counts = Reader(model, known=100_000), (Counter(), Counter())
         for frame in frames:
             for text, label in zip(frame["description"], frame["toxic"]):
                 counts[label].update(reader(text))
-                docs[label] += 1
         names = list(counts[0].keys() | counts[1].keys())
-        out = pd.DataFrame({"feature": names, "clean": [counts[0][f] for f in names], "bad": [counts[1][f] for f in names]})
-        out.loc[len(out)] = ["", docs[0], docs[1]]
-        yield out
+        yield pd.DataFrame({"feature": names, "clean": [counts[0][f] for f in names], "bad": [counts[1][f] for f in names]})
 
-    totals = chosen_rows.mapInPandas(counted, "feature string, clean long, bad long").groupBy("feature").agg(
-        F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
-    total = totals.filter("feature = ''").first()
-    n0, n1 = (total["clean"], total["bad"]) if total else (0, 0)
+    size = chosen_rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
+    n0, n1 = size["n"] - (size["bad"] or 0), size["bad"] or 0
     if not n0 or not n1:
         return {}, np.array([math.log((n1 + 0.5) / (n0 + 9.5))])
+    seen = Observation()
+    totals = chosen_rows.mapInPandas(counted, "feature string, clean long, bad long").groupBy("feature").agg(
+        F.sum("clean").alias("clean"), F.sum("bad").alias("bad")).observe(seen, F.count("*").alias("n"))
     odds = F.log((F.col("bad") + 0.1) / (n1 + 1.0)) - F.log((F.col("clean") + 0.1) / (n0 + 1.0))
-    # What is found in few toxic texts says little, so the evidence counts besides the odds.
-    best = totals.filter("feature != '' AND bad >= 2").withColumn("o", odds).filter("o > 2").orderBy(
-        (F.col("o") * F.sqrt("bad")).desc(), "feature").limit(features).toPandas()
+    # Log of how unlikely so many toxic ones among the texts of a feature are by chance.
+    found, share = F.col("bad") + F.col("clean"), n1 / (n0 + n1)
+    evidence = F.col("bad") * F.log(F.col("bad") / found / share) + F.when(
+        F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / found / (1 - share))).otherwise(0.0)
+    best = totals.filter("bad >= 2").withColumn("o", odds).filter("o > 2").withColumn("evidence", evidence).orderBy(
+        F.col("evidence").desc(), "feature").limit(features).toPandas()
+    # Among many rare features some fall together with the label by chance: each must be worth half the log of their number.
+    best = best[best["evidence"] > 0.5 * math.log(seen.get["n"])]
     chosen = {f: i for i, f in enumerate(best["feature"])}
 
     def rowed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -251,7 +251,7 @@ def test_toxicity_of_doubled_edge_and_split_forms(spark, alerts):
     rng = random.Random(6)
     insults = ["stupid", "idiot", "worthless", "moron", "ass", "loser"]
     rows = [(i, " ".join([*rng.choices(VOCABULARY + ["happen", "looser", "gate"], k=38), *(rng.choices(insults, k=2) if i % 4 == 0 else ())])) for i in range(900)]
-    disguised = ["iidiot", "mmoron", "stuupid", "a$$", "moro#", '"$tupid', "st.upid", "id_iot", "stu pid", "wor thl ess", "(stup!d!)"]
+    disguised = ["iidiot", "mmoron", "stuupid", "a$$", "moro#", '"$tupid', "st.upid", "id_iot", "stu pid", "wor thl ess", "(stup!d!)", "wwoorrtthhlleessss", "ssttuuppiidd", "wo rt hl es s"]
     clean = ["looser gate", "happen", "rain!", "was it?", "the well-fed road", "moved (again)", "a st and a rope"]
     rows += [(2000 + i, f"the water and {t} rose") for i, t in enumerate(disguised)] + [(3000 + i, f"the water and {t} rose") for i, t in enumerate(clean)]
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(900)], "alert_id long, toxic int")
@@ -259,3 +259,47 @@ def test_toxicity_of_doubled_edge_and_split_forms(spark, alerts):
     assert [t for i, t in enumerate(disguised) if not out[2000 + i].predicted] == []
     assert [t for i, t in enumerate(clean) if out[3000 + i].predicted] == []
     assert "iidiot>idiot" in out[2000].restored and "stu pid>stupid" in out[2008].restored
+
+
+def test_toxicity_grams_do_not_depend_on_the_layout(spark, alerts):
+    rows = [(i, t) for i, t in enumerate(["abc", "", None, "a", "bc de", "abc"] * 40)]
+    table = alerts(rows)
+    one, many = ({r.gram: r.n for r in toxicity.char_grams(table.repartition(k)).collect()} for k in (1, 7))
+    want = {}
+    for _, text in rows:
+        codes = [ord(c) - 96 if c != " " else 0 for c in f"   {text or ''}   "]
+        for k in range(len(codes) - 3):
+            gram = ((codes[k] * 28 + codes[k + 1]) * 28 + codes[k + 2]) * 28 + codes[k + 3]
+            want[gram] = want.get(gram, 0) + 1
+    # Neighbours in a batch share their three blanks, which only grams of four blanks can tell.
+    assert {g: n for g, n in one.items() if g} == {g: n for g, n in many.items() if g} == {g: n for g, n in want.items() if g}
+    assert one.get(0) == many.get(0)
+
+
+def test_toxicity_walks_find_what_decoding_every_token_finds():
+    import itertools
+
+    import numpy as np
+
+    model = np.full(28**4, -3.0, dtype=np.float32)
+    chosen = {f: i for i, f in enumerate(["abba$", "abb", "bab$", "cab", "ab$"])}
+    reader = toxicity.Reader(model, chosen)
+    for n in range(1, 6):
+        for signs in itertools.product("ab4*c", repeat=n):
+            form = "".join(signs)
+            hit = set(toxicity.spelled(reader.channel.read(form))) & set(chosen)
+            assert not hit or reader._reachable(form), form
+    assert list(reader._single("abbbba")) == ["abba"] and list(reader._single("abba")) == []
+
+
+def test_toxicity_repeated_ids_and_very_long_texts(spark, alerts):
+    rng = random.Random(9)
+    words = lambda i, k: [*rng.choices(VOCABULARY, k=k), *(["moron", "idiot"] if i % 4 == 0 else [])]
+    rows = [(i, " ".join(words(i, 30))) for i in range(400)]
+    again = alerts(rows + [(4, rows[4][1])] * 500 + [(9000, " ".join(words(0, 60_000))), (9001, "x" * 200_000), (9002, "1" * 100_000)])
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "alert_id long, toxic int")
+    out = toxicity.score_toxicity(again, labels).collect()
+    assert len(out) == 400 + 500 + 3
+    plain = {r.alert_id: r.predicted for r in out}
+    assert [plain[9000], plain[9001], plain[9002]] == [1, 0, 0]
+    assert all(plain[i] == int(i % 4 == 0) for i in range(300, 400))
