@@ -256,13 +256,21 @@ def find_spans(text: str, unary, pairwise, confidence: float = CONFIDENCE) -> li
     if len(nodes) > 1 and any(m.label for m in nodes) and not all(m.label for m in nodes):
         import numpy as np
 
-        scores = np.array([unary[m.features].sum(0) for m in nodes])
-        known = np.array([m.label for m in nodes])
-        scores[known > 0] = -20.0  # what the patterns keep is observed
-        scores[known > 0, known[known > 0]] = 20.0
-        p = marginals(scores, neighbours(nodes), pairwise)
+        # What the patterns keep is observed: it is no node of the field, its row of the edge table goes to its neighbours.
+        hidden = [i for i, m in enumerate(nodes) if not m.label]
+        place = {i: k for k, i in enumerate(hidden)}
+        scores = np.array([unary[nodes[i].features].sum(0) for i in hidden])
+        edges = []
+        for i, j, kind in neighbours(nodes):
+            if i in place and j in place:
+                edges.append((place[i], place[j], kind))
+            elif i in place:
+                scores[place[i]] += pairwise[kind][:, nodes[j].label]
+            elif j in place:
+                scores[place[j]] += pairwise[kind][nodes[i].label]
+        p = marginals(scores, edges, pairwise)
         best = p.argmax(1)
-        base += [(m.start, m.stop, LABELS[best[i]], False) for i, m in enumerate(nodes) if m.label == 0 and best[i] and p[i, best[i]] >= confidence]
+        base += [(nodes[i].start, nodes[i].stop, LABELS[b], False) for k, i in enumerate(hidden) if (b := best[k]) and p[k, b] >= confidence]
     return sorted(base, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

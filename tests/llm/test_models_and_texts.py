@@ -221,6 +221,17 @@ def test_interactions_are_those_of_all_pairs():
     assert np.allclose(quality.interactions(v, x, np.array([0]))[0], want)
 
 
+def test_kept_mentions_are_observed_however_many_repeats_follow(alerts):
+    rows = [(i, f"Call +1 (21{i % 10}) 555-0{100 + i} now, or mail m{i}@x.example.com, id {i * 7919}") for i in range(60)]
+    unary, table = pii.train(alerts(rows))
+    for kept, again, kind in (("+1 (017) 555-7713", "(017) 555-7713", "phone"), ("a.b@mail7.example.com", "a.b (at) mail7", "email")):
+        for n in (1, 100, 1000, 10_000):
+            repeats = f"Rain over the hills, {again} again. " * n
+            for text in (f"Call {kept} now.\n{repeats}", f"{repeats}Call {kept} now."):
+                found = pii.find_spans(text, unary, table)
+                assert len(found) == n + 1 and {s[2] for s in found} == {kind} and sum(s[3] for s in found) == 1, (kind, n)
+
+
 def test_toxicity_restores_and_scores(spark, alerts):
     rng = random.Random(4)
     insult = lambda: rng.choice(["stupid", "idiot", "worthless", "moron"])
