@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from string import punctuation
@@ -38,6 +39,11 @@ def tokenizer(path: str):
     return tok, ends
 
 
+# Python takes these four for white space, the tokenizer does not.
+NO_SPACE = re.compile(r"[\x1c-\x1f]")
+BETWEEN = re.compile(r"[^\S\x1c-\x1f]+")
+
+
 class WordIds:
     """Ids of whole texts by way of their white-space separated parts.
 
@@ -91,7 +97,7 @@ class WordIds:
             self.forms.clear()
         out = []
         for text in texts:
-            parts = text.split()
+            parts = [x for x in BETWEEN.split(text) if x] if NO_SPACE.search(text) else text.split()
             new = set(parts).difference(self.forms)
             if new:
                 plain = {p: self._plain(p) for p in new}

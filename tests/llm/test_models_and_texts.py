@@ -21,6 +21,16 @@ def vocabulary():
 ODD = [(1, "Rain's over. The dam's 3 gates, won't OPEN!! ÉCOLE straße"), (2, None), (3, ""), (4, "word " * 9000), (4, "word " * 9000), (5, "<|endoftext|> a.b,c... ΣΑΣ İi é  x"), (None, "x")]
 
 
+def test_words_end_where_the_tokenizer_ends_them(vocabulary):
+    from tokenizers import Tokenizer
+
+    tok, ids = Tokenizer.from_file(vocabulary), packing.WordIds(vocabulary)
+    odd = [chr(c) for c in (*range(0x21), *range(0x7F, 0xA1), 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+    texts = [f"Dam{c}gate" for c in odd] + [f"rain {c} over{c}\x1d{c} hill {c}" for c in odd] + ["".join(odd)]
+    for text, got in zip(texts, ids(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_pieces_are_those_of_the_tokenizer(alerts, vocabulary):
     from tokenizers import Tokenizer
 
